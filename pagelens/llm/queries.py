@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, mixing, quality_rules, warc
+from . import bpe, chat, embedding_grid, line_dedup, minhash, mixing, quality_rules, warc
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -46,10 +50,37 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(read(spark, sf_dir, "pages")).withColumn("content_sha256", F.sha2("content", 256)).drop("content")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_quality_rules, op6_mixing, op7_chat, op8_warc)}
+def op9_embedding_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_grid.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_quality_rules, op5_minhash, op6_mixing, op7_chat, op8_warc, op9_embedding_grid)}
 
 
 ORACLE = {
+    "op5_minhash": r"""
+with recursive
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+             else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+e as (select a, b from l union select b, a from l),
+r as (select doc_id as node, doc_id as at from documents union select r.node, e.b from r join e on e.a = r.at)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.at) as component_id, d.doc_id = min(r.at) as kept
+from documents d left join n using (doc_id) join r on r.node = d.doc_id group by d.doc_id, n.n""",
+    "op9_embedding_grid": r"""
+with recursive
+v as (select vec_id, label, embedding::double[] as e from embeddings
+      where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where list_cosine_similarity(a.e, b.e) >= 0.98),
+r as (select vec_id as node, vec_id as at from embeddings union select r.node, l.b from r join l on l.a = r.at),
+n as (select a, count(*) as n from l group by a)
+select r.node as vec_id, coalesce(max(n.n), 0)::bigint as n_links, min(r.at) as component_id, r.node = min(r.at) as kept
+from r left join n on n.a = r.node group by r.node""",
     "op1_line_dedup": r"""
 with u as (select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as unit,
                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
