@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_grid, line_dedup, minhash, mixing, quality_rules, warc
+from . import bpe, chat, embedding_grid, line_dedup, minhash, mixing, quality_rules, suffix_dedup, warc
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -54,7 +54,12 @@ def op9_embedding_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_grid.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_quality_rules, op5_minhash, op6_mixing, op7_chat, op8_warc, op9_embedding_grid)}
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_quality_rules, op5_minhash, op6_mixing, op7_chat, op8_warc, op9_embedding_grid, op10_suffix_array)}
 
 
 ORACLE = {
