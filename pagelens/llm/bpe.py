@@ -402,17 +402,25 @@ def detokenize(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes the ids, and digests both, in one pass."""
+def round_trip(docs: DataFrame, path: str, pattern: str = PATTERN, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encodes, decodes the ids, and digests both, in one pass."""
     _check(pattern)
     workers_find_us(docs.sparkSession)
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts, bpe in _blocks(batches, path):
-            out = [(len(ids), hashlib.sha256(bpe.decimal(ids)).hexdigest(), hashlib.sha256(back).hexdigest()) for ids, back in bpe.both_ways(texts)]
-            n, own, decoded = zip(*out)
+            n, own, decoded, all_ids = [], [], [], []
+            for ids, back in bpe.both_ways(texts):
+                n.append(len(ids))
+                own.append(hashlib.sha256(bpe.decimal(ids)).hexdigest())
+                decoded.append(hashlib.sha256(back).hexdigest())
+                if with_ids:
+                    all_ids.append(ids)
             columns = [pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(decoded, pa.string())]
+            if with_ids:
+                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
             yield pa.record_batch(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -199,3 +199,9 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     out = pairs.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
     out = out.withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b"))
     return out.where("la <> lb").select("a", "b", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
+
+
+def kept_documents(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """docs with one document of each component, columns as they were."""
+    gone = near_duplicates(docs, threshold).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

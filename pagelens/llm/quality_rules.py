@@ -41,11 +41,11 @@ def _count_chars(text: Column, chars: str) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of each whole text; windows are compared by 64-bit hashes of 64-bit word hashes, inside the row."""
+    """doc_id, _v (of the text) and the statistics of each whole text; windows are compared by 64-bit hashes of 64-bit word hashes, inside the row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", text.alias("_t"), words_col(F.col("text")).alias("_w"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("_v"), text.alias("_t"), words_col(F.col("text")).alias("_w"))
     base = base.select(
-        "doc_id",
+        "doc_id", "_v",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.translate("_t", GAP_CHARS, "")).cast("long").alias("word_chars"),
         _count_chars(F.col("_t"), "#*$%&|<>").alias("n_symbols"),
@@ -58,7 +58,7 @@ def features(docs: DataFrame) -> DataFrame:
     n_windows = F.size("_h") - (WINDOW - 1)
     windows = F.when(n_windows >= 1, F.transform(F.sequence(F.lit(1), n_windows), lambda i: F.xxhash64(F.slice("_h", i, WINDOW))))
     base = base.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_upper", "n_digits", "n_marks",
+        "doc_id", "_v", "n_words", "word_chars", "n_symbols", "n_upper", "n_digits", "n_marks",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("_h")).cast("long").alias("n_distinct_words"),
         F.coalesce(windows, F.array().cast("array<bigint>")).alias("_win"),
@@ -197,3 +197,10 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return stats.withColumn("kept", ~F.col("base_failed") & verdict(rules)).withColumn(
         "rules", F.lit("; ".join(" and ".join(f"{c.feature} {'>=' if c.above else '<'} {c.threshold:.6g}" for c in r) for r in rules))
     )
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """docs without the rejected rows, columns as they were."""
+    gone = judge(docs, labels, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_d"), "_v").distinct()
+    own = docs.withColumn("_w", F.xxhash64("text"))
+    return own.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_v")), "left_anti").drop("_w")
