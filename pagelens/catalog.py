@@ -1,4 +1,6 @@
 """Registered queries by name, and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans import documents  # noqa: F401
+from .plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
