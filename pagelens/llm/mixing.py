@@ -146,7 +146,8 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = 64
     # As large as the number of sources: a literal map, never larger than the rows collected for it.
     about = spark.createDataFrame([(s["source"], s["number"], s["target"]) for s in sources], "_s string, number long, target double")
     laid = laid.join(about, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    times = slots(spark, sources, block_words, shard_slots, seed).groupBy("number", "block").agg(F.count("*").alias("times"))
+    # Written, so that the planner knows its size: a plan made of generated rows looks small.
+    times = scratch.put(slots(spark, sources, block_words, shard_slots, seed).groupBy("number", "block").agg(F.count("*").alias("times")), "times")
     first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
     spans = laid.where("size > 0").select("doc_id", "_v", "number", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
     spans = spans.join(times, ["number", "block"])
