@@ -1,6 +1,6 @@
 """Registered queries by name, and their SQL twins."""
 
-from .plans import documents, pages, records  # noqa: F401
+from .plans import documents, fixtures, pages, records  # noqa: F401
 from .plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -79,14 +79,14 @@ def count_keyword(x: Column, keyword: Column) -> Column:
 
 def keyword_tokens(keyword: Column) -> Column:
     key = F.lower(F.regexp_replace(text_of(keyword), r"(?U)^\s+|\s+$", ""))
-    words = F.filter(F.regexp_extract_all(key, F.lit(r"(?U)[^\W_]+"), F.lit(0)), lambda w: F.length(w) >= 3)
+    words = F.filter(F.regexp_extract_all(key, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w) >= 3)
     return F.when(F.length(key) == 0, F.array().cast("array<string>")).when(is_unspaced(key), F.array(key)).otherwise(words)
 
 
 def token_set(x: Column, limit: int = TOKEN_LIMIT) -> Column:
     """Sorted distinct words of four letters or more, and 4-grams of unspaced script; the first ``limit``."""
     body = F.lower(text_of(x))
-    words = F.regexp_extract_all(body, F.lit(r"(?U)[^\W\d_]{4,}"), F.lit(0))
+    words = F.regexp_extract_all(body, F.lit(r"[\p{L}\p{Nl}\p{No}]{4,}"), F.lit(0))
     thai = F.regexp_replace(body, f"[^{THAI}]", "")
     grams = F.when(F.length(thai) >= 4, F.transform(F.sequence(F.lit(1), F.length(thai) - 3), lambda i: F.substring(thai, i, F.lit(4)))).otherwise(F.array().cast("array<string>"))
     both = F.when(is_unspaced(body), F.array_union(grams, words)).otherwise(words)

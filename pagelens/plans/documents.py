@@ -10,7 +10,8 @@ from ..functions import text as T
 from ..operators import blueprint, joins, ranking
 from .registry import query
 
-KW = F.lit("the")
+def kw():
+    return F.lit("the")
 
 # Pieces of SQL that several twins share.
 WORDS = r"case when trim(regexp_replace(text, '\s+', ' ', 'g')) = '' then 0 else len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) end"
@@ -86,19 +87,19 @@ def script_share(load):
 
 @query(f"select doc_id, {HITS}::bigint as hits from documents")
 def keyword_count(load):
-    return load("documents").select("doc_id", T.count_keyword(F.col("text"), KW).alias("hits"))
+    return load("documents").select("doc_id", T.count_keyword(F.col("text"), kw()).alias("hits"))
 
 
 @query(f"select doc_id, {SUBS}::bigint as hits from documents")
 def keyword_substr_count(load):
-    return load("documents").select("doc_id", T.count_substring(F.col("text"), KW).alias("hits"))
+    return load("documents").select("doc_id", T.count_substring(F.col("text"), kw()).alias("hits"))
 
 
 @query(f"""with d as (select doc_id, {WORDS} as wc, {HITS} as hits, {SUBS} as subs from documents)
 select doc_id, round(coalesce(hits::double / nullif(wc, 0) * 100, 0), 2) as content_density, subs::double / greatest(wc, 1) * 100 as indexed_density,
        round(subs::double / greatest(wc, 1) * 100, 2) as validated_density from d""")
 def density_variants(load):
-    d = load("documents").select("doc_id", T.count_words(F.col("text")).alias("w"), T.count_keyword(F.col("text"), KW).alias("h"), T.count_substring(F.col("text"), KW).alias("s"))
+    d = load("documents").select("doc_id", T.count_words(F.col("text")).alias("w"), T.count_keyword(F.col("text"), kw()).alias("h"), T.count_substring(F.col("text"), kw()).alias("s"))
     w, h, s = F.col("w"), F.col("h"), F.col("s")
     return d.select(
         "doc_id", T.content_density(h, w).alias("content_density"),
@@ -120,7 +121,7 @@ def token_set_size(load):
 select doc_id, wc::bigint as word_count, round(wc / 200.0, 1)::double as reading_time, hits::bigint as keyword_count,
        round(coalesce(hits::double / nullif(wc, 0) * 100, 0), 2) as keyword_density from d""")
 def content_metrics(load):
-    m = S.content_metrics(T.count_words(F.col("text")), F.col("text"), KW)
+    m = S.content_metrics(T.count_words(F.col("text")), F.col("text"), kw())
     return load("documents").select("doc_id", m.alias("m")).select("doc_id", "m.*")
 
 
@@ -145,7 +146,7 @@ select doc_id, case when density = 0 then 'none' when density < 0.3 then 'low' w
 from d join p using (doc_id)""")
 def density_band(load):
     yes = F.lit(True)
-    d = load("documents").select("doc_id", T.content_density(T.count_keyword(F.col("text"), KW), T.count_words(F.col("text"))).alias("density"), _paragraphs().alias("p"))
+    d = load("documents").select("doc_id", T.content_density(T.count_keyword(F.col("text"), kw()), T.count_words(F.col("text"))).alias("density"), _paragraphs().alias("p"))
     problems = S.content_problems(yes, yes, yes, F.col("density"), F.col("p.n"), F.col("p.average"), F.col("p.longest"))
     return d.select("doc_id", S.density_band(F.col("density")).alias("band"), F.array_join(problems, ",").alias("problems"))
 
@@ -168,7 +169,7 @@ def _headings(load):
 - case when len(h2) > 0 and len(list_filter(h2, lambda x: contains(lower(x), 'the'))) = 0 then 5 else 0 end
 - least(10, 2 * n_empty) - least(10, 2 * len(dups)))::bigint as score from u""")
 def heading_score(load):
-    return _headings(load).select("doc_id", S.heading_score(F.col("h1"), F.col("h2"), F.col("h3"), KW).alias("score"))
+    return _headings(load).select("doc_id", S.heading_score(F.col("h1"), F.col("h2"), F.col("h3"), kw()).alias("score"))
 
 
 @query(f"{_HEADS} select doc_id, array_to_string(dups, '|') as duplicates from u where len(dups) > 0")
@@ -194,7 +195,7 @@ group by term order by domain_count desc, term limit 20""")
 def doc_freq_terms(load):
     """Top 20 heading terms by the number of documents that use them."""
     docs = load("documents").select("doc_id", F.array(first_line()).alias("headings"))
-    return blueprint.heading_topics(docs, "doc_id", "headings", KW, 20)
+    return blueprint.heading_topics(docs, "doc_id", "headings", kw(), 20)
 
 
 @query(f"""with d as (select doc_id, {WORDS} as wc, len(string_split(text, chr(10))) as lines, lower(text) as body from documents)
@@ -256,7 +257,7 @@ select a, b, coalesce(sim, 1.0) < 0.45 or (hb >= 3 and ha = 0) or (changed and c
 def cloak_verdict(load):
     p = _pairs(load)
     title = lambda c: F.lower(F.trim(F.split(c, "\n")[0]))
-    v = S.cloaking(F.col("similarity"), T.count_substring(F.col("text_a"), KW), T.count_substring(F.col("text_b"), KW), title("text_a") != title("text_b"))
+    v = S.cloaking(F.col("similarity"), T.count_substring(F.col("text_a"), kw()), T.count_substring(F.col("text_b"), kw()), title("text_a") != title("text_b"))
     return p.select("a", "b", v.alias("cloaking"))
 
 
@@ -278,7 +279,7 @@ round(coalesce(b.hits::double / nullif(b.wc, 0) * 100, 0) - coalesce(a.hits::dou
 case when a.seo + a.heading + a.entity > b.seo + b.heading + b.entity then 'your_website' when a.seo + a.heading + a.entity < b.seo + b.heading + b.entity then 'competitor' else 'tie' end as winner
 from m a join m b on b.doc_id = a.doc_id + 1""")
 def compare_pairs(load):
-    w, h = T.count_words(F.col("text")), T.count_keyword(F.col("text"), KW)
+    w, h = T.count_words(F.col("text")), T.count_keyword(F.col("text"), kw())
     density = F.coalesce(F.try_divide(h.cast("double"), w) * 100, F.lit(0.0))
     n = F.col("n_chars")
     m = load("documents").select("doc_id", F.struct((n % 101).alias("seo_score"), w.alias("word_count"), (n % 83).alias("heading_score"), (n % 67).alias("entity_coverage"), density.alias("keyword_density"), F.lit(0).alias("internal_links")).alias("m"))

@@ -11,7 +11,8 @@ from ..operators import amp, joins, ranking
 from ..operators.html_pages import parse_pages
 from .registry import query
 
-KW = F.lit("the")
+def kw():
+    return F.lit("the")
 _PLAIN = r"regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<(?:script|style)[^>]*>.*?</(?:script|style)>', '', 'g'), '<[^>]*>', ' ', 'g')"
 _UNESC = r"replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&#39;', ''''), '&amp;', '&')"
 _CLEAN = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
@@ -77,7 +78,7 @@ select page_id, least(case when evidence then score else least(score, 45) end, 1
 def hijack_score(load):
     """Signals that have no column here come from the id."""
     p = load("pages").withColumn("host", U.domain(F.col("url")))
-    density = T.indexed_density(T.count_substring(F.col("html"), KW), F.lit(1), F.floor(F.length("html") / 6))
+    density = T.indexed_density(T.count_substring(F.col("html"), kw()), F.lit(1), F.floor(F.length("html") / 6))
     token = F.array(F.lit("tion"))
     parts = S.hijack_parts(F.col("page_id") % 3 == 0, F.col("page_id") % 5 == 0, U.host_class(F.col("host")), U.is_parasite(F.col("host"), token), F.lit(False), F.lit(0), F.lit(0.0), density)
     return p.select("page_id", parts.alias("h")).select("page_id", F.col("h.score").alias("confidence"), F.col("h.hijacked").alias("is_hijacked"))
@@ -118,7 +119,7 @@ def seo_score_legacy(load):
 select page_id, wc >= 150 and contains(body, 'the') as usable from m""")
 def usable_pages(load):
     p = parse_pages(load("pages"))
-    return p.select("page_id", S.is_usable(F.col("page.word_count"), F.col("page.visible_text"), T.keyword_tokens(KW)).alias("usable"))
+    return p.select("page_id", S.is_usable(F.col("page.word_count"), F.col("page.visible_text"), T.keyword_tokens(kw())).alias("usable"))
 
 
 @query(rf"""with h as (select page_id, html, regexp_extract(html, '(?is)<head[^>]*>(.*?)</head>', 1) as head, regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) as body,
