@@ -38,7 +38,7 @@ ROUNDS = 3
 OWN, TAIL = 2000, 512
 LOOKUP = 65_536
 SEGMENT = 512
-_AT_ONCE = 1 << 20  # tokens that are trained on together
+_AT_ONCE = 1 << 19  # tokens that are trained on together
 END = b""  # no word is empty
 N_CLASSES = OWN + 1 + TAIL
 
@@ -250,7 +250,7 @@ def classified(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         voc = shared.value
         counts, own = voc.counts, voc.own
         norm = [math.log10(n + 0.5 * (v + 1)) for n, v in zip(voc.tail_total, voc.tail_distinct)]
-        for b in batches:
+        for b in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
             rows = []
             for t in utf8(b, "text"):
                 words = t.lower().split()
@@ -278,7 +278,7 @@ def classified(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 seq = np.fromiter(map(of.__getitem__, words), np.uint16, len(words)).tobytes()
                 rows.append((len(words), known, sum_log, own_log, tail, seq, rare, rare_n))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             yield pa.record_batch([*[b.column(b.schema.get_field_index(c)) for c in ("doc_id", "v", "held_out")], *cols], names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("v"), held_out(F.col("doc_id")).alias("held_out"), "text")
