@@ -241,6 +241,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     about = classes.select("label", "embedding", "rep", "n").join(links, "rep", "left").join(labels.toDF("rep", "component"), "rep", "left")
     about = about.select("label", "embedding", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = vectors.join(about, ["label", "embedding"], "left")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn(
+    named = F.col("vec_id").isNotNull()
+    links, component = F.when(named, F.coalesce("links", F.lit(0))).otherwise(0), F.when(named, F.coalesce("component", "vec_id"))
+    return out.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
     )
