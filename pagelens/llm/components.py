@@ -5,7 +5,7 @@ the edges are rewritten to those ids and made distinct. A star is done in one ro
 a path of n nodes takes about log n. The minimum is combined before the shuffle, so
 a node with very many edges costs no more than another one, and all joins are plain
 equality joins, which adaptive execution splits where a key is hot. Every round's
-tables are written to the shared folder.
+edges and map are written to the shared folder; the maps are composed at the end.
 """
 
 from __future__ import annotations
@@ -20,15 +20,22 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component (the smallest node reachable) of each node that has an edge (a, b)."""
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     edges = scratch.put(edges, "edges")
-    labels = scratch.put(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), "nodes")
+    maps = []
     while not edges.isEmpty():
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("a").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"))
         least = scratch.put(ends.groupBy(F.col("e.u").alias("u")).agg(F.min("e.v").alias("m")), "least")
+        maps.append(least)
         moved = edges.join(least.toDF("a", "ma"), "a").join(least.toDF("b", "mb"), "b")
         fresh = moved.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).where("a < b").distinct()
-        named = labels.join(least.toDF("component", "m"), "component", "left").select("node", F.coalesce("m", "component").alias("component"))
-        old = (edges, labels, least)
-        edges, labels = scratch.put(fresh, "edges"), scratch.put(named, "labels")
-        scratch.drop(*old)
+        old, edges = edges, scratch.put(fresh, "edges")
+        scratch.drop(old)
     scratch.drop(edges)
+    if not maps:
+        return edges.sparkSession.createDataFrame([], "node long, component long")
+    # Every node is in the first map; the others name what it became.
+    labels = maps[0].toDF("node", "component")
+    for later in maps[1:]:
+        labels = labels.join(later.toDF("component", "m"), "component", "left").select("node", F.coalesce("m", "component").alias("component"))
+    labels = scratch.put(labels, "labels")
+    scratch.drop(*maps)
     return labels

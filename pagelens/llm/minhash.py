@@ -7,7 +7,7 @@ bins (optimal densification). ROWS bins make a band. Documents with equal sets a
 one class, and only its smallest id goes on.
 
 Band keys are range-sorted together with the next band's key. In each bucket, every
-member gets an edge to the bucket's first member (a star) and one to the member
+member gets an edge to the bucket's least member (a star) and one to the member
 before it, so a bucket of n members gives under 2n pairs. Pairs whose sizes rule the
 threshold out go. The rest are confirmed on full sets: first the best pair of each
 document, then those that still lie in different components.
@@ -130,31 +130,33 @@ def candidate_pairs(reps: DataFrame, threshold: int) -> DataFrame:
     bands = bands.repartitionByRange("key", "next", "doc_id").sortWithinPartitions("key", "next", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The bucket that the last batch ended in: key, first member, last member.
+        # The bucket that the last batch ended in: key, least member so far, last member, their sizes.
         carry = None
-        for b in batches:
-            key, doc, n = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "n_shingles"))
+        for batch in batches:
+            key, doc, n = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "n_shingles"))
             if not len(key):
                 continue
-            if carry is not None:
+            own = 0
+            if carry is not None and carry[0][0] == key[0]:
+                own = 2
                 key, doc, n = (np.concatenate([c, x]) for c, x in zip(carry, (key, doc, n)))
-            head = np.concatenate([[True], key[1:] != key[:-1]])
-            if carry is not None:
-                head[1] = key[1] != key[0]
-            first = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-            before = np.arange(len(key)) - 1
-            left, right = [], []
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(head, len(key)))
+            # The least member of each bucket is its centre.
+            order = np.lexsort((doc, np.repeat(np.arange(len(head)), size)))
+            centre = np.repeat(order[head], size)
+            before = np.maximum(np.arange(len(key)) - 1, np.repeat(head, size))
             at = np.arange(len(key))
-            fresh = 2 if carry is not None else 0
-            for other in (first, before):
-                ok = ~head & (at >= fresh) & (doc[other] != doc)
+            ends = [order[head[-1]], len(key) - 1]
+            carry = tuple(x[ends] for x in (key, doc, n))
+            left, right = [], []
+            for other in (centre, before):
+                ok = (doc[other] != doc) & ((at >= own) | (other >= own))
                 if other is before:
-                    ok &= before != first
+                    ok &= before != centre
                 ok &= 100 * np.minimum(n, n[other]) >= threshold * np.maximum(n, n[other])
                 left.append(np.minimum(doc[ok], doc[other[ok]]))
                 right.append(np.maximum(doc[ok], doc[other[ok]]))
-            ends = [first[-1], len(key) - 1]
-            carry = tuple(x[ends] for x in (key, doc, n))
             yield pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
     return bands.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("bands"))

@@ -16,8 +16,12 @@ document of smaller id. Three steps:
    are neighbours and share LENGTH bytes are one string; its least document stays.
 3. The spans come together by document, are united, and are cut from the text.
 
-Hot strings: equal stretches inside a task collapse to the one of least document
-before the shuffle. An anchor with over HOT occurrences is dealt window by window
+Between 1 and 2, runs of such stretches are cut into chunks at anchors of certain
+hashes. Of equal chunks, which copies are full of, all but those of the least
+document go as a whole, first inside a task and then by digest.
+
+Hot strings: since equal chunks collapse inside a task, a text that a third of all
+documents hold costs a row for each task. An anchor with over HOT occurrences is dealt window by window
 instead, by the window's own hash, so that different surroundings of a common
 passage spread over all partitions.
 
@@ -40,9 +44,10 @@ from .common import U64, Scratch, in_blocks, ints, mix, prefix_hash, span_hash,
 
 LENGTH = 50
 K = 20
-HOT = 4096
+HOT = 8192
 _SPAN = LENGTH - K + 1  # K-grams of a window
 _BUCKETS_BITS = 10
+CUT = 8
 _PART = 1 << 20  # window starts that are hashed at a time
 _LOW = U64((1 << 22) - 1)
 #: Bytes of text whose anchors are counted before the shuffle, and of stretches sorted by one partition.
@@ -200,55 +205,97 @@ def shared_anchors(packed: DataFrame) -> DataFrame:
     return packed.repartition("bucket").mapInArrow(run, "h long, doc_id long, code long")
 
 
-# -- stretches -----------------------------------------------------------------
+# -- chunks and stretches --------------------------------------------------------
 
 
-def stretches(docs: DataFrame) -> DataFrame:
-    """key, doc_id, _k, lo, stretch: text of the windows of each shared anchor.
+def chunks(docs: DataFrame) -> DataFrame:
+    """digest, doc_id, _k, lo, size, chunk, hot: text around runs of windows with shared anchors.
 
-    Of equal stretches in a block, those of the least document go on; the others are
-    settled, with a null key and their whole length in ``lo`` and ``size``.
+    A run is cut after anchors whose hash is divisible by CUT, so equal runs give
+    equal chunks. Of equal chunks in a block, those of the least document go on;
+    the others are settled, with a null digest.
     """
+    names = ["digest", "doc_id", "_k", "lo", "size", "chunk", "hot"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def flush(held: dict, settled: list) -> Iterator[pa.RecordBatch]:
-        rows = [(key, d, k, lo, len(s), s) for (key, s), (d, where) in held.items() for k, lo in where] + settled
+        rows = [(key, d, k, lo, len(c), c, hot) for key, (d, c, hot, where) in held.items() for k, lo in where] + settled
         for a in range(0, len(rows), 20_000):
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 20_000]), kinds)], ["key", "doc_id", "_k", "lo", "size", "stretch"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 20_000]), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         settled: list = []
         n = 0
         for b in batches:
-            for d, k, t, found in zip(ints(b, "doc_id"), ints(b, "_k"), utf8(b, "text"), ints(b, "found")):
-                for x in found:
-                    code, h = x["code"], x["h"]
-                    lo = code >> 28
-                    hi = lo + (code >> 6 & 63)
-                    if x["hot"]:
-                        own = [t[s : s + LENGTH] for s in range(lo, hi + 1)]
-                        todo = [(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), w, lo + i) for i, w in enumerate(own)]
-                    else:
-                        todo = [(h, t[lo : hi + LENGTH], lo)]
-                    for key, s, at in todo:
-                        was = held.get((key, s))
-                        n += 1
-                        if was is None:
-                            held[key, s] = (d, [(k, at)])
-                        elif was[0] == d:
-                            was[1].append((k, at))
-                        elif was[0] < d:
-                            settled.append((None, d, k, at, len(s), None))
-                        else:
-                            settled += [(None, was[0], a, c, len(s), None) for a, c in was[1]]
-                            held[key, s] = (d, [(k, at)])
-                if n > 200_000:
-                    yield from flush(held, settled)
-                    held, settled, n = {}, [], 0
+            col = b.column(b.schema.get_field_index("found"))
+            flat = col.flatten()
+            code, h, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("code", "h", "hot"))
+            edges = col.offsets.to_numpy() - col.offsets[0].as_py()
+            doc = np.repeat(np.arange(len(col)), np.diff(edges))
+            order = np.lexsort((code, doc))
+            code, h, hot, doc = code[order], h[order], hot[order], doc[order]
+            lo = code >> 28
+            hi = lo + (code >> 6 & 63)
+            new = np.ones(len(lo), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (lo[1:] != hi[:-1] + 1) | (h[:-1] & (CUT - 1) == 0)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(lo)) - 1
+            any_hot = np.add.reduceat(hot, first) > 0 if len(first) else first
+            ids, ks, texts = ints(b, "doc_id"), ints(b, "_k"), utf8(b, "text")
+            for i, z, at, start, end, warm in zip(first.tolist(), last.tolist(), doc[first].tolist(), lo[first].tolist(), hi[last].tolist(), any_hot.tolist()):
+                d, k, c = ids[at], ks[at], texts[at][start : end + LENGTH]
+                key = hashlib.blake2b(c, digest_size=16).digest()
+                was = held.get(key)
+                if was is None or d < was[0]:
+                    if was is not None:
+                        settled += [(None, was[0], x, y, len(c), None, None) for x, y in was[3]]
+                    held[key] = (d, c, np.unique(h[i : z + 1][hot[i : z + 1]]) if warm else [], [(k, start)])
+                    n += len(c)
+                elif was[0] == d:
+                    was[3].append((k, start))
+                else:
+                    settled.append((None, d, k, start, len(c), None, None))
+            if n > BLOCK or len(settled) > 200_000:
+                yield from flush(held, settled)
+                held, settled, n = {}, [], 0
         yield from flush(held, settled)
 
-    return docs.mapInArrow(run, "key long, doc_id long, _k long, lo long, size long, stretch binary")
+    return docs.mapInArrow(run, "digest binary, doc_id long, _k long, lo long, size long, chunk binary, hot array<long>")
+
+
+def stretches(found: DataFrame) -> DataFrame:
+    """key, doc_id, _k, lo, stretch: of each chunk, the text of the windows of each anchor, keyed by the anchor.
+
+    Windows of a hot anchor come one by one, keyed by themselves.
+    """
+    names = ["key", "doc_id", "_k", "lo", "stretch"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 2000) for x in batches for i in range(0, x.num_rows, 2000)):
+            ids, ks, base, texts, hots = (ints(b, c) for c in ("doc_id", "_k", "lo", "chunk", "hot"))
+            for a, z in in_blocks(texts, len, _PART // 2):
+                rows = []
+                h, own, code = _anchors_of(texts[a:z])
+                for key, i, c in zip(h.view(np.int64).tolist(), own.tolist(), code.tolist()):
+                    i += a
+                    lo = c >> 28
+                    hi = lo + (c >> 6 & 63)
+                    t = texts[i]
+                    if len(rows) > 20_000:
+                        yield pa.record_batch([pa.array(c, t_) for c, t_ in zip(zip(*rows), kinds)], names)
+                        rows = []
+                    if hots[i] and key in hots[i]:
+                        for s in range(lo, hi + 1):
+                            w = t[s : s + LENGTH]
+                            rows.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), ids[i], ks[i], base[i] + s, w))
+                    else:
+                        rows.append((key, ids[i], ks[i], base[i] + lo, t[lo : hi + LENGTH]))
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    return found.select("doc_id", "_k", "lo", "chunk", "hot").mapInArrow(run, "key long, doc_id long, _k long, lo long, stretch binary")
 
 
 # -- suffix arrays ---------------------------------------------------------------
@@ -346,28 +393,35 @@ def repeated(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def spans(found: DataFrame, partitions: int) -> DataFrame:
-    """doc_id, _k, start, end: byte spans to remove."""
+    """doc_id, _k, start, end: byte spans of stretches that repeat one of a smaller document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "_k", "start", "end"]
-        texts: list[bytes] = []
         parts: list = []
         for b in batches:
-            key = b.column(b.schema.get_field_index("key"))
-            doc, k, lo, size = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "_k", "lo", "size"))
-            done = np.asarray(key.is_null())
-            if done.any():
-                yield pa.record_batch([pa.array(doc[done]), pa.array(k[done]), pa.array(lo[done]), pa.array((lo + size)[done])], names)
-            texts += [x for x in ints(b, "stretch") if x is not None]
-            parts.append((doc[~done], k[~done], lo[~done]))
-        if texts:
-            doc, k, lo = (np.concatenate(x) for x in zip(*parts))
-            i, a, z = repeated(texts, doc)
-            yield pa.record_batch([pa.array(doc[i]), pa.array(k[i]), pa.array(lo[i] + a), pa.array(lo[i] + z + LENGTH)], names)
-
-    # Settled rows go anywhere.
-    route = F.coalesce("key", F.xxhash64("doc_id", "lo"))
-    return found.repartition(partitions, route).mapInArrow(run, "doc_id long, _k long, start long, end long")
+            parts.append([b.column(b.schema.get_field_index(c)) for c in ("doc_id", "_k", "lo", "stretch")])
+        if not parts:
+            return
+        *numbers, texts = (pa.chunked_array(list(x)) for x in zip(*parts))
+        doc, k, lo = (x.to_numpy() for x in numbers)
+        # Equal stretches are sorted once, as one of their least document.
+        once = texts.combine_chunks().dictionary_encode()
+        which, texts = once.indices.to_numpy(), once.dictionary.to_pylist()
+        least = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, doc)
+        size = np.array([len(t) for t in texts], np.int64)
+        i, a, z = repeated(texts, least)
+        whole = np.flatnonzero(doc > least[which])
+        first = np.flatnonzero(doc == least[which])
+        # The runs of each text that a smaller document has, for every occurrence in its own.
+        begin, end = np.searchsorted(i, which[first], "left"), np.searchsorted(i, which[first], "right")
+        each = np.repeat(first, end - begin)
+        run_ = np.repeat(begin - np.concatenate([[0], np.cumsum(end - begin)[:-1]]), end - begin) + np.arange(len(each)) if len(first) else each
+        rows = np.concatenate([whole, each])
+        start = np.concatenate([lo[whole], lo[each] + a[run_]])
+        stop = np.concatenate([lo[whole] + size[which[whole]], lo[each] + z[run_] + LENGTH])
+        yield pa.record_batch([pa.array(doc[rows]), pa.array(k[rows]), pa.array(start), pa.array(stop)], ["doc_id", "_k", "start", "end"])
+
+    return found.repartition(partitions, "key").mapInArrow(run, "doc_id long, _k long, start long, end long")
 
 
 # -- the operator ------------------------------------------------------------------
@@ -393,12 +447,21 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     own = shared.where("doc_id is not null").join(hot, "h", "left")
     own = own.select("doc_id", F.expr("shiftright(code, 12) & 65535").alias("_k"), F.struct("h", "code", F.coalesce("hot", F.lit(False)).alias("hot")).alias("x"))
     found = own.groupBy("doc_id", "_k").agg(F.collect_list("x").alias("found"))
-    pieces = scratch.put(stretches(docs.join(found, ["doc_id", "_k"])), "stretches")
-    bytes_ = pieces.where("key is not null").agg(F.sum("size")).first()[0] or 0
-    gone = spans(pieces, max(1, -(-bytes_ // SORTED)))
+    pieces = scratch.put(chunks(docs.join(found, ["doc_id", "_k"])), "chunks")
+    scratch.drop(shared)
+    # Of equal chunks, only those of the least document need comparing with others.
+    open_ = pieces.where("digest is not null")
+    least = open_.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    firsts = scratch.put(open_.join(least, "digest").where("doc_id = least").drop("digest", "least"), "firsts")
+    whole = open_.select("digest", "doc_id", "_k", "lo", "size").join(least, "digest").where("doc_id > least").select("doc_id", "_k", "lo", "size")
+    whole = scratch.put(whole.unionAll(pieces.where("digest is null").select("doc_id", "_k", "lo", "size")), "whole")
+    scratch.drop(pieces)
+    windows = firsts.agg(F.sum("size")).first()[0] or 0
+    gone = spans(stretches(firsts), max(1, -(-4 * windows // SORTED)))
+    gone = gone.unionAll(whole.select("doc_id", "_k", F.col("lo").alias("start"), (F.col("lo") + F.col("size")).alias("end")))
     gone = gone.groupBy("doc_id", "_k").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
     gone = scratch.put(gone, "gone")
-    scratch.drop(shared, pieces)
+    scratch.drop(firsts, whole)
     return gone
 
 
