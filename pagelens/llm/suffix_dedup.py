@@ -44,7 +44,7 @@ from .common import U64, Scratch, in_blocks, ints, mix, prefix_hash, span_hash,
 
 LENGTH = 50
 K = 20
-HOT = 8192
+HOT = 4096
 _SPAN = LENGTH - K + 1  # K-grams of a window
 _BUCKETS_BITS = 10
 CUT = 8
@@ -273,9 +273,9 @@ def stretches(found: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(i, 2000) for x in batches for i in range(0, x.num_rows, 2000)):
+        for b in batches:
             ids, ks, base, texts, hots = (ints(b, c) for c in ("doc_id", "_k", "lo", "chunk", "hot"))
-            for a, z in in_blocks(texts, len, _PART // 2):
+            for a, z in in_blocks(texts, len, _PART):
                 rows = []
                 h, own, code = _anchors_of(texts[a:z])
                 for key, i, c in zip(h.view(np.int64).tolist(), own.tolist(), code.tolist()):
@@ -283,9 +283,6 @@ def stretches(found: DataFrame) -> DataFrame:
                     lo = c >> 28
                     hi = lo + (c >> 6 & 63)
                     t = texts[i]
-                    if len(rows) > 20_000:
-                        yield pa.record_batch([pa.array(c, t_) for c, t_ in zip(zip(*rows), kinds)], names)
-                        rows = []
                     if hots[i] and key in hots[i]:
                         for s in range(lo, hi + 1):
                             w = t[s : s + LENGTH]
@@ -396,30 +393,15 @@ def spans(found: DataFrame, partitions: int) -> DataFrame:
     """doc_id, _k, start, end: byte spans of stretches that repeat one of a smaller document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[bytes] = []
         parts: list = []
         for b in batches:
-            parts.append([b.column(b.schema.get_field_index(c)) for c in ("doc_id", "_k", "lo", "stretch")])
-        if not parts:
-            return
-        *numbers, texts = (pa.chunked_array(list(x)) for x in zip(*parts))
-        doc, k, lo = (x.to_numpy() for x in numbers)
-        # Equal stretches are sorted once, as one of their least document.
-        once = texts.combine_chunks().dictionary_encode()
-        which, texts = once.indices.to_numpy(), once.dictionary.to_pylist()
-        least = np.full(len(texts), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, doc)
-        size = np.array([len(t) for t in texts], np.int64)
-        i, a, z = repeated(texts, least)
-        whole = np.flatnonzero(doc > least[which])
-        first = np.flatnonzero(doc == least[which])
-        # The runs of each text that a smaller document has, for every occurrence in its own.
-        begin, end = np.searchsorted(i, which[first], "left"), np.searchsorted(i, which[first], "right")
-        each = np.repeat(first, end - begin)
-        run_ = np.repeat(begin - np.concatenate([[0], np.cumsum(end - begin)[:-1]]), end - begin) + np.arange(len(each)) if len(first) else each
-        rows = np.concatenate([whole, each])
-        start = np.concatenate([lo[whole], lo[each] + a[run_]])
-        stop = np.concatenate([lo[whole] + size[which[whole]], lo[each] + z[run_] + LENGTH])
-        yield pa.record_batch([pa.array(doc[rows]), pa.array(k[rows]), pa.array(start), pa.array(stop)], ["doc_id", "_k", "start", "end"])
+            texts += ints(b, "stretch")
+            parts.append([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "_k", "lo")])
+        if texts:
+            doc, k, lo = (np.concatenate(x) for x in zip(*parts))
+            i, a, z = repeated(texts, doc)
+            yield pa.record_batch([pa.array(doc[i]), pa.array(k[i]), pa.array(lo[i] + a), pa.array(lo[i] + z + LENGTH)], ["doc_id", "_k", "start", "end"])
 
     return found.repartition(partitions, "key").mapInArrow(run, "doc_id long, _k long, start long, end long")
 
@@ -448,20 +430,19 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     own = own.select("doc_id", F.expr("shiftright(code, 12) & 65535").alias("_k"), F.struct("h", "code", F.coalesce("hot", F.lit(False)).alias("hot")).alias("x"))
     found = own.groupBy("doc_id", "_k").agg(F.collect_list("x").alias("found"))
     pieces = scratch.put(chunks(docs.join(found, ["doc_id", "_k"])), "chunks")
-    scratch.drop(shared)
     # Of equal chunks, only those of the least document need comparing with others.
     open_ = pieces.where("digest is not null")
     least = open_.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    named = open_.select("digest", "doc_id", "_k", "lo", "size").join(least, "digest")
+    whole = pieces.where("digest is null").select("doc_id", "_k", "lo", "size")
+    whole = whole.unionAll(named.where("doc_id > least").select("doc_id", "_k", "lo", "size"))
     firsts = scratch.put(open_.join(least, "digest").where("doc_id = least").drop("digest", "least"), "firsts")
-    whole = open_.select("digest", "doc_id", "_k", "lo", "size").join(least, "digest").where("doc_id > least").select("doc_id", "_k", "lo", "size")
-    whole = scratch.put(whole.unionAll(pieces.where("digest is null").select("doc_id", "_k", "lo", "size")), "whole")
-    scratch.drop(pieces)
     windows = firsts.agg(F.sum("size")).first()[0] or 0
     gone = spans(stretches(firsts), max(1, -(-4 * windows // SORTED)))
     gone = gone.unionAll(whole.select("doc_id", "_k", F.col("lo").alias("start"), (F.col("lo") + F.col("size")).alias("end")))
     gone = gone.groupBy("doc_id", "_k").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
     gone = scratch.put(gone, "gone")
-    scratch.drop(firsts, whole)
+    scratch.drop(shared, pieces, firsts)
     return gone
 
 
