@@ -92,8 +92,16 @@ class Vocabulary:
 
     @classmethod
     def of(cls, counts: DataFrame) -> Vocabulary:
-        top = counts.orderBy(F.desc("c"), "word").limit(LOOKUP).collect()
-        words = [(bytes(r["word"]), r["c"]) for r in top]
+        # A histogram of counts, a few thousand rows at most, says how far down LOOKUP words reach.
+        level = F.floor(F.log2("c") * 64)
+        held, low = 0, None
+        for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+            held += r["n"]
+            if held > LOOKUP:
+                break
+            low = r["level"]
+        top = counts.where(level >= low).collect() if low is not None else []
+        words = sorted(((bytes(r["word"]), r["c"]) for r in top), key=lambda x: (-x[1], x[0]))
         own = {w: i for i, (w, _) in enumerate([x for x in words if x[0] != END][:OWN])}
         rows = counts.groupBy((F.crc32("word") % TAIL).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
         total, distinct = [0] * TAIL, [0] * TAIL
