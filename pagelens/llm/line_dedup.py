@@ -40,6 +40,8 @@ def removals(docs: DataFrame, min_words: int = 1) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     all_units = scratch.put(units(docs, min_words), "units")
     first = all_units.groupBy("digest").agg(F.min(_rank()).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    # Written, so that the join deals both sides afresh and a hot digest can be split.
+    first = scratch.put(first, "first")
     later = all_units.join(first, "digest").where(_rank() != F.col("_first"))
     gone = later.groupBy("doc_id", "_v").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
     return scratch.put(gone, "gone")
