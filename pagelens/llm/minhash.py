@@ -178,7 +178,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     reps = sig.select("doc_id", "keys", *same).join(classes, [*same]).where("doc_id = rep")
     pairs = scratch.put(candidate_pairs(reps.select("doc_id", "n_shingles", "keys"), threshold), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.put(sets_of(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")), "sets")
+    # One plan at every size: the ids grow with the corpus, so they are never broadcast.
+    sets = scratch.put(sets_of(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi")), "sets")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a"))
     links = scratch.put(confirm(best, sets, threshold), "links")
     labels = components(links, scratch)
