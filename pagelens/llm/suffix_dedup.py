@@ -51,7 +51,7 @@ CUT = 8
 _PART = 1 << 20  # window starts that are hashed at a time
 _LOW = U64((1 << 22) - 1)
 #: Bytes of text whose anchors are counted before the shuffle, and of stretches sorted by one partition.
-BLOCK, SORTED = 16 << 20, 1 << 21
+BLOCK, SORTED = 16 << 20, 1 << 20
 
 
 # -- anchors -------------------------------------------------------------------
@@ -230,15 +230,17 @@ def chunks(docs: DataFrame) -> DataFrame:
         for b in batches:
             col = b.column(b.schema.get_field_index("found"))
             flat = col.flatten()
-            code, h, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("code", "h", "hot"))
+            code, cut = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("code", "cut"))
+            hot = np.asarray(flat.field("hot").is_valid())
+            h = flat.field("hot").fill_null(0).to_numpy(zero_copy_only=False)
             edges = col.offsets.to_numpy() - col.offsets[0].as_py()
             doc = np.repeat(np.arange(len(col)), np.diff(edges))
             order = np.lexsort((code, doc))
-            code, h, hot, doc = code[order], h[order], hot[order], doc[order]
+            code, cut, h, hot, doc = code[order], cut[order], h[order], hot[order], doc[order]
             lo = code >> 28
             hi = lo + (code >> 6 & 63)
             new = np.ones(len(lo), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (lo[1:] != hi[:-1] + 1) | (h[:-1] & (CUT - 1) == 0)
+            new[1:] = (doc[1:] != doc[:-1]) | (lo[1:] != hi[:-1] + 1) | cut[:-1]
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(lo)) - 1
             any_hot = np.add.reduceat(hot, first) > 0 if len(first) else first
@@ -445,7 +447,7 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     shared = scratch.put(shared_anchors(packed_anchors(docs)), "shared")
     hot = scratch.put(shared.where("doc_id is null").select("h").distinct(), "hot").withColumn("hot", F.lit(True))
     own = shared.where("doc_id is not null").join(hot, "h", "left")
-    own = own.select("doc_id", F.expr("shiftright(code, 12) & 65535").alias("_k"), F.struct("h", "code", F.coalesce("hot", F.lit(False)).alias("hot")).alias("x"))
+    own = own.select("doc_id", F.expr("shiftright(code, 12) & 65535").alias("_k"), F.struct("code", (F.col("h").bitwiseAND(CUT - 1) == 0).alias("cut"), F.when(F.col("hot"), F.col("h")).alias("hot")).alias("x"))
     found = own.groupBy("doc_id", "_k").agg(F.collect_list("x").alias("found"))
     pieces = scratch.put(chunks(docs.join(found, ["doc_id", "_k"])), "chunks")
     scratch.drop(shared)
@@ -490,7 +492,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     gone = removals(docs, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             cols: list[list] = [[], [], [], [], []]
             for t, g in zip(utf8(b, "text"), ints(b, "gone")):
                 cut = _united(g)
@@ -515,7 +517,7 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             old, lost = ints(b, "text"), ints(b, "gone")
             text = [t if not g else _rest(t.encode(), _united(g)).decode(errors="ignore") for t, g in zip(old, lost)]
             new = {"text": pa.array(text, pa.string())}
