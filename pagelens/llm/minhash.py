@@ -12,6 +12,13 @@ before it, so a bucket of n members gives under 2n pairs. Pairs whose sizes rule
 threshold out go. The rest are confirmed on full sets: first the best pair of each
 document, then those that still lie in different components.
 
+What these edges leave apart is settled exactly. A bucket that still holds several
+components, cut by a task border or not, gives its pair if it has two members; the
+members of larger ones are joined by prefix: with shingles ordered by the number of
+components that hold them, two similar sets share one among the first of each, and
+what its places leave must suffice for the threshold. Shingles of one component only
+and pairs inside a component are never joined.
+
 A pair at similarity s shares no bucket with probability (1 - s^ROWS)^BANDS: 2.5e-7
 at 0.75, below 1e-10 at 0.8.
 
@@ -123,8 +130,11 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set array<long>")
 
 
-def candidate_pairs(reps: DataFrame, threshold: int) -> DataFrame:
-    """a < b, bands: distinct pairs and the number of edges between them."""
+def bucket_rows(reps: DataFrame, threshold: int) -> DataFrame:
+    """Edges a < b (key null), and the members a of size n of each bucket, key.
+
+    Buckets of one member are left out, but for those at the borders of batches.
+    """
     bands = reps.select("doc_id", "n_shingles", F.posexplode("keys").alias("i", "key"), "keys")
     bands = bands.select("key", F.get("keys", (F.col("i") + 1) % BANDS).alias("next"), "doc_id", "n_shingles")
     bands = bands.repartitionByRange("key", "next", "doc_id").sortWithinPartitions("key", "next", "doc_id")
@@ -149,6 +159,9 @@ def candidate_pairs(reps: DataFrame, threshold: int) -> DataFrame:
             at = np.arange(len(key))
             ends = [order[head[-1]], len(key) - 1]
             carry = tuple(x[ends] for x in (key, doc, n))
+            shared = np.repeat(size > 1, size)
+            shared[: size[0]] = shared[len(key) - size[-1] :] = True
+            shared[:own] = False
             left, right = [], []
             for other in (centre, before):
                 ok = (doc[other] != doc) & ((at >= own) | (other >= own))
@@ -157,9 +170,17 @@ def candidate_pairs(reps: DataFrame, threshold: int) -> DataFrame:
                 ok &= 100 * np.minimum(n, n[other]) >= threshold * np.maximum(n, n[other])
                 left.append(np.minimum(doc[ok], doc[other[ok]]))
                 right.append(np.maximum(doc[ok], doc[other[ok]]))
-            yield pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+            none = pa.nulls(sum(map(len, left)), pa.int64())
+            nobody = pa.nulls(int(shared.sum()), pa.int64())
+            yield pa.record_batch(
+                [
+                    pa.concat_arrays([pa.array(np.concatenate(left)), pa.array(doc[shared])]), pa.concat_arrays([pa.array(np.concatenate(right)), nobody]),
+                    pa.concat_arrays([none, pa.array(key[shared])]), pa.concat_arrays([none, pa.array(n[shared])]),
+                ],
+                ["a", "b", "key", "n"],
+            )
 
-    return bands.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("bands"))
+    return bands.mapInArrow(run, "a long, b long, key long, n long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -176,8 +197,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     same = ["n_shingles", "s1", "s2"]
     classes = scratch.put(sig.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     reps = sig.select("doc_id", "keys", *same).join(classes, [*same]).where("doc_id = rep")
-    pairs = scratch.put(candidate_pairs(reps.select("doc_id", "n_shingles", "keys"), threshold), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    rows = scratch.put(bucket_rows(reps.select("doc_id", "n_shingles", "keys"), threshold), "buckets")
+    pairs = scratch.put(rows.where("key is null").groupBy("a", "b").agg(F.count("*").alias("bands")), "pairs")
+    members = rows.where("key is not null").select("key", F.col("a").alias("doc_id"), "n")
+    wanted = members.select("doc_id").distinct()
     # One plan at every size: the ids grow with the corpus, so they are never broadcast.
     sets = scratch.put(sets_of(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi")), "sets")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a"))
@@ -185,18 +208,55 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     labels = components(links, scratch)
     rest = _apart(pairs.join(best, ["a", "b"], "left_anti"), labels)
     more = scratch.put(confirm(rest, sets, threshold), "more")
-    scratch.drop(sets, pairs)
-    joined = _apart(more, labels).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    over = components(joined, scratch).toDF("component", "top")
-    final = labels.join(over, "component", "left").select(F.col("node").alias("rep"), F.coalesce("top", "component").alias("component"))
-    final = scratch.put(final, "final")
-    members = sig.select("doc_id", *same).join(classes, same, "left").join(final, "rep", "left")
+    labels = _merge(labels, more, scratch)
+    open_ = scratch.put(confirm(missed_pairs(members, sets, labels, threshold, scratch).join(pairs, ["a", "b"], "left_anti"), sets, threshold), "missed")
+    scratch.drop(sets, pairs, rows)
+    final = _merge(labels, open_, scratch).toDF("rep", "component")
+    every = sig.select("doc_id", *same).join(classes, same, "left").join(final, "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return members.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return every.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 
+def missed_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """a < b: the pairs of different components that share a bucket and can be similar, and maybe others that can."""
+    own = labels.toDF("doc_id", "label")
+    named = members.join(own, "doc_id", "left").select("key", F.coalesce("label", "doc_id").alias("label"), F.struct("doc_id", "n").alias("m"))
+    buckets = named.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("m").alias("x"), F.max("m").alias("y"))
+    mixed = scratch.put(buckets.where("lo <> hi").select("key", "size", "x", "y"), "mixed")
+    fits = lambda a, b: (100 * a >= threshold * b) & (100 * b >= threshold * a)
+    twos = mixed.where("size = 2").where(fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    todo = members.join(mixed.where("size > 2").select("key"), "key", "left_semi").select("doc_id").distinct()
+    todo = scratch.put(todo.join(own, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")), "unsettled")
+    # A doc_id may have several sets.
+    each = sets.join(todo, "doc_id").select("doc_id", "label", F.xxhash64("set").alias("v"), F.size("set").cast("long").alias("n"), F.explode("set").alias("s"))
+    held = each.select("s", "label").distinct().groupBy("s").agg(F.count("*").alias("c"))
+    ranked = each.join(held, "s").groupBy("doc_id", "label", "v", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("order"))
+    # A set of n shares at least threshold % of them with a similar one, and 2t / (1 + t) of them with one that is no smaller.
+    long = F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1).cast("int"))
+    firsts = ranked.select("doc_id", "label", "n", F.posexplode(long).alias("at", "e"))
+    firsts = firsts.where("e.c > 1").select(F.col("e.s").alias("s"), "label", "doc_id", "n", "at").distinct()
+    firsts = scratch.put(firsts, "firsts")
+    short = firsts.where((100 + threshold) * (F.col("n") - F.col("at")) >= 2 * threshold * F.col("n"))
+    # Components meet first, so that the members of one never meet each other.
+    meet = short.select("s", F.col("label").alias("la")).distinct().join(firsts.select("s", F.col("label").alias("lb")).distinct(), "s").where("la <> lb")
+    both = meet.join(short.toDF("s", "la", "a", "na", "pa"), ["s", "la"]).join(firsts.toDF("s", "lb", "b", "nb", "pb"), ["s", "lb"])
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    both = both.where("na <= nb").where(fits(F.col("na"), F.col("nb"))).where((100 + threshold) * left >= threshold * (F.col("na") + F.col("nb")))
+    return twos.unionAll(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
+def _merge(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, component after further links between the components."""
+    joined = _apart(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    over = scratch.put(components(joined, scratch).toDF("component", "top"), "over")
+    known = labels.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    # Nodes that had no link so far.
+    fresh = over.select(F.col("component").alias("node"), F.col("top").alias("component")).join(labels.select("node"), "node", "left_anti")
+    return scratch.put(known.unionByName(fresh), "merged")
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs in different components so far, with their labels la and lb."""
     out = pairs.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")

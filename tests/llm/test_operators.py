@@ -273,6 +273,23 @@ def test_minhash_large_family(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_minhash_boilerplate(spark):
+    """A long passage that all share, and pairs just above the threshold that no star or neighbour edge need join."""
+    rng = random.Random(5)
+    new = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    shared, rows = new(304), []
+    for _ in range(100):
+        both = new(12)
+        rows += [shared + both + new(48), shared + both + new(48), shared + new(60)]
+    rng.shuffle(rows)
+    texts = [" ".join(r) for r in rows]
+    sets = [shingles(t) for t in texts]
+    linked = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    at = classes(set(range(len(sets))), linked)
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(linked) == 100 and not [r.doc_id for r in got if r.component_id != at[r.doc_id]]
+
+
 # -- 6 mixing --------------------------------------------------------------------------------
 
 
