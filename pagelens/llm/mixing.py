@@ -5,7 +5,10 @@ into blocks of ``block_words``. A source whose target is t words out of its s ge
 round(t / s * blocks) slots. The slots of a source are dealt to the output shards by
 a multinomial draw, and slot k of the source holds block perm(k mod blocks), where
 perm is a pseudorandom permutation of the source's block numbers, a new one for each
-pass over the source. Blocks meet slots by an equality join on (source, block).
+pass over the source. Blocks meet slots by an equality join on (source, block), which
+gives the mix: the slots of each shard, in a pseudorandom order of its own, with the
+word spans of documents that fill them. What a document gives to the mix is counted
+from its slots.
 
 Nothing is collected but the table of sources, which is aggregated first.
 
@@ -137,8 +140,8 @@ def slots(spark, sources: list[dict], block_words: int, shard_slots: int, seed:
     return jobs_df.mapInArrow(run, "number long, shard long, slot long, block long")
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = 64, shard_slots: int = 4096, seed: int = 7) -> DataFrame:
-    """doc_id, _v, size, source_size, target, pieces array<struct<start, length, times>> (words of the document), taken."""
+def _deal(docs: DataFrame, weights: tuple, block_words: int, shard_slots: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The documents with their places and targets, and the mix."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     laid = scratch.put(layout(scratch.put(sizes(docs), "sizes")), "laid")
@@ -146,17 +149,37 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = 64
     # As large as the number of sources: a literal map, never larger than the rows collected for it.
     about = spark.createDataFrame([(s["source"], s["number"], s["target"]) for s in sources], "_s string, number long, target double")
     laid = laid.join(about, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    # Written, so that the planner knows its size: a plan made of generated rows looks small.
-    times = scratch.put(slots(spark, sources, block_words, shard_slots, seed).groupBy("number", "block").agg(F.count("*").alias("times")), "times")
     first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
-    spans = laid.where("size > 0").select("doc_id", "_v", "number", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
-    spans = spans.join(times, ["number", "block"])
+    spans = laid.where("size > 0").select("doc_id", "_v", "number", "source", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
     start = F.greatest(F.col("block") * block_words, F.col("at"))
     end = F.least((F.col("block") + 1) * block_words, F.col("at") + F.col("size"))
-    taken = spans.select("doc_id", "_v", F.col("at").alias("_at"), F.struct((start - F.col("at")).alias("start"), (end - start).alias("length"), "times").alias("p"))
-    taken = taken.groupBy("doc_id", "_v", "_at").agg(F.array_sort(F.collect_list("p")).alias("pieces"), F.sum(F.col("p.length") * F.col("p.times")).alias("taken"))
-    taken = taken.select(F.col("doc_id").alias("_d"), F.col("_v").alias("_w"), "_at", "pieces", "taken")
-    both = laid.join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_v") == F.col("_w")) & (F.col("at") == F.col("_at")), "left")
+    span = F.struct("at", "doc_id", "_v", (start - F.col("at")).alias("start"), (end - start).alias("length"))
+    blocks = spans.select("number", "block", "source", span.alias("p")).groupBy("number", "block").agg(
+        F.first("source").alias("source"), F.array_sort(F.collect_list("p")).alias("spans"), F.sum("p.length").alias("n_words")
+    )
+    # Written, so that the planner knows its size: a plan made of generated rows looks small.
+    own = scratch.put(slots(spark, sources, block_words, shard_slots, seed), "slots")
+    # A shard holds about shard_slots rows.
+    order = Window.partitionBy("shard").orderBy(F.xxhash64("number", "slot", F.lit(seed)), "number", "slot")
+    own = own.withColumn("slot", F.row_number().over(order).cast("long") - 1)
+    mix_table = own.join(blocks, ["number", "block"]).select("shard", "slot", "number", "source", "block", "n_words", "spans")
+    return laid, scratch.put(mix_table, "mix")
+
+
+def mix_slots(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = 64, shard_slots: int = 4096, seed: int = 7) -> DataFrame:
+    """The mix: shard, slot, number (of the source), source, block, n_words, spans array<struct<at, doc_id, _v, start, length>> (words of documents)."""
+    return _deal(docs, weights, block_words, shard_slots, seed)[1]
+
+
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = 64, shard_slots: int = 4096, seed: int = 7) -> DataFrame:
+    """doc_id, _v, size, source_size, target, pieces array<struct<start, length, times>> (words of the document), taken."""
+    laid, mixed = _deal(docs, weights, block_words, shard_slots, seed)
+    spans = mixed.select("number", F.explode("spans").alias("p")).groupBy("number", "p").agg(F.count("*").alias("times"))
+    taken = spans.select("number", F.col("p.doc_id").alias("_d"), F.col("p._v").alias("_w"), F.col("p.at").alias("_at"), F.struct("p.start", "p.length", "times").alias("p"))
+    taken = taken.groupBy("number", "_d", "_w", "_at").agg(F.array_sort(F.collect_list("p")).alias("pieces"), F.sum(F.col("p.length") * F.col("p.times")).alias("taken"))
+    taken = taken.withColumnRenamed("number", "_n")
+    same = (F.col("number") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_v") == F.col("_w")) & (F.col("at") == F.col("_at"))
+    both = laid.join(taken, same & (F.col("size") > 0), "left")
     none = F.array().cast("array<struct<start:bigint,length:bigint,times:bigint>>")
     return both.select("doc_id", "_v", "source", "at", "size", "source_size", "target", F.coalesce("pieces", none).alias("pieces"), F.coalesce("taken", F.lit(0)).alias("taken"))
 

@@ -40,7 +40,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_slots(read(spark, sf_dir, "documents")).select("shard", "slot", "source", "block", "n_words", "spans")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

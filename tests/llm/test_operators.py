@@ -315,6 +315,28 @@ def test_mixing(docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mix_slots(docs, empty):
+    """The shards' slots hold the words of packed blocks, in drawn counts, and documents give what the slots hold."""
+    rows = mixing.mix_slots(docs, block_words=8, shard_slots=512).collect()
+    shards, blocks, given = defaultdict(list), defaultdict(set), Counter()
+    for r in rows:
+        shards[r.shard].append(r)
+        blocks[r.source, r.block].add(tuple(tuple(p) for p in r.spans))
+        assert r.n_words == sum(p.length for p in r.spans) and 0 < r.n_words <= 8
+        places = [p.at + p.start for p in r.spans]
+        assert places == [8 * r.block + sum(p.length for p in r.spans[:k]) for k in range(len(places))]
+        given.update({(r.source, p.doc_id, p._v, p.at): p.length for p in r.spans})
+    assert len(shards) > 1 and all(len(x) == 1 for x in blocks.values())
+    for own in shards.values():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    assert len({Counter(r.source for r in own)["a"] for own in shards.values()}) > 1
+    taken = Counter()
+    for r in mixing.mix_sources(docs, block_words=8, shard_slots=512).where("taken > 0").collect():
+        taken[r.source, r.doc_id, r._v, r["at"]] += r.taken
+    assert taken == given
+    assert mixing.mix_slots(empty).count() == 0
+
+
 def test_mixed_documents(docs, empty):
     out = mixing.mixed_documents(docs, block_words=8)
     assert out.columns == docs.columns
