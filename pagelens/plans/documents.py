@@ -178,6 +178,25 @@ def duplicate_headings(load):
     return d.select("doc_id", F.array_join("d", "|").alias("duplicates"))
 
 
+def _all_headings(load):
+    """As _headings, and every line after the eighth is an h3 too."""
+    ls = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
+    return load("documents").select("doc_id", F.slice(ls, 1, 1).alias("h1"), F.slice(ls, 2, 3).alias("h2"), F.slice(ls, F.lit(5), F.size(ls)).alias("h3"))
+
+
+@query()
+def heading_score_all(load):
+    """heading_score over all lines of a document."""
+    return _all_headings(load).select("doc_id", S.heading_score(F.col("h1"), F.col("h2"), F.col("h3"), kw()).alias("score"))
+
+
+@query()
+def duplicate_headings_all(load):
+    """duplicate_headings over all lines of a document."""
+    d = _all_headings(load).select("doc_id", S.duplicate_headings(F.concat("h1", "h2", "h3")).alias("d")).where(F.size("d") > 0)
+    return d.select("doc_id", F.array_join("d", "|").alias("duplicates"))
+
+
 @query(r"""with l as (select unnest(string_split(text, chr(10))) as line from documents),
 c as (select trim(regexp_replace(line, '\s+', ' ', 'g')) as heading from l)
 select heading, count(*)::bigint as n from c where length(heading) between 8 and 120 group by heading order by n desc, heading limit 25""")
@@ -322,6 +341,14 @@ def unique_anchor_ids(load):
     return ranking.unique_ids(lines, ["doc_id"], "base", "pos").select("doc_id", "pos", F.col("unique_id").alias("anchor"))
 
 
+@query()
+def unique_anchor_ids_all(load):
+    """unique_anchor_ids over all lines of a document."""
+    lines = load("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    lines = lines.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), T.anchor_id(F.col("line")).alias("base"))
+    return ranking.unique_ids(lines, ["doc_id"], "base", "pos").select("doc_id", "pos", F.col("unique_id").alias("anchor"))
+
+
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
 n as (select doc_id, pos, ntile(3) over (partition by doc_id order by pos) as part from l) select doc_id, part::bigint as part, count(*)::bigint as lines, min(pos)::bigint as first from n group by all""")
 def ntile_split(load):

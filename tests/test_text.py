@@ -89,3 +89,16 @@ def test_small_functions(spark):
     assert column(spark, ["1.5", "x"], T.number) == [1.5, 0.0]
     assert column(spark, [" a ,,b"], lambda c: T.bullets(F.split(c, ","), 5)) == ["- a\n- b"]
     assert column(spark, ["My Font"], lambda c: T.font_stack(F.array(c), F.array(F.lit("Arial"), F.lit("My Font")))) == ['"My Font", Arial']
+
+
+def test_headings_of_all_lines(spark, tmp_path):
+    """Lines after the twelfth get anchors, and headings repeated after the eighth are duplicates."""
+    from pagelens import catalog
+
+    lines = ["the one", *[f"line {i}" for i in range(2, 15)], "Late", "late", "line 2", "Late"]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, "one")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).where("doc_id = 1")
+    anchors = {r.pos: r.anchor for r in run("unique_anchor_ids_all").collect()}
+    assert len(anchors) == 18 and [anchors[i] for i in (14, 15, 16, 17, 18)] == ["line-14", "late", "late-2", "line-2-2", "late-3"]
+    assert [r.duplicates for r in run("duplicate_headings_all").collect()] == ["late|line 2"]
+    assert [r.score for r in run("heading_score_all").collect()] == [100 - 5 - 2 * 2]
