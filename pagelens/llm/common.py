@@ -11,14 +11,16 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -52,12 +54,18 @@ def workers_find_us(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a temporary folder; on a cluster executors
+    would not see one, so there it is an error.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
         root = sc.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="pagelens-")
         sc.setCheckpointDir(root)
     return root
@@ -98,7 +106,11 @@ class Scratch:
             _fs_delete(self.spark, t._scratch_path)
 
     def collect_garbage(self) -> None:
-        """Lets Spark's cleaner delete the shuffle files of plans that are done."""
+        """Lets Spark's cleaner delete the shuffle files of plans that are done.
+
+        They go when the driver's JVM finds them unreachable, by default after up to 30
+        minutes, and would stand beside the table that replaces them until then.
+        """
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
@@ -109,6 +121,51 @@ class Scratch:
             pass
 
 
+# -- rows of the caller ---------------------------------------------------------
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text, _k, _row: (doc_id, _k) names a row, _row holds all columns as they came.
+
+    _k is 0 where a doc_id is unique, and a hash of the row and of its number among equal
+    rows where it is not, so every evaluation gives the same names; equal rows are
+    interchangeable. Columns that can't be hashed (maps, say) don't count. The struct keeps
+    the caller's columns from clashing with any other.
+    """
+    kinds = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.StringType, T.BooleanType, T.DoubleType, T.FloatType, T.DateType, T.TimestampType, T.BinaryType)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, kinds)]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("_row"), F.xxhash64(*hashed).alias("_h"))
+    again = own.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_d"), F.lit(True).alias("_again"))
+    zero = F.lit(0).cast("long")
+    if again.isEmpty():
+        return own.select("doc_id", "text", zero.alias("_k"), "_row")
+    marked = own.join(again, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    alone = marked.where("_again is null").select("doc_id", "text", zero.alias("_k"), "_row")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.length("text")))
+    return alone.unionAll(marked.where("_again").select("doc_id", "text", F.xxhash64("_h", nth).alias("_k"), "_row"))
+
+
+def running(sums: DataFrame, key: str, index: str, value: str) -> DataFrame:
+    """key, index, before (sum of value at smaller indices of the key), all_of_key: in two steps, so that no task walks all indices of a hot key."""
+    step = 4096
+    own = sums.select(F.col(key).alias("_s"), F.col(index).alias("_i"), F.floor(F.col(index) / step).alias("_g"), F.col(value).alias("_x"))
+    groups = own.groupBy("_s", "_g").agg(F.sum("_x").alias("_x"))
+    whole = Window.partitionBy("_s")
+    groups = groups.select(F.col("_s").alias("_t"), F.col("_g").alias("_f"), (F.sum("_x").over(whole.orderBy("_g")) - F.col("_x")).alias("_before"), F.sum("_x").over(whole).alias("all_of_key"))
+    inside = F.sum("_x").over(Window.partitionBy("_s", "_g").orderBy("_i")) - F.col("_x")
+    both = own.withColumn("_in", inside).join(groups, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("_g") == F.col("_f")))
+    return both.select(F.col("_s").alias(key), F.col("_i").alias(index), (F.col("_before") + F.col("_in")).alias("before"), "all_of_key")
+
+
+def with_fields(row: Column, schema: T.StructType, **new: Column) -> Column:
+    """The struct with some of its fields replaced, where it has them, in their own types."""
+    for name, value in new.items():
+        for f in schema:
+            if f.name == name:
+                row = row.withField(f"`{name}`", value.cast(f.dataType))
+    return row
+
+
 # -- raw texts in Arrow batches -------------------------------------------------
 
 

@@ -1,72 +1,133 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by hashing the sentences of re-flowed paragraphs.
 
-Units are lines. A unit is normalised (A-Z lowered, runs of space joined, trimmed)
-and digested with MD5 to 128 bits; blank units never count. Over all documents, the occurrence
-of lowest (doc_id, position) of each digest stays and the others go, with the
-character offsets they had.
+A text is split into units: a unit ends with white space after one of ``.!?``, at a
+blank line, or with the text. A line end inside a sentence is white space like any
+other, so a passage has the same units however it is wrapped, and units joined give
+the text back. A unit is normalised (A-Z lowered, runs of white space joined,
+trimmed) and digested to 128 bits; units without a word never count. Over all
+documents the occurrence of lowest (doc_id, row, position) of each digest is the
+first; every other one repeats it.
 
-Defined results: null text has no units; rows that repeat a doc_id are documents of
-the same rank, where position decides and then the text's hash; a null doc_id ranks
-after all others. The digest table holds one row for each digest and task before
-the shuffle, so a line that many documents share costs no more than a rare one.
+Repeats are removed in runs: neighbouring repeated units go if they hold RUN_WORDS
+words or more together, so a passage goes whole, while a short sentence that happens
+to be said elsewhere stays. A first occurrence is never removed. Removed spans have
+code point offsets of the original text.
+
+Defined results: a null text is empty and has no units; rows that repeat a doc_id
+rank by a hash of the row (of equal rows one is first); rows of null doc_id rank
+after all others, by that hash; texts of any length take time linear in
+it; extra columns are not read; an empty table gives no rows.
+
+The digest table holds one row for each digest and task before the shuffle, so a
+unit that many documents share costs no more than a rare one, and its join with
+the occurrences is one that adaptive execution can split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, Scratch, lower_ascii
+from .common import Scratch, ints, numbered, workers_find_us
 
+#: Words that a run of repeated units needs to be removed.
+RUN_WORDS = 20
+_BORDER = re.compile(r"[.!?][\x20\x09-\x0D]+|\n[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*")
 
-def normalise(unit: Column) -> Column:
-    return F.trim(F.regexp_replace(lower_ascii(unit), GAP, " "))
 
+def split(text: str) -> list[tuple[int, int]]:
+    """Start and end of each unit; together they are the text."""
+    ends = [m.end() for m in _BORDER.finditer(text)]
+    if text and (not ends or ends[-1] < len(text)):
+        ends.append(len(text))
+    return list(zip([0, *ends], ends))
 
-def _rank() -> Column:
-    return F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("d"), F.col("pos"), F.col("_v"))
 
+def _words(unit: str) -> list[bytes]:
+    return unit.encode().lower().split()
 
-def units(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row for each unit that can repeat: doc_id, _v (of the text), pos, digest."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("_v"), F.posexplode(F.split("text", "\n")).alias("pos", "_u"))
-    lines = lines.select("doc_id", "_v", "pos", normalise(F.col("_u")).alias("_n"))
-    keep = F.col("_n") != "" if min_words <= 1 else (F.length("_n") - F.length(F.translate("_n", " ", "")) >= min_words - 1) & (F.col("_n") != "")
-    return lines.where(keep).select("doc_id", "_v", "pos", F.unhex(F.md5("_n")).alias("digest"))
 
+def units(docs: DataFrame) -> DataFrame:
+    """digest, doc_id, _k, pos of each unit with a word. docs: doc_id, _k, text."""
+    workers_find_us(docs.sparkSession)
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
-def removals(docs: DataFrame, min_words: int = 1) -> DataFrame:
-    """doc_id, _v, gone array<int>: positions of the units to remove, of documents that have any."""
-    scratch = Scratch(docs.sparkSession)
-    all_units = scratch.put(units(docs, min_words), "units")
-    first = all_units.groupBy("digest").agg(F.min(_rank()).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["digest", "doc_id", "_k", "pos"])
+
+        rows: list[tuple] = []
+        for b in batches:
+            for d, k, t in zip(ints(b, "doc_id"), ints(b, "_k"), ints(b, "text")):
+                t = t or ""
+                for pos, (a, z) in enumerate(split(t)):
+                    if words := _words(t[a:z]):
+                        rows.append((hashlib.blake2b(b" ".join(words), digest_size=16).digest(), d, k, pos))
+                        if len(rows) >= 20_000:
+                            yield flush()
+                            rows = []
+        if rows:
+            yield flush()
+
+    return docs.select("doc_id", "_k", "text").mapInArrow(run, "digest binary, doc_id long, _k long, pos long")
+
+
+def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, _k, again array<long>: the positions of units that repeat an earlier one, of rows that have any."""
+    found = scratch.put(units(docs), "units")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k", "pos")
+    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     # Written, so that the join deals both sides afresh and a hot digest can be split.
     first = scratch.put(first, "first")
-    later = all_units.join(first, "digest").where(_rank() != F.col("_first"))
-    gone = later.groupBy("doc_id", "_v").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
-    return scratch.put(gone, "gone")
-
-
-def dedup(docs: DataFrame, min_words: int = 1) -> DataFrame:
-    """doc_id, text, kept_text, n_units, removed array<struct<start, end>> in code points of the original text."""
-    gone = removals(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("_v").alias("_w"), "gone")
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("_v"))
-    joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_v") == F.col("_w")), "left")
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    none = F.array().cast("array<int>")
-    joined = joined.select("doc_id", "text", lines.alias("_lines"), F.array_distinct(F.coalesce("gone", none)).alias("_gone"))
-    kept = F.array_join(F.filter("_lines", lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    ends = F.aggregate(
-        "_lines",
-        F.array(F.lit(-1)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)),
-    )
-    marked = joined.withColumn("_ends", F.when(F.size("_gone") > 0, ends))
-    spans = F.transform("_gone", lambda i: F.struct((F.get("_ends", i) + 1).alias("start"), F.get("_ends", i + 1).alias("end")))
-    return marked.select(
-        "doc_id",
-        "text",
-        F.when(F.size("_gone") > 0, kept).otherwise(F.coalesce(F.col("text"), F.lit(""))).alias("kept_text"),
-        F.size("_lines").cast("long").alias("n_units"),
-        F.when(F.size("_gone") > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("removed"),
-    )
+    later = found.join(first, "digest").where(rank != F.col("first"))
+    again = scratch.put(later.groupBy("doc_id", "_k").agg(F.array_sort(F.collect_list("pos")).alias("again")), "again")
+    scratch.drop(found, first)
+    return again
+
+
+def runs(sizes: list[int], again: set[int], least: int) -> list[tuple[int, int]]:
+    """First and last unit of each run of repeated units with ``least`` words in all; units without words neither end nor begin one."""
+    out, start, last, total = [], None, None, 0
+    for i, n in enumerate([*sizes, 1]):
+        if i in again:
+            start = i if start is None else start
+            last, total = i, total + n
+        elif n and start is not None:
+            if total >= least:
+                out.append((start, last))
+            start, total = None, 0
+    return out
+
+
+def dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """doc_id, text, kept_text, n_units, n_removed (units), removed array<struct<start, end>>: a row for each row of docs."""
+    scratch = Scratch(docs.sparkSession)
+    own = numbered(docs).select("doc_id", "_k", "text")
+    again = repeats(own, scratch).select(F.col("doc_id").alias("_d"), F.col("_k").alias("_r"), "again")
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
+            kept, n_units, n_removed, removed = [], [], [], []
+            for t, gone in zip(ints(b, "text"), ints(b, "again")):
+                t = t or ""
+                at = split(t)
+                found = runs([len(_words(t[a:z])) for a, z in at], set(gone), run_words) if gone else []
+                spans = [(at[x][0], at[y][1]) for x, y in found]
+                edges = [0, *(e for s in spans for e in s), len(t)]
+                kept.append("".join(t[a:z] for a, z in zip(edges[::2], edges[1::2])))
+                n_units.append(len(at))
+                n_removed.append(sum(y - x + 1 for x, y in found))
+                removed.append([{"start": a, "end": z} for a, z in spans])
+            yield pa.record_batch(
+                [pa.array(ints(b, "doc_id"), pa.int64()), pa.array(ints(b, "text"), pa.string()), pa.array(kept, pa.string()), pa.array(n_units, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, span)],
+                ["doc_id", "text", "kept_text", "n_units", "n_removed", "removed"],
+            )
+
+    joined = own.join(again, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_r")), "left").select("doc_id", "text", "again")
+    return joined.mapInArrow(run, "doc_id long, text string, kept_text string, n_units long, n_removed long, removed array<struct<start:bigint,end:bigint>>")
