@@ -1,21 +1,32 @@
-"""Mixing sources to target weights, in fixed-length blocks.
+"""Mixing sources to target weights: multinomial counts for each output shard, blocks met by permuted index.
 
 Each source's words, its documents in a fixed order, form one stream that is packed
-into blocks of ``block_words``. A source whose target is t words out of its s gets
-round(t / s * blocks) slots. The slots of a source are dealt to the output shards by
-a multinomial draw, and slot k of the source holds block perm(k mod blocks), where
-perm is a pseudorandom permutation of the source's block numbers, a new one for each
-pass over the source. Blocks meet slots by an equality join on (source, block), which
-gives the mix: the slots of each shard, in a pseudorandom order of its own, with the
-word spans of documents that fill them. What a document gives to the mix is counted
-from its slots.
-
-Nothing is collected but the table of sources, which is aggregated first.
+into blocks of ``block_words``. A target of t words out of a source's s is t / s times
+its blocks, in slots. The output is shards of ``shard_slots`` slots, and the source
+counts of every shard are one multinomial draw; its chances are what each source still
+owes. LOT shards share a quota and are drawn one after the other by one task, lots are
+drawn independently, so the draw decides what a shard and a source take, while a
+source's total differs from its target by the chance of one shard a lot: a standard
+deviation of sqrt(lots * shard_slots * p) blocks for a source with the share p. A
+source never gets more than twice its blocks; draws beyond that are drawn again among
+the others.
+
+Slot k of a source, counted over the shards, holds block perm(k mod blocks), where perm
+is a pseudorandom permutation of the source's block numbers, a new one for each pass
+k div blocks over the source. Blocks meet slots by an equality join on (source, block),
+which gives the mix: the slots of each shard, in a pseudorandom order of their own,
+with the word spans of documents that fill them. What a document gives to the mix is
+counted from its slots.
+
+The driver and every drawing task hold one row for each source (some 100 bytes, so a
+million sources is the documented bound); documents, blocks, lots and slots stay tables.
 
 Defined results: null text has size 0 and takes nothing; a null source is a source,
-ordered last; an empty table gives no rows; rows that repeat a doc_id are separate
-documents. Every draw is a hash of the seed, so reruns agree, and the order of rows
-or partitions has no influence.
+ordered last; an empty table, or one without words, gives no slots; rows that repeat a
+doc_id, equal ones too, are separate documents; a document longer than a block spans
+several; extra columns, whatever their names, stay as they are. Every draw is a
+function of the seed, so reruns agree, and the order of rows or partitions has no
+influence.
 """
 
 from __future__ import annotations
@@ -28,13 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, ints, mix, utf8, words_col, workers_find_us
+from .common import U64, Scratch, ints, mix, numbered, running, utf8, with_fields, words_col, workers_find_us
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
-MOST = 2.0
+MOST = 2
 #: Documents that are laid out behind each other by one task.
-CHUNK_DOCS = 2048
+CHUNK_DOCS = 256
+BLOCK_WORDS, SHARD_SLOTS, LOT = 64, 512, 64
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -49,7 +61,7 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, most:
                 out[i] = left * weights[i] / total
             break
         for i in over:
-            out[i] = most * sizes[i]
+            out[i] = float(most * sizes[i])
         left -= sum(out[i] for i in over)
         open_ = [i for i in open_ if i not in set(over)]
     return out
@@ -73,8 +85,8 @@ def permute(k: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, _v (of the text), size in words."""
-    return docs.select("doc_id", "source", F.xxhash64("text").alias("_v"), F.size(words_col(F.col("text"))).cast("long").alias("size"))
+    """doc_id, _k, source, size in words. docs: doc_id, text, _k, _row."""
+    return docs.select("doc_id", "_k", F.col("_row.source").cast("string").alias("source"), F.size(words_col(F.col("text"))).cast("long").alias("size"))
 
 
 def layout(sized: DataFrame) -> DataFrame:
@@ -83,17 +95,10 @@ def layout(sized: DataFrame) -> DataFrame:
     Documents are dealt to chunks by hash, so that a large source is many chunks; a
     chunk's place comes from the sums of those before it.
     """
-    n = sized.count()
-    chunks = max(1, n // CHUNK_DOCS)
-    own = sized.withColumn("_c", F.pmod(F.xxhash64("doc_id", "_v"), F.lit(chunks)))
-    sums = own.groupBy("source", "_c").agg(F.sum("size").alias("_n"))
-    by_source = Window.partitionBy("source").orderBy("_c")
-    sums = sums.select(
-        F.col("source").alias("_s"), F.col("_c").alias("_d"),
-        (F.sum("_n").over(by_source) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(Window.partitionBy("source")).alias("source_size"),
-    )
-    inside = Window.partitionBy("source", "_c").orderBy("doc_id", "_v").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = max(1, sized.count() // CHUNK_DOCS)
+    own = sized.withColumn("_c", F.pmod(F.xxhash64("doc_id", "_k"), F.lit(chunks)))
+    sums = running(own.groupBy("source", "_c").agg(F.sum("size").alias("_n")), "source", "_c", "_n").toDF("_s", "_d", "_before", "source_size")
+    inside = Window.partitionBy("source", "_c").orderBy("doc_id", "_k").rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     own = own.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("_d")))
     return own.withColumn("at", F.col("_before") + F.col("_in")).drop("_s", "_c", "_d", "_in", "_before")
@@ -107,41 +112,72 @@ def plan(laid: DataFrame, weights: tuple = WEIGHTS) -> list[dict]:
     return [{"number": i, "source": r["source"], "size": r["n"], "target": t} for i, (r, t) in enumerate(zip(rows, got))]
 
 
-def slots(spark, sources: list[dict], block_words: int, shard_slots: int, seed: int) -> DataFrame:
-    """source number, shard, slot, block: the recipe of every output shard."""
+def draw_shard(owed: np.ndarray, room: np.ndarray, slots: int, rng: np.random.Generator) -> np.ndarray:
+    """Source counts of one shard: a multinomial draw by what each source owes; what finds no room is drawn again."""
+    got = np.zeros(len(owed), np.int64)
+    while (left := slots - int(got.sum())) > 0:
+        free = room - got
+        weight = np.where(free > 0, np.maximum(owed - got, 0), 0.0)
+        if not weight.sum():
+            weight = np.maximum(free, 0).astype(float)
+            if not weight.any():
+                break
+        got += np.minimum(rng.multinomial(left, weight / weight.sum()), free)
+    return got
+
+
+def draws(spark, sources: list[dict], block_words: int, shard_slots: int, seed: int) -> DataFrame:
+    """number (of the source), lot, shard, in_lot (its slots in earlier shards of the lot), n, blocks."""
     workers_find_us(spark)
-    todo = []
-    for s in sources:
-        blocks = -(-s["size"] // block_words)
-        if blocks:
-            todo.append((s["number"], blocks, min(math.floor(MOST * blocks), round(s["target"] / s["size"] * blocks))))
-    total = sum(n for _, _, n in todo)
-    shards = max(1, -(-total // shard_slots))
-    step = 1 << 20  # slots of a source that one row makes
-    jobs = [(number, blocks, n, lo) for number, blocks, n in todo for lo in range(0, max(n, 1), step)]
+    blocks = np.array([-(-s["size"] // block_words) for s in sources], np.int64)
+    need = np.array([s["target"] / s["size"] * b if b else 0.0 for s, b in zip(sources, blocks)])
+    total = int(need.sum())
+    shards = -(-total // shard_slots)
+    lots = -(-shards // LOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for number, blocks, n, lo in zip(*(ints(b, c) for c in ("number", "blocks", "n", "lo"))):
-                # The multinomial draw: this source's slots in the shards, in the order of the shards.
-                draw = np.random.default_rng([seed, number]).multinomial(n, np.full(shards, 1 / shards))
-                until = np.cumsum(draw)
-                for at in range(lo, min(n, lo + step), 1 << 16):
-                    k = np.arange(at, min(n, lo + step, at + (1 << 16)))
-                    shard = np.searchsorted(until, k, "right")
-                    keys = mix((k // blocks).astype(U64) + U64((seed << 32) + (number << 8)))
-                    block = permute(k % blocks, blocks, keys)
-                    yield pa.record_batch(
-                        [pa.array(np.full(len(k), number), pa.int64()), pa.array(shard, pa.int64()), pa.array(k, pa.int64()), pa.array(block, pa.int64())],
-                        ["number", "shard", "slot", "block"],
-                    )
-
-    jobs_df = spark.createDataFrame(jobs or [(0, 1, 0, 0)], "number long, blocks long, n long, lo long").repartition(max(1, min(len(jobs), 64)))
-    return jobs_df.mapInArrow(run, "number long, shard long, slot long, block long")
+        for lot in (x for b in batches for x in ints(b, "id")):
+            rng = np.random.default_rng([seed, lot])
+            first, last = lot * LOT, min(lot * LOT + LOT, shards)
+            begin, end = min(first * shard_slots, total), min(last * shard_slots, total)
+            owed = need * ((end - begin) / total)
+            room = MOST * blocks * end // total - MOST * blocks * begin // total
+            taken = np.zeros(len(blocks), np.int64)
+            out = []
+            for shard in range(first, last):
+                n = draw_shard(owed - taken, room - taken, min(shard_slots, total - shard * shard_slots), rng)
+                some = np.flatnonzero(n)
+                out.append(np.stack([some, np.full(len(some), lot), np.full(len(some), shard), taken[some], n[some], blocks[some]]))
+                taken += n
+            yield pa.record_batch([pa.array(x) for x in np.concatenate(out, axis=1)], ["number", "lot", "shard", "in_lot", "n", "blocks"])
+
+    ids = spark.range(0, lots, 1, max(1, min(-(-lots // 8), 20_000)))
+    return ids.mapInArrow(run, "number long, lot long, shard long, in_lot long, n long, blocks long")
+
+
+def slots(drawn: DataFrame, seed: int) -> DataFrame:
+    """number, shard, k (the source's slots are counted over the shards), pass, block: the recipe of every output shard."""
+    lots = drawn.groupBy("number", "lot").agg(F.sum("n").alias("n"))
+    before = running(lots, "number", "lot", "n").select("number", "lot", "before")
+    own = drawn.join(before, ["number", "lot"]).select("number", "shard", "n", "blocks", (F.col("before") + F.col("in_lot")).alias("k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
+            number, shard, n, blocks, k = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("number", "shard", "n", "blocks", "k"))
+            number, shard, blocks, start = (np.repeat(x, n) for x in (number, shard, blocks, k - (np.cumsum(n) - n)))
+            k = start + np.arange(len(start))
+            turn, block = k // blocks, np.empty(len(k), np.int64)
+            keys = mix(turn.astype(U64) + U64(seed << 32) + (number.astype(U64) << U64(8)))
+            for size in np.unique(blocks):
+                own = np.flatnonzero(blocks == size)
+                block[own] = permute(k[own] % size, int(size), keys[own])
+            yield pa.record_batch([pa.array(x) for x in (number, shard, k, turn, block)], ["number", "shard", "k", "pass", "block"])
+
+    return own.mapInArrow(run, "number long, shard long, k long, pass long, block long")
 
 
 def _deal(docs: DataFrame, weights: tuple, block_words: int, shard_slots: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with their places and targets, and the mix."""
+    """The documents with their places and targets, and the mix. docs: numbered."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     laid = scratch.put(layout(scratch.put(sizes(docs), "sizes")), "laid")
@@ -150,86 +186,78 @@ def _deal(docs: DataFrame, weights: tuple, block_words: int, shard_slots: int, s
     about = spark.createDataFrame([(s["source"], s["number"], s["target"]) for s in sources], "_s string, number long, target double")
     laid = laid.join(about, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
-    spans = laid.where("size > 0").select("doc_id", "_v", "number", "source", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
+    spans = laid.where("size > 0").select("doc_id", "_k", "number", "source", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
     start = F.greatest(F.col("block") * block_words, F.col("at"))
     end = F.least((F.col("block") + 1) * block_words, F.col("at") + F.col("size"))
-    span = F.struct("at", "doc_id", "_v", (start - F.col("at")).alias("start"), (end - start).alias("length"))
+    span = F.struct("at", "doc_id", "_k", (start - F.col("at")).alias("start"), (end - start).alias("length"))
     blocks = spans.select("number", "block", "source", span.alias("p")).groupBy("number", "block").agg(
         F.first("source").alias("source"), F.array_sort(F.collect_list("p")).alias("spans"), F.sum("p.length").alias("n_words")
     )
-    # Written, so that the planner knows its size: a plan made of generated rows looks small.
-    own = scratch.put(slots(spark, sources, block_words, shard_slots, seed), "slots")
-    # A shard holds about shard_slots rows.
-    order = Window.partitionBy("shard").orderBy(F.xxhash64("number", "slot", F.lit(seed)), "number", "slot")
+    # Written, so that the planner knows their sizes: a plan made of generated rows looks small.
+    drawn = scratch.put(draws(spark, sources, block_words, shard_slots, seed), "drawn")
+    own = scratch.put(slots(drawn, seed), "slots")
+    # A shard holds shard_slots rows at most.
+    order = Window.partitionBy("shard").orderBy(F.xxhash64("number", "k", F.lit(seed)), "number", "k")
     own = own.withColumn("slot", F.row_number().over(order).cast("long") - 1)
-    mix_table = own.join(blocks, ["number", "block"]).select("shard", "slot", "number", "source", "block", "n_words", "spans")
+    mix_table = own.join(blocks, ["number", "block"]).select("shard", "slot", "number", "source", "pass", "block", "n_words", "spans")
     return laid, scratch.put(mix_table, "mix")
 
 
-def mix_slots(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = 64, shard_slots: int = 4096, seed: int = 7) -> DataFrame:
-    """The mix: shard, slot, number (of the source), source, block, n_words, spans array<struct<at, doc_id, _v, start, length>> (words of documents)."""
-    return _deal(docs, weights, block_words, shard_slots, seed)[1]
+def mix_slots(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
+    """The mix: shard, slot, number (of the source), source, pass, block, n_words, spans array<struct<at, doc_id, _k, start, length>> (words of documents)."""
+    return _deal(numbered(docs), weights, block_words, shard_slots, seed)[1]
+
+
+def _given(mixed: DataFrame) -> DataFrame:
+    """number, p<at, doc_id, _k>, pass, place (least shard and slot), piece<start, length>: a row for each span of a slot."""
+    spans = mixed.select("number", "shard", "slot", "pass", F.explode("spans").alias("p"))
+    return spans.select("number", "pass", F.struct("p.at", "p.doc_id", "p._k").alias("own"), F.struct("shard", "slot").alias("place"), F.struct("p.start", "p.length").alias("piece"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = 64, shard_slots: int = 4096, seed: int = 7) -> DataFrame:
-    """doc_id, _v, size, source_size, target, pieces array<struct<start, length, times>> (words of the document), taken."""
-    laid, mixed = _deal(docs, weights, block_words, shard_slots, seed)
-    spans = mixed.select("number", F.explode("spans").alias("p")).groupBy("number", "p").agg(F.count("*").alias("times"))
-    taken = spans.select("number", F.col("p.doc_id").alias("_d"), F.col("p._v").alias("_w"), F.col("p.at").alias("_at"), F.struct("p.start", "p.length", "times").alias("p"))
-    taken = taken.groupBy("number", "_d", "_w", "_at").agg(F.array_sort(F.collect_list("p")).alias("pieces"), F.sum(F.col("p.length") * F.col("p.times")).alias("taken"))
-    taken = taken.withColumnRenamed("number", "_n")
-    same = (F.col("number") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_v") == F.col("_w")) & (F.col("at") == F.col("_at"))
-    both = laid.join(taken, same & (F.col("size") > 0), "left")
-    none = F.array().cast("array<struct<start:bigint,length:bigint,times:bigint>>")
-    return both.select("doc_id", "_v", "source", "at", "size", "source_size", "target", F.coalesce("pieces", none).alias("pieces"), F.coalesce("taken", F.lit(0)).alias("taken"))
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words that the mix takes from the document): a row for each row of docs."""
+    laid, mixed = _deal(numbered(docs), weights, block_words, shard_slots, seed)
+    taken = _given(mixed).groupBy("number", F.col("own.at").alias("at")).agg(F.sum("piece.length").alias("taken"))
+    both = laid.where("size > 0").join(taken, ["number", "at"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return both.unionAll(laid.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7, with_places: bool = False
+) -> DataFrame:
     """The mix as documents: a row for each document and pass, with the text of the words that the pass takes.
 
-    Pass p holds the pieces of blocks taken more than p times, so a document that the
-    mix takes whole stays as it is, and one taken twice comes twice. Documents none
-    of whose words are taken go. The original columns stay; n_chars follows the text.
+    Rows are laid out by the shard and slot where the document's first block of that
+    pass stands (with_places: in columns shard, slot, too). A document that the mix takes
+    whole stays as it is, and one taken twice comes twice. Documents none of whose words
+    are taken go. The original columns stay; n_chars follows the text, in its own type.
     """
     spark = docs.sparkSession
     workers_find_us(spark)
-    mixed = mix_sources(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_d"), "_v", "pieces")
-    mixed = mixed.dropDuplicates(["_d", "_v"])
-    own = docs.withColumn("_w", F.xxhash64("text"))
-    joined = own.join(mixed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_v"))).drop("_d", "_v", "_w")
-    schema = docs.schema
-    names = [f.name for f in schema]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        word = re.compile(rb"[^\x20\x09-\x0D]+")
-        for b in batches:
-            index, texts = [], []
-            for i, (t, pieces) in enumerate(zip(utf8(b, "text"), ints(b, "pieces"))):
-                at = [m.span() for m in word.finditer(t)]
-                for p in range(max(x["times"] for x in pieces)):
-                    runs: list[list[int]] = []
-                    for x in pieces:
-                        if x["times"] > p:
-                            if runs and runs[-1][1] == x["start"]:
-                                runs[-1][1] += x["length"]
-                            else:
-                                runs.append([x["start"], x["start"] + x["length"]])
-                    # A run that begins or ends the document keeps the space around it.
-                    cut = [t[0 if a == 0 else at[a][0] : len(t) if z == len(at) else at[z - 1][1]] for a, z in runs]
-                    index.append(i)
-                    texts.append(b"\n".join(cut))
-            rows = b.take(pa.array(index, pa.int64()))
-            text = pa.array([t.decode() for t in texts], pa.string())
-            out = []
-            for n in names:
-                if n == "text":
-                    out.append(text)
-                elif n == "n_chars":
-                    out.append(pa.array([len(t.as_py()) for t in text], pa.int64()))
+    own = numbered(docs)
+    mixed = _deal(own, weights, block_words, shard_slots, seed)[1]
+    pieces = _given(mixed).groupBy(F.col("own.doc_id").alias("_d"), F.col("own._k").alias("_v"), "pass").agg(F.array_sort(F.collect_list("piece")).alias("pieces"), F.min("place").alias("place"))
+    joined = own.join(pieces, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_v"))).select("_row", "text", "pieces", "place")
+    kept = joined.select("_row", "place", "pieces", "text").mapInArrow(_cut, joined.select("_row", "place", F.lit("").alias("new")).schema)
+    row = with_fields(F.col("_row"), docs.schema, text=F.col("new"), n_chars=F.length("new"))
+    out = kept.select(row.alias("_row"), "place.shard", "place.slot").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    return out.select("_row.*", "shard", "slot") if with_places else out.select("_row.*")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the pieces; a run that begins or ends the document keeps the space around it."""
+    import re
+
+    word = re.compile(rb"[^\x20\x09-\x0D]+")
+    for b in batches:
+        texts = []
+        for t, pieces in zip(utf8(b, "text"), ints(b, "pieces")):
+            runs: list[list[int]] = []
+            for x in pieces:
+                if runs and runs[-1][1] == x["start"]:
+                    runs[-1][1] += x["length"]
                 else:
-                    out.append(rows.column(rows.schema.get_field_index(n)))
-            yield pa.record_batch(out, names)
-
-    return joined.select(*names, "pieces").mapInArrow(run, schema)
+                    runs.append([x["start"], x["start"] + x["length"]])
+            at = [m.span() for m in word.finditer(t)]
+            texts.append(b"\n".join(t[0 if a == 0 else at[a][0] : len(t) if z == len(at) else at[z - 1][1]] for a, z in runs))
+        yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in ("_row", "place")), pa.array([t.decode() for t in texts], pa.string())], ["_row", "place", "new"])

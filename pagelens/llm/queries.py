@@ -16,10 +16,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(read(spark, sf_dir, "documents"))
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
-    return out.select(
-        "doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"),
-        spans.alias("removed_spans"), F.sha2("kept_text", 256).alias("kept_sha256"),
-    )
+    return out.select("doc_id", "n_units", "n_removed", chars.alias("removed_chars"), spans.alias("removed_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +37,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_slots(read(spark, sf_dir, "documents")).select("shard", "slot", "source", "block", "n_words", "spans")
+    return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,16 +88,19 @@ n as (select a, count(*) as n from l group by a)
 select r.node as vec_id, coalesce(max(n.n), 0)::bigint as n_links, min(r.at) as component_id, r.node = min(r.at) as kept
 from r left join n on n.a = r.node group by r.node""",
     "op1_line_dedup": r"""
-with u as (select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as unit,
-                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
-n as (select *, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) as norm,
-             sum(length(unit) + 1) over (partition by doc_id order by pos) as fin from u),
-k as (select *, norm <> '' and row_number() over (partition by norm order by doc_id, pos) > 1 as gone from n)
-select doc_id, count(*)::bigint as n_units, count(*) filter (where gone)::bigint as n_removed,
-       coalesce(sum(length(unit)) filter (where gone), 0)::bigint as removed_chars,
-       coalesce(string_agg((fin - 1 - length(unit)) || '-' || (fin - 1), ',' order by pos) filter (where gone), '') as removed_spans,
-       sha256(coalesce(string_agg(unit, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
-from k group by doc_id""",
+with t as (select doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '(?s).*?(?:[.!?][\x20\x09-\x0D]+|\n[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*|$)'), lambda x: x <> '') as us from documents),
+u as (select doc_id, unnest(us) as unit, generate_subscripts(us, 1) as pos from t),
+n as (select *, sum(length(unit)) over (partition by doc_id order by pos) as fin,
+             trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) as norm from u),
+k as (select *, row_number() over (partition by norm order by doc_id, pos) > 1 as again, length(norm) - length(replace(norm, ' ', '')) + 1 as w,
+             row_number() over (partition by doc_id order by pos) as nth from n where norm <> ''),
+g as (select *, nth - row_number() over (partition by doc_id order by pos) as island from k where again),
+r as (select doc_id, min(pos) as a, max(pos) as z, min(fin - length(unit)) as lo, max(fin) as hi from g group by doc_id, island having sum(w) >= 20),
+s as (select doc_id, sum(z - a + 1) as n_removed, sum(hi - lo) as removed_chars, string_agg(lo || '-' || hi, ',' order by lo) as spans from r group by doc_id),
+o as (select n.doc_id, string_agg(unit, '' order by pos) as kept from n left join r on r.doc_id = n.doc_id and pos between a and z where a is null group by n.doc_id)
+select t.doc_id, len(us)::bigint as n_units, coalesce(n_removed, 0)::bigint as n_removed, coalesce(removed_chars, 0)::bigint as removed_chars,
+       coalesce(spans, '') as removed_spans, sha256(coalesce(kept, '')) as kept_sha256
+from t left join s using (doc_id) left join o using (doc_id)""",
     "op7_chat": r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
