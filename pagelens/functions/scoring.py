@@ -140,6 +140,19 @@ def paragraph_stats(paragraphs: Column) -> Column:
     )
 
 
+def keyword_flags(title: Column, meta: Column, h1: Column, keyword: Column) -> Column:
+    """struct<in_title, in_meta, in_h1>: where the keyword is said; h1 is an array."""
+    key = F.lower(F.trim(keyword))
+    has = lambda x: F.contains(F.lower(F.coalesce(x, F.lit(""))), key)
+    return F.struct(has(title).alias("in_title"), has(meta).alias("in_meta"), F.exists(h1, has).alias("in_h1"))
+
+
+def length_check(label: str, length: Column, least: int, most: int) -> Column:
+    """What is wrong with a length, or null."""
+    say = lambda what, edge: F.concat(F.lit(f"{label} {what} ("), length.cast("string"), F.lit(f" < {edge})" if what == "too short" else f" > {edge})"))
+    return F.when(length == 0, F.lit(f"{label} missing")).when(length < least, say("too short", least)).when(length > most, say("too long", most))
+
+
 def content_metrics(words: Column, text: Column, keyword: Column) -> Column:
     hits = count_keyword(text, keyword)
     return F.struct(
@@ -156,13 +169,17 @@ def length_budget(current: Column, role: Column | None = None) -> Column:
     return F.when(role == "title", 60).when(role == "meta_description", 160).when(role == "meta_keywords", 200).otherwise(free).cast("long")
 
 
+# Words of a heading that tell what its section is.
+FAQ_WORDS = ["faq", "pertanyaan", "tanya jawab"]
+STEP_WORDS = ["cara", "langkah", "panduan", "tutorial", "step"]
+
+
 def section_type(heading: Column, has_table: Column, list_items: Column) -> Column:
-    """The word lists."""
     h = F.lower(heading)
     any_of = lambda *ws: F.exists(F.array(*map(F.lit, ws)), lambda w: F.contains(h, w))
     return (
-        F.when(F.contains(h, F.lit("?")) | any_of("faq", "pertanyaan", "tanya jawab"), "faq")
-        .when(any_of("cara", "langkah", "panduan", "tutorial", "step"), "steps")
+        F.when(F.contains(h, F.lit("?")) | any_of(*FAQ_WORDS), "faq")
+        .when(any_of(*STEP_WORDS), "steps")
         .when(has_table, "table").when(list_items >= 4, "list").otherwise("paragraph")
     )
 

@@ -41,8 +41,13 @@ def is_unspaced(x: Column) -> Column:
     return thai_share(x) >= THAI_SHARE
 
 
+def strip_marks(x: Column) -> Column:
+    """Without non-spacing marks. Nothing in the Thai range changes under canonical decomposition, so none is needed."""
+    return F.regexp_replace(text_of(x), r"\p{Mn}", "")
+
+
 def _estimated(x: Column) -> Column:
-    letters = F.length(F.regexp_replace(text_of(x), rf"[^{THAI}]|\p{{Mn}}", ""))
+    letters = F.length(F.regexp_replace(strip_marks(x), f"[^{THAI}]", ""))
     thai = F.bround(letters / THAI_CHARS_PER_WORD).cast("long")
     return thai + F.size(split_words(F.regexp_replace(text_of(x), f"[{THAI}]+", " ")))
 
@@ -197,8 +202,25 @@ def bullets(items: Column, limit: int) -> Column:
     return F.array_join(F.transform(kept, lambda x: F.concat(F.lit("- "), x)), "\n")
 
 
+def split_pair(x: Column) -> Column:
+    """struct<label, value> of a line "label: value"; a line without a colon is a label alone."""
+    parts = F.split(text_of(x), ":", 2)
+    return F.struct(F.trim(F.get(parts, 0)).alias("label"), F.coalesce(F.trim(F.get(parts, 1)), F.lit("")).alias("value"))
+
+
+def paragraphs(x: Column) -> Column:
+    """The parts between blank lines, without empty ones."""
+    return F.filter(F.transform(F.split(text_of(x), r"\n{2,}"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+
+
+def union_lists(*lists: Column) -> Column:
+    """The lists behind each other, the first of each entry; a null list is empty."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.coalesce(x, none) for x in lists]))
+
+
 def font_stack(extra: Column, fallback: Column) -> Column:
-    names = F.array_distinct(F.filter(F.transform(F.concat(extra, fallback), F.trim), lambda x: x != ""))
+    names = F.array_distinct(F.filter(F.transform(F.concat(extra, fallback), lambda x: F.trim(x)), lambda x: x != ""))
     return F.array_join(F.transform(names, lambda x: F.when(x.rlike("^[A-Za-z0-9-]+$"), x).otherwise(F.concat(F.lit('"'), x, F.lit('"')))), ", ")
 
 

@@ -56,8 +56,8 @@ def with_scheme(url: Column) -> Column:
 # -- address lists -------------------------------------------------------------
 
 
-def address_range(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Adds struct<lo, hi> of the 16-byte range that an address or network covers; null if it is neither.
+def networks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds struct<base, bits, text>: the 16-byte address, how many bits of it count, and its canonical text; null if it is neither address nor network.
 
     IPv4 is mapped into IPv6, so both compare as bytes.
     """
@@ -67,24 +67,38 @@ def address_range(df: DataFrame, value: str, out: str) -> DataFrame:
             try:
                 n = ipaddress.ip_network(str(x).strip(), strict=False)
             except ValueError:
-                return None, None
-            shift = 0xFFFF << 32 if n.version == 4 else 0
-            return tuple((shift + int(a)).to_bytes(16, "big") for a in (n[0], n[-1]))
+                return None, None, None
+            low, more = (0xFFFF << 32, 96) if n.version == 4 else (0, 0)
+            alone = n.num_addresses == 1
+            return (low + int(n.network_address)).to_bytes(16, "big"), more + n.prefixlen, str(n.network_address if alone else n)
 
         for s in batches:
-            yield pd.DataFrame([one(x) for x in s], columns=["lo", "hi"])
+            yield pd.DataFrame([one(x) for x in s], columns=["base", "bits", "text"]).astype({"bits": "Int64"})
 
-    return df.withColumn(out, F.pandas_udf(convert, "lo binary, hi binary")(F.col(value)))
+    return df.withColumn(out, F.pandas_udf(convert, "base binary, bits long, text string")(F.col(value)))
+
+
+def masked(address: Column, bits: Column) -> Column:
+    """The first bits of a 16-byte address as text, the others zero."""
+    digits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.lpad(F.conv(F.hex(F.substring(address, i * 2 - 1, F.lit(2))), 16, 2), 16, "0")), "")
+    return F.substring(digits, F.lit(1), bits.cast("int"))
 
 
 def allowed(requests: DataFrame, address: str, entries: DataFrame, value: str, enabled: bool = True) -> DataFrame:
-    """Adds ``allowed``: loopback always; everything if the list is off; else membership in an entry."""
-    asked = address_range(requests, address, "_a")
+    """Adds ``allowed``: loopback always; everything if the list is off; else membership in an entry.
+
+    Membership is an equality join for each network size in the list (129 at most):
+    the address is cut to that many bits and looked up among the networks of that size.
+    """
     own = F.col(address)
-    loopback = own.startswith("127.") | (own == "::1")
+    loopback = F.coalesce(own.startswith("127.") | (own == "::1"), F.lit(False))
     if not enabled:
-        return asked.withColumn("allowed", F.coalesce(loopback, F.lit(False)) | F.lit(True)).drop("_a")
-    listed = address_range(entries.select(F.col(value).alias("_v")), "_v", "_e").where("_e.lo is not null").select("_e").distinct()
-    hits = asked.select(address, "_a").distinct().join(listed, F.col("_a.lo").between(F.col("_e.lo"), F.col("_e.hi"))).select(F.col(address).alias("_hit")).distinct()
-    out = asked.join(hits, own == F.col("_hit"), "left")
-    return out.withColumn("allowed", F.coalesce(loopback, F.lit(False)) | F.col("_hit").isNotNull()).drop("_a", "_hit")
+        return requests.withColumn("allowed", F.lit(True))
+    listed = networks(entries.select(F.col(value).alias("_v")), "_v", "_e").where("_e.base is not null")
+    listed = listed.select(F.col("_e.bits").alias("_n"), masked(F.col("_e.base"), F.col("_e.bits")).alias("_m")).distinct()
+    sizes = [r[0] for r in listed.select("_n").distinct().collect()]  # 129 at most
+    asked = networks(requests.select(own.alias("_a")).distinct(), "_a", "_e").where("_e.base is not null")
+    asked = asked.select("_a", F.explode(F.array(*map(F.lit, sizes)).cast("array<bigint>")).alias("_n"), "_e").select("_a", "_n", masked(F.col("_e.base"), F.col("_n")).alias("_m"))
+    hits = asked.join(listed, ["_n", "_m"], "left_semi").select(F.col("_a").alias("_hit")).distinct()
+    out = requests.join(hits, own == F.col("_hit"), "left")
+    return out.withColumn("allowed", loopback | F.col("_hit").isNotNull()).drop("_hit")

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def train(labelled: DataFrame) -> PipelineModel:
-    """labelled: keyword, intent."""
+def train(labelled: DataFrame, vocabulary: int = 1 << 18) -> PipelineModel:
+    """labelled: keyword, intent. vocabulary: terms that have a weight, the most frequent ones; it bounds the model."""
     n = max(labelled.count(), 1)
     label = StringIndexer(inputCol="intent", outputCol="label", stringOrderType="alphabetAsc").fit(labelled)
     stages = [
         RegexTokenizer(inputCol="keyword", outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False),
-        CountVectorizer(inputCol="words", outputCol="counts"),
+        CountVectorizer(inputCol="words", outputCol="counts", vocabSize=vocabulary),
         IDF(inputCol="counts", outputCol="weighted"),
         Normalizer(inputCol="weighted", outputCol="features", p=2.0),
         LogisticRegression(maxIter=1000, family="multinomial", regParam=1 / n, elasticNetParam=0.0),

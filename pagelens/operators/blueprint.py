@@ -65,7 +65,7 @@ def with_fallback(pages: DataFrame, group: list[str]) -> DataFrame:
 
 
 def bucket_counts(pages: DataFrame, group: str) -> DataFrame:
-    n = lambda b: F.count_if(F.col("bucket") == b).alias(f"{b}_count")
+    n = lambda b: F.count_if((F.col("bucket") == b) & (F.col("status") == "ok")).alias(f"{b}_count")
     return pages.groupBy(group).agg(n("ok"), n("hijacked"), n("unreadable"), F.count_if(F.col("status") != "ok").alias("failed_pages"))
 
 

@@ -17,6 +17,8 @@ from urllib.parse import urljoin, urlparse
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.scoring import FAQ_WORDS, STEP_WORDS
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer"}
 RAW = {"script", "style", "template"}
 HIDDEN = {"script", "style", "noscript", "svg", "template"}
@@ -174,6 +176,54 @@ def faq(t: Tree, types: list[str]) -> dict:
     return {"has_faq_schema": by_schema, "question_count": len(asked), "questions": asked[:15], "has_faq": by_schema or len(asked) >= 3}
 
 
+def sections(t: Tree, most: int = 20, reach: int = 401) -> list[dict]:
+    """The page's sections by its headings, in order: h1 and h2 open one, h3 counts for the one above it.
+
+    What a section is comes from its heading, then from the nodes up to the next h1 or
+    h2, ``reach`` of them at most. The first one is the hero if an h1 opens it.
+    """
+    body = next(t.find("body"), -1)
+    lo, hi = (0, len(t.name)) if body < 0 else (body + 1, t.stop[body])
+    out: list[dict] = []
+    for i in range(lo, hi):
+        level = t.name[i]
+        if level not in ("h1", "h2", "h3"):
+            continue
+        if level == "h3" and out:
+            out[-1]["subheadings"] += 1
+            continue
+        if len(out) == most:
+            break
+        following = []
+        for j in range(i + 1, len(t.name)):
+            if t.name[j] in ("h1", "h2") or j - i + t.text_at[j] - t.text_at[i] > reach:
+                break
+            following.append(t.name[j])
+        heading = t.text(i)
+        out.append({"position": len(out) + 1, "level": level, "kind": "hero" if level == "h1" and not out else _kind(heading.lower(), following), "heading_length": len(heading), "subheadings": 0})
+    return out
+
+
+def _kind(heading: str, following: list[str]) -> str:
+    if "?" in heading or any(w in heading for w in FAQ_WORDS):
+        return "faq"
+    if any(w in heading for w in STEP_WORDS):
+        return "steps"
+    return "table" if "table" in following else "list" if following.count("li") >= 4 else "paragraph"
+
+
+def styles(t: Tree) -> str:
+    """The page's style elements and style attributes, in order."""
+    return "\n".join([*(t.raw(i) for i in t.find("style")), *(a["style"] for a in t.attrs if a.get("style"))])
+
+
+def stylesheets(t: Tree, url: str, most: int = 3) -> list[str]:
+    """The first linked stylesheets of the page's own host."""
+    host = urlparse(url).netloc.lower()
+    hrefs = [urljoin(url, t.attrs[i]["href"]) for i in t.find("link") if "stylesheet" in t.attrs[i].get("rel", "").lower().split() and t.attrs[i].get("href")]
+    return [h for h in hrefs if urlparse(h).netloc.lower() == host][:most]
+
+
 def page_facts(html: str, url: str) -> dict:
     t = Tree(html)
     title = next((t.text(i) for i in t.find("title")), "")
@@ -192,6 +242,7 @@ def page_facts(html: str, url: str) -> dict:
         **heads, **{f"{h}_count": len(x) for h, x in heads.items()},
         "image_count": len(images), "images_without_alt": [urljoin(url, t.attrs[i].get("src", "")) for i in images if not t.attrs[i].get("alt", "").strip()],
         "internal": inside, "external": outside, "signals": signals(t, html),
+        "sections": sections(t), "css": styles(t), "stylesheets": stylesheets(t, url),
     }
 
 
@@ -220,7 +271,8 @@ SIGNALS = (
 PAGE = (
     "title string, title_length long, visible_text string, word_count long, paragraphs array<string>, meta_description string, meta_description_length long, robots_meta string, "
     "canonical string, h1 array<string>, h2 array<string>, h3 array<string>, h1_count long, h2_count long, h3_count long, image_count long, images_without_alt array<string>, "
-    f"internal array<string>, external array<string>, signals struct<{', '.join(x.replace(' ', ':', 1) for x in SIGNALS.split(', '))}>"
+    f"internal array<string>, external array<string>, signals struct<{', '.join(x.replace(' ', ':', 1) for x in SIGNALS.split(', '))}>, "
+    "sections array<struct<position:bigint,level:string,kind:string,heading_length:bigint,subheadings:bigint>>, css string, stylesheets array<string>"
 )
 
 

@@ -19,6 +19,14 @@ def update(table: DataFrame, where: Column, changes: dict[str, Column]) -> DataF
     return table.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in changes.items()})
 
 
+def update_known(table: DataFrame, where: Column, changes: dict[str, Column], at: Column) -> DataFrame:
+    """Like update, and sets updated_at of the rows it changes; an error if there is none."""
+    if table.where(where).isEmpty():
+        raise LookupError("no row to update")
+    old = F.col("updated_at") if "updated_at" in table.columns else F.lit(None)
+    return update(table.withColumn("updated_at", old.cast("timestamp")), where, changes | {"updated_at": at.cast("timestamp")})
+
+
 def delete(table: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     return table.join(keys.select(*key).distinct(), key, "left_anti")
 

@@ -25,7 +25,7 @@ OPAQUE = {"script", "style", "noscript", "template", "svg", "canvas", "code", "p
 EMPTY = VOID | {"amp-img", "amp-pixel"}
 AD_TAGS = {"ins", "amp-ad", "amp-embed", "amp-analytics", "amp-pixel"}
 AD_MARK = re.compile(r"adsbygoogle|googlesyndication|googletag|data-ad-|\bads?\b|\badslot\b|banner|sponsor|propeller|adsterra", re.I)
-FILLABLE = {("meta", "content"), ("img", "alt"), ("html", "lang"), ("time", "datetime"), ("amp-img", "alt")}
+FILLABLE = {("meta", "content"), ("img", "alt"), ("amp-img", "alt"), ("time", "datetime"), ("a", "title"), ("html", "lang"), ("meta", "charset")}
 CHROME = ["nav", "header", "footer", "aside", "menu"]
 NEVER = ["a", "button", "label", "option", "th", "abbr"]
 ROLES = ["title", "meta_description", "meta_keywords", "h1", "heading", "paragraph", "faq_question", "faq_answer", "review_text", "review_author", "review_date", "caption", "date", "lang"]
@@ -36,7 +36,8 @@ HINTS = {
 }
 #: Prefix of the attributes by which an author marks roles and parts to skip.
 MARK = "data-slot"
-SIGNATURE = ["class", "id", "href", "src", "rel", "type", "name", "property", "itemprop", "itemtype", "role", "action"]
+# Attributes whose change is a change of structure.
+SIGNATURE = ["href", "src", "srcset", "class", "id", "layout", "width", "height", "type", "rel", "data-ad-client", "data-ad-slot"]
 
 _ATTR = re.compile(r"""([^\s=/>"']+)(\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 
@@ -154,7 +155,7 @@ SLOT = (
 
 
 def scan_slots(templates: DataFrame) -> DataFrame:
-    """A row for each slot of each template (template_id, html)."""
+    """A row for each slot of each template (template_id, html); a template nested too deep gives one row of kind "too deep", which has no role."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -163,7 +164,11 @@ def scan_slots(templates: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                rows = [{**s, "template_id": r["template_id"], "attrs": list(s["attrs"].items())} for s in Scanner(r["html"] or "").slots]
+                try:
+                    found = Scanner(r["html"] or "").slots
+                except TooDeep:
+                    found = [dict.fromkeys(schema.names) | {"kind": "too deep", "attrs": {}, "current": "", "tag": "", "attr": "", "quote": "", "path": [], "hints": [], "own_hint": "", "in_ad": True}]
+                rows = [{**s, "template_id": r["template_id"], "attrs": list(s["attrs"].items())} for s in found]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return templates.select("template_id", "html").mapInArrow(run, SLOT)
@@ -216,7 +221,7 @@ def slot_map(slots: DataFrame) -> DataFrame:
 def build_edits(slots: DataFrame, content: DataFrame) -> DataFrame:
     """template_id, start, end, kind, quote, text: the n-th slot of a role takes its n-th text; a role with one text fans out to all."""
     several = content.groupBy("role").agg(F.count("*").alias("_n"))
-    own = content.join(F.broadcast(several), "role")
+    own = content.join(several, "role")
     exact = slots.join(own.where("_n > 1").drop("_n"), ["role", "ordinal"])
     fan = slots.join(own.where("_n = 1").select("role", "text"), "role")
     cols = ["template_id", "start", "end", "kind", "quote", "text"]
@@ -263,7 +268,7 @@ def insert_point(html: str) -> int:
 
 def fingerprint(html: str) -> dict:
     es = Scanner(html).elements
-    sign = lambda e: "|".join([e["tag"], *(e["attrs"].get(k, "") for k in SIGNATURE)])
+    sign = lambda e: "|".join([e["tag"], *(f"{k}={e['attrs'][k]}" for k in SIGNATURE if k in e["attrs"])])
     return {
         "order": [e["tag"] for e in es],
         "links": Counter(e["attrs"]["href"] for e in es if "href" in e["attrs"]),
@@ -325,6 +330,55 @@ def fill(templates: DataFrame, edits: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "template_id long, filled string, violations array<string>")
 
 
+def summary(slots: DataFrame) -> DataFrame:
+    """template_id, total, unquoted (attributes that can't be filled), skipped (slots without a role), too_deep: of each template that has slots."""
+    unquoted = (F.col("kind") == "attribute") & (F.col("quote") == "")
+    deep = F.col("kind") == "too deep"
+    named = slots.withColumn("_r", role())
+    return named.groupBy("template_id").agg(
+        F.count_if(~deep).alias("total"), F.count_if(unquoted & (F.col("_r") != "")).alias("unquoted"), F.count_if(~deep & (F.col("_r") == "")).alias("skipped"), F.max(deep).alias("too_deep")
+    )
+
+
+def fingerprints(templates: DataFrame) -> DataFrame:
+    """template_id, tag, n: elements of each template by name; a template nested too deep has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                try:
+                    rows += [(r["template_id"], tag, n) for tag, n in Counter(e["tag"] for e in Scanner(r["html"] or "").elements).items()]
+                except TooDeep:
+                    pass
+            yield pa.record_batch([pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.int64()))], ["template_id", "tag", "n"])
+
+    return templates.select("template_id", "html").mapInArrow(run, "template_id long, tag string, n long")
+
+
+def collected_css(parsed: DataFrame, sheets: DataFrame, limit: int = 400_000) -> DataFrame:
+    """page_id, css: each page's own styles and its host's linked stylesheets, found in a table (url, css).
+
+    Sheets longer than ``limit`` characters are cut there, as a fetch with that limit would.
+    """
+    linked = parsed.select("page_id", F.posexplode("page.stylesheets").alias("pos", "sheet")).join(sheets.select(F.col("url").alias("sheet"), F.col("css").alias("_c")), "sheet")
+    more = linked.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.left("_c", F.lit(limit)).alias("c")))).alias("_more"))
+    both = parsed.select("page_id", F.col("page.css").alias("_own")).join(more, "page_id", "left")
+    return both.select("page_id", F.array_join(F.filter(F.concat(F.array("_own"), F.coalesce(F.transform("_more", lambda x: x["c"]), F.array().cast("array<string>"))), lambda x: x != ""), "\n").alias("css"))
+
+
+def template_record(parsed: DataFrame, sheets: DataFrame) -> DataFrame:
+    """What a page's template is made of: design, structure, and lengths, a row for each page that could be parsed."""
+    css = collected_css(parsed, sheets)
+    look = design(palette(css, "page_id", "css"), "page_id")
+    own = parsed.where("status = 'ok'").select(
+        "page_id", "url", "page.sections", F.size("page.sections").cast("long").alias("section_count"), F.transform("page.sections", lambda x: x["kind"]).alias("section_types"),
+        "page.signals.has_faq", "page.signals.schema_types", F.col("page.title_length").alias("title_length"), F.col("page.meta_description_length").alias("meta_length"),
+    )
+    with_css = own.join(css, "page_id").withColumns({"radius": corner_radius(F.col("css")), "fonts": fonts(F.col("css")), "css_bytes": F.octet_length("css").cast("long")})
+    return with_css.drop("css").join(look, "page_id", "left")
+
+
 # -- design: colours, fonts, corners ------------------------------------------------
 
 GENERIC_FONTS = ["inherit", "initial", "unset", "serif", "sans-serif", "monospace", "cursive", "fantasy", "system-ui"]

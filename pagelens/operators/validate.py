@@ -46,7 +46,7 @@ def plan_words(sections: Column) -> Column:
 
 def normalise_sections(sections: Column) -> Column:
     """Blank paragraphs and items go, then sections with neither."""
-    keep = lambda xs: F.filter(F.transform(F.coalesce(xs, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    keep = lambda xs: F.filter(F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     clean = F.transform(sections, lambda s: F.struct(F.trim(s["heading"]).alias("heading"), keep(s["paragraphs"]).alias("paragraphs"), keep(s["items"]).alias("items")))
     return F.filter(clean, lambda s: (F.size(s["paragraphs"]) > 0) | (F.size(s["items"]) > 0))
 

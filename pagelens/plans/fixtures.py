@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import intent
 from ..operators import templates
-from .pipeline import blueprint, page_facts
+from . import pipeline
+from .pages import _TITLE, _WC
 from .registry import query
 
 
@@ -19,35 +20,54 @@ def template_slots(load):
 
 
 @query()
-def template_fill(load):
-    """Every page with a new title and h1, and proof that the rest stayed."""
-    pages = load("pages").select(F.col("page_id").alias("template_id"), "html")
-    slots = templates.slot_map(templates.scan_slots(pages))
-    content = pages.sparkSession.createDataFrame([("title", 1, "New <title>"), ("h1", 1, "New & better")], "role string, ordinal int, text string")
-    filled = templates.fill(pages, templates.build_edits(slots, content))
-    return filled.select("template_id", F.length("filled").alias("n_chars"), F.array_join("violations", ",").alias("violations"))
+def intent_label(load):
+    """Languages told by the words of whole documents: learned from four fifths of them, told for all."""
+    docs = load("documents").select("doc_id", F.col("text").alias("keyword"), F.col("lang").alias("intent"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).alias("held_out"))
+    model = intent.train(docs.where("not held_out").select("keyword", "intent"))
+    return intent.predict(model, docs.select("doc_id", "keyword", "held_out")).select("doc_id", "held_out", "predicted", "confidence")
 
 
-@query()
-def palette_rank(load):
-    """Colours of styles made from ids, ranked by bucket."""
-    n = F.col("page_id")
-    color = lambda k: F.lpad(F.lower(F.hex((n * k) % 16777216)), 6, "0")
-    css = F.concat(F.lit("a{color:#"), color(40503), F.lit(";background:#"), color(97), F.lit(";border:1px solid rgb(10, 20, 30)}b{color:#"), color(40503), F.lit("}"))
-    return templates.palette(load("pages").select("page_id", css.alias("css")), "page_id", "css")
+def _lists(load):
+    """Every page in a result list of ten, as a browser got it and as a bot did: bots get another text from every seventh page, and nothing from some."""
+    pages = load("pages")
+    keyword = F.concat(F.lit("the "), F.floor(F.col("page_id") / 10).cast("string"))
+    results = pages.select(keyword.alias("keyword"), (F.col("page_id") % 10 + 1).alias("position"), F.concat_ws("#", "url", F.col("page_id").cast("string")).alias("url"))
+    own = pages.withColumn("url", F.concat_ws("#", "url", F.col("page_id").cast("string")))
+    seen = own.select((F.col("page_id") * 2).alias("page_id"), "url", F.lit("browser").alias("agent"), "html")
+    other = F.when(F.col("page_id") % 7 == 0, F.lit("<title>x</title><p>casino gacor slot</p>")).otherwise(F.col("html"))
+    indexed = own.where("page_id % 11 <> 10").select((F.col("page_id") * 2 + 1).alias("page_id"), "url", F.lit("bot").alias("agent"), other.alias("html"))
+    return results, seen.unionAll(indexed)
 
 
-@query()
-def intent_label(load):
-    """Sources told by the words of a document's first line: the classifier on a table at hand."""
-    docs = load("documents").select("doc_id", F.split("text", "\n")[0].alias("keyword"), F.col("lang").alias("intent"))
-    return intent.predict(intent.train(docs.select("keyword", "intent")), docs.select("doc_id", "keyword")).select("doc_id", "predicted", "confidence")
+_OF = f"""with m as (select page_id, page_id // 10 as k, page_id % 10 + 1 as position, page_id % 11 <> 10 as bot, page_id % 7 = 0 and page_id % 11 <> 10 as swapped, {_WC} as wc, length({_TITLE}) as tl from pages),
+f as (select *, case when swapped then 3 + 1 else wc end as words, case when swapped then 1 else tl end as title from m)"""
 
 
-@query()
+@query(f"""{_OF} select 'the ' || k as keyword, position, 'ok' as status, case when bot then swapped end as cloaking, words::bigint as word_count, title::bigint as title_length from f""")
+def page_facts(load):
+    """Every page as browser and bot see it: cloaking is found where they see other texts, unknown where one is missing (P-10, P-12, P-35, S-2)."""
+    f = pipeline.page_facts(*_lists(load))
+    return f.select("keyword", "position", "status", "cloaking", F.col("page.word_count").alias("word_count"), F.col("page.title_length").alias("title_length"))
+
+
+@query(f"""{_OF}, o as (select * from f where not swapped and wc >= 150)
+select 'the ' || k as keyword, count(*)::bigint as analyzed_pages, round(median(words), 1) as word_count_median, coalesce(round(median(words) filter (where position <= 5), 1), 0) as word_count_top5_median,
+max(words)::bigint as word_count_max, round(median(title), 1) as title_length_median, 0.0 as faq_percentage, 0::bigint as failed_pages, '' as schema_types from o group by k""")
 def page_blueprint(load):
-    """The whole page pipeline for one keyword over the first ten pages, as browser and bot see them."""
-    pages = load("pages")
-    results = pages.where("page_id < 10").select((F.col("page_id") + 1).alias("position"), "url")
-    fetched = pages.withColumn("agent", F.when(F.col("page_id") % 2 == 0, "bot").otherwise("browser"))
-    return blueprint(page_facts(results, fetched, F.lit("the")), "the")
+    """One row for each keyword, from all of its usable pages (A-1, A-4..A-10, P-36)."""
+    results, fetched = _lists(load)
+    # Usable by size alone, since the lists' keywords aren't words of the pages.
+    facts = pipeline.page_facts(results, fetched).withColumn("usable", F.col("page.word_count") >= 150)
+    b = pipeline.blueprint(facts).where("not hijack_fallback")
+    return b.select(
+        "keyword", "analyzed_pages", "word_count_median", "word_count_top5_median", "word_count_max", "title_length_median", "faq_percentage", "failed_pages",
+        F.coalesce(F.array_join(F.transform("schema_types", lambda x: x["value"]), ","), F.lit("")).alias("schema_types"),
+    )
+
+
+@query("""select s_suppkey as root, case when s_suppkey % 3 = 0 then 500 when s_suppkey % 3 = 1 then 100 end::bigint as root_words, case when s_suppkey % 3 = 0 then 5 when s_suppkey % 3 = 1 then 1 end::bigint as root_hits from supplier where s_suppkey % 3 <> 2""")
+def root_probes(load):
+    """Root domains by their https answer, or else the http one (S-3)."""
+    k = F.col("s_suppkey")
+    one = lambda scheme, ok, w, h: load("supplier").select(k.alias("root"), F.lit(scheme).alias("scheme"), F.when(ok, w).cast("long").alias("words"), F.when(ok, h).cast("long").alias("hits"))
+    return pipeline.root_probe(one("https", k % 3 == 0, 500, 5).unionAll(one("http", k % 3 <= 1, 100, 1)))

@@ -23,3 +23,21 @@ def write_cache(payloads: DataFrame, path: str) -> None:
 def lookup(requests: DataFrame, cached: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Hits and misses."""
     return requests.join(cached, keys), requests.join(cached, keys, "left_anti")
+
+
+def search(requests: DataFrame, path: str, source: DataFrame, keys: list[str], now: Column, ttl_hours: float) -> DataFrame:
+    """requests with payload: from the cache where it is fresh, else from the source, whose rows then join the cache.
+
+    requests: keys, region, provider. source: keys, payload. What the cache held and still
+    holds is written again with the new rows, partition by partition.
+    """
+    spark = requests.sparkSession
+    cached = read_cache(spark, path, now, ttl_hours).select(*keys, "region", "provider", "payload", "fetched_at")
+    hits, misses = lookup(requests, cached, [*keys, "region", "provider"])
+    stamp = F.date_format(now, "yyyy-MM-dd HH:mm:ss")
+    fetched = misses.join(source.select(*keys, "payload"), keys).select(*keys, "region", "provider", "payload", stamp.alias("fetched_at"))
+    fresh = f"{path}-fetched"
+    fetched.write.mode("overwrite").parquet(fresh)
+    fetched = spark.read.parquet(fresh)
+    fetched.write.mode("append").partitionBy("region", "provider").parquet(path)
+    return hits.unionByName(fetched)

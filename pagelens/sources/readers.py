@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scoring import DEFAULT_RULES, Rules
 from ..functions.urls import domain
 from ..operators.ranking import first_per_domain
 
@@ -20,6 +23,15 @@ REPORT = (
 )
 
 
+# Where a rules file keeps each number.
+RULE_KEYS = {
+    "title_missing": ("title", "penalty_missing"), "title_length": ("title", "penalty_length"), "meta_missing": ("meta_description", "penalty_missing"),
+    "meta_short": ("meta_description", "penalty_length"), "meta_long": ("meta_description", "penalty_length"), "h1_missing": ("h1", "penalty_missing"),
+    "h1_multiple": ("h1", "penalty_multiple"), "min_words": ("content", "minimum_words"), "thin": ("content", "penalty_thin"), "max_alt": ("images", "maximum_penalty"),
+    "min_links": ("internal_links", "minimum"), "no_links": ("internal_links", "penalty_missing"), "no_canonical": ("canonical", "penalty_missing"), "noindex": ("noindex", "penalty"),
+}
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Audit reports, one JSON document a file; keys a report lacks are null."""
     return spark.read.schema(REPORT).json(path, multiLine=True)
@@ -77,9 +89,25 @@ def run_provider(name: str, payloads: DataFrame, column: str) -> DataFrame:
 
 
 def read_templates(spark: SparkSession, path: str, max_bytes: int = 2 << 20) -> DataFrame:
-    """path, html of UTF-8 files up to the size; larger or broken ones are left out."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes)
-    return files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("html")).where("html is not null")
+    """path, html, status of the files under a path."""
+    return checked_templates(spark.read.format("binaryFile").load(path), max_bytes)
+
+
+def checked_templates(files: DataFrame, max_bytes: int = 2 << 20) -> DataFrame:
+    """path, html, status (ok, too large, not utf-8) of files (path, content); only ok files have html."""
+    small = F.octet_length("content") <= max_bytes
+    html = F.when(small, F.try_validate_utf8(F.col("content").cast("string")))
+    return files.select("path", html.alias("html"), F.when(~small, "too large").when(html.isNull(), "not utf-8").otherwise("ok").alias("status"))
+
+
+def read_rules(spark: SparkSession, path: str, base: Rules = DEFAULT_RULES) -> Rules:
+    """Scoring rules from a JSON object of objects of integers; what the file leaves out keeps its default."""
+    text = spark.read.text(path, wholetext=True)
+    rows = text.select(F.explode(F.from_json("value", "map<string,map<string,int>>")).alias("rule", "values")).collect()  # one small file
+    got = {(r["rule"], k): v for r in rows for k, v in (r["values"] or {}).items()}
+    one = {f: got[k] for f, k in RULE_KEYS.items() if k in got}
+    pair = lambda rule, old: (got.get((rule, "min"), old[0]), got.get((rule, "max"), old[1]))
+    return replace(base, **one, title=pair("title", base.title), meta=pair("meta_description", base.meta))
 
 
 def sitemap(urls: DataFrame, path: str) -> None:

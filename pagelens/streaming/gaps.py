@@ -48,6 +48,12 @@ def latest_status_stream(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
 
 
+def polls(rows: DataFrame, key: str, ts: str, every: int = 3) -> DataFrame:
+    """key, polls: looks at a fixed interval, from the first row of the key until the last is seen."""
+    span = F.unix_timestamp(F.max(ts)) - F.unix_timestamp(F.min(ts))
+    return rows.groupBy(key).agg((F.floor(span / every) + 1).cast("long").alias("polls"))
+
+
 class Throttle:
     """Lockout by address: ``limit`` failures in ``window`` seconds lock for ``lock`` seconds; success clears."""
 

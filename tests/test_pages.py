@@ -101,16 +101,21 @@ def test_template_guards():
     assert templates.verify("<p>t</p>", "<p>u</p>", [dict(start=3, end=4, kind="text", quote="", text="u")]) == []
 
 
-def test_amp(spark):
+def test_amp():
     good = """<!doctype html><html ⚡ lang="en"><head><meta charset="utf-8"><script async src="https://cdn.ampproject.org/v0.js"></script><link rel="canonical" href="x">
 <meta name="viewport" content="width=device-width"><style amp-boilerplate></style><noscript><style amp-boilerplate></style></noscript><style amp-custom>a{b:c}</style></head><body>ok</body></html>"""
-    assert one(spark, amp.validate(F.lit(good))).errors == []
-    bad = {'<body><img src=x>': "img", '<body style="x">': None, '<body><p onclick = "x">': "handler", "<body><script>1</script>": "script"}
+    assert amp.check(good) == {"valid": True, "errors": [], "warnings": [], "css_bytes": 6}
+    bad = {"<body><img src=x>": "img", '<body><i style="x">': "inline-style", '<body><p onclick = "x">': "handler", "<body><script>1</script>": "script", "<body><form>": "form"}
     for new, rule in bad.items():
-        got = one(spark, amp.validate(F.lit(good.replace("<body>", new)))).errors
-        assert rule is None or rule in got
-    assert "important" in one(spark, amp.validate(F.lit(good.replace("a{b:c}", "a{b:c!important}")))).errors
-
+        assert amp.check(good.replace("<body>", new))["errors"] == [rule]
+    swaps = {
+        "a{b:c}": ("a{b:c ! important}", "important"), 'charset="utf-8"': ("name=x", "charset"), "<!doctype html>": ("", "doctype"), " ⚡": ("", "amp-attribute"), "v0.js": ("v1.js", "runtime"),
+        "width=device-width": ("width=5", "viewport"), '<link rel="canonical" href="x">': ("", "canonical"), "<noscript><style amp-boilerplate></style></noscript>": ("", "boilerplate"), "ok": ("ok<style amp-custom></style>", "one-style"),
+    }
+    for old, (new, rule) in swaps.items():
+        assert amp.check(good.replace(old, new))["errors"] == [rule]
+    assert amp.check(good, 5)["errors"] == ["css-size"] and amp.check(good.replace(' lang="en"', ""))["warnings"] == ["lang"]
+    assert "head" in amp.check("")["errors"]
 
 def test_design(spark):
     css = "a{color:#fff;background:#0B0F19;border-radius:8px;font-family:'Open Sans', Arial} b{color:rgb(11,15,25);border-radius:8px;border-radius:99px;font-family:inherit,Roboto}"

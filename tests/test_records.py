@@ -63,7 +63,8 @@ def test_readers(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "a.html").write_text("<p>é</p>")
     (tmp_path / "t" / "b.html").write_bytes(b"\xff\xfe")
-    assert [r.html for r in readers.read_templates(spark, str(tmp_path / "t")).collect()] == ["<p>é</p>"]
+    assert {(r.html, r.status) for r in readers.read_templates(spark, str(tmp_path / "t")).collect()} >= {("<p>é</p>", "ok")}
+    assert all((r.html is not None) == (r.status == "ok") for r in readers.read_templates(spark, str(tmp_path / "t")).collect())
     (tmp_path / "r.json").write_text('{"seo_score": 80, "page": {"title": "t"}}')
     assert readers.read_reports(spark, str(tmp_path / "r.json")).first().seo_score == 80
     readers.sitemap(spark.createDataFrame([("http://a", "2024-01-01")], "url string, lastmod string"), str(tmp_path / "s"))
