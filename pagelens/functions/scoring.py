@@ -130,7 +130,7 @@ def hijack_parts(cloak, only_bot, kind, parasite, root_checked, root_hits, root_
 
 def paragraph_stats(paragraphs: Column) -> Column:
     """struct<n, average, longest> of the word counts by white space."""
-    sizes = F.transform(paragraphs, lambda p: F.size(F.filter(F.split(p, r"(?U)\s+"), lambda w: w != "")))
+    sizes = F.transform(paragraphs, lambda p: F.regexp_count(p, F.lit(r"(?U)\S+")))
     total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
     n = F.size(paragraphs)
     return F.struct(

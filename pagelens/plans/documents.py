@@ -33,9 +33,14 @@ select lang, count(*)::bigint as analyzed_pages, coalesce(round(median(wc), 1),
 from u group by lang""")
 def blueprint_targets(load):
     """Per-language targets over usable documents: exact medians and maxima."""
-    pos = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    docs = load("documents").select("lang", "doc_id", T.count_words(F.col("text")).alias("word_count"), pos.alias("position"))
-    return blueprint.word_targets(docs.where(F.col("word_count") >= S.MIN_USABLE_WORDS), "lang", top=50)
+    docs = load("documents").select("lang", "doc_id", T.count_words(F.col("text")).alias("word_count")).where(F.col("word_count") >= S.MIN_USABLE_WORDS)
+    return blueprint.word_targets(_placed(load, docs, 50, F.lit(51)), "lang", top=50)
+
+
+def _placed(load, docs, k, after):
+    """Adds position: the place by id in the language for its first k documents (found without sorting the language), ``after`` for the others."""
+    first = load("documents").select("lang", "doc_id").withColumn("position", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where(F.col("position") <= k)
+    return docs.join(first.select("doc_id", "position"), "doc_id", "left").withColumn("position", F.coalesce(F.col("position").cast("long"), after))
 
 
 @query("""select d.lang, count(*)::bigint as pages, round(100.0 * count(*) filter (where l.quality = 1) / greatest(count(*), 1), 1)::double as good_percentage,
@@ -255,29 +260,33 @@ def entity_coverage(load):
     return out.select("doc_id", F.size("found").cast("long").alias("found"), F.array_join("missing", ",").alias("missing"), "coverage")
 
 
-_PAIRS = f"""with t as (select doc_id, list_distinct({TOKENS}) as ts, text from documents),
-p as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.ts, b.ts))::double / nullif(len(list_distinct(list_concat(a.ts, b.ts))), 0) as sim, a.text as ta, b.text as tb
-      from t a join t b on b.doc_id = a.doc_id + 137)"""
-
-
-def _pairs(load):
-    docs = load("documents").select("doc_id", "text", T.token_set(F.col("text")).alias("ts"))
-    return joins.pair_up(docs, "doc_id", 137).withColumn("similarity", T.similarity(F.col("ts_a"), F.col("ts_b")))
+@query(f"""with t as (select doc_id, list_distinct({TOKENS}) as ts from documents), q as (select * from t where doc_id % 20 = 0 and len(ts) > 0)
+select q.doc_id as a, t.doc_id as b, round(len(list_intersect(q.ts, t.ts))::double / len(list_distinct(list_concat(q.ts, t.ts))), 6) as similarity
+from q join t on q.doc_id <> t.doc_id and len(t.ts) > 0 where len(list_intersect(q.ts, t.ts))::double / len(list_distinct(list_concat(q.ts, t.ts))) >= 0.45""")
+def jaccard_pairs(load):
+    """Documents whose words are much like those of every twentieth one, found among all documents."""
+    docs = load("documents").select("doc_id", T.token_set(F.col("text")).alias("ts"))
+    found = joins.similar_sets(docs.where("doc_id % 20 = 0"), docs, "doc_id", "ts", 0.45)
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"{_PAIRS} select a, b, round(coalesce(sim, 1.0), 6) as similarity from p")
-def jaccard_pairs(load):
-    return _pairs(load).select("a", "b", F.round("similarity", 6).alias("similarity"))
+_BOT = "case doc_id % 4 when 0 then text when 1 then 'New title' || chr(10) || text when 2 then replace(text, 'a', 'o') else 'casino slot the the the the' end"
 
 
-@query(f"""{_PAIRS}, h as (select *, (length(ta) - length(replace(lower(ta), 'the', ''))) // 3 as ha, (length(tb) - length(replace(lower(tb), 'the', ''))) // 3 as hb,
-lower(trim(string_split(ta, chr(10))[1])) <> lower(trim(string_split(tb, chr(10))[1])) as changed from p)
-select a, b, coalesce(sim, 1.0) < 0.45 or (hb >= 3 and ha = 0) or (changed and coalesce(sim, 1.0) < 0.7) as cloaking from h""")
+@query(f"""with v as (select doc_id, coalesce(text, '') as ta, coalesce({_BOT}, '') as tb from documents),
+t as (select *, list_distinct({TOKENS.replace("text", "ta")}) as sa, list_distinct({TOKENS.replace("text", "tb")}) as sb from v),
+h as (select *, len(list_intersect(sa, sb))::double / nullif(len(list_distinct(list_concat(sa, sb))), 0) as sim, (length(ta) - length(replace(lower(ta), 'the', ''))) // 3 as ha, (length(tb) - length(replace(lower(tb), 'the', ''))) // 3 as hb,
+lower(trim(string_split(ta, chr(10))[1])) <> lower(trim(string_split(tb, chr(10))[1])) as changed from t)
+select doc_id, coalesce(sim, 1.0) < 0.45 or (hb >= 3 and ha = 0) or (changed and coalesce(sim, 1.0) < 0.7) as cloaking from h""")
 def cloak_verdict(load):
-    p = _pairs(load)
+    """Every document against a second version of it: the same, with another title, with other letters, or another text."""
+    k, t = F.col("doc_id") % 4, F.col("text")
+    bot = F.when(k == 0, t).when(k == 1, F.concat(F.lit("New title\n"), t)).when(k == 2, F.replace(t, F.lit("a"), F.lit("o"))).otherwise(F.lit("casino slot the the the the"))
+    v = load("documents").select("doc_id", F.coalesce(t, F.lit("")).alias("a"), F.coalesce(bot, F.lit("")).alias("b"))
+    v = v.withColumn("similarity", T.similarity(T.token_set(F.col("a")), T.token_set(F.col("b"))))
     title = lambda c: F.lower(F.trim(F.split(c, "\n")[0]))
-    v = S.cloaking(F.col("similarity"), T.count_substring(F.col("text_a"), kw()), T.count_substring(F.col("text_b"), kw()), title("text_a") != title("text_b"))
-    return p.select("a", "b", v.alias("cloaking"))
+    found = S.cloaking(F.col("similarity"), T.count_substring(F.col("a"), kw()), T.count_substring(F.col("b"), kw()), title("a") != title("b"))
+    return v.select("doc_id", found.alias("cloaking"))
 
 
 @query(f"""with s as (select doc_id, lang, {WORDS} as wc, len(string_split(text, chr(10))) as h2, row_number() over (partition by lang order by doc_id) as position from documents),
@@ -286,9 +295,9 @@ r as (select doc_id, lang, greatest(0, 11 - position) * 3 + h2 * 1.5 + case when
 select lang, doc_id, round(score, 6)::double as score, row_number() over (partition by lang order by score desc, position)::bigint as rank from r qualify rank <= 10""")
 def rank_candidates(load):
     """The ten best reference pages of each language."""
-    pos = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    d = load("documents").select("doc_id", "lang", T.count_words(F.col("text")).alias("word_count"), F.size(F.split("text", "\n")).alias("h2_count"), F.contains("source", F.lit("1")).alias("has_faq"), pos.alias("position"))
-    out = ranking.rank_reference_pages(d.where(F.col("word_count") >= 150).withColumn("has_schema", F.lit(False)), "lang", 10)
+    d = load("documents").select("doc_id", "lang", T.count_words(F.col("text")).alias("word_count"), F.size(F.split("text", "\n")).alias("h2_count"), F.contains("source", F.lit("1")).alias("has_faq"), F.lit(False).alias("has_schema"))
+    # From the eleventh place on only the order counts.
+    out = ranking.rank_reference_pages(_placed(load, d.where(F.col("word_count") >= 150), 10, F.col("doc_id") + 11), "lang", 10)
     return out.select("lang", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
