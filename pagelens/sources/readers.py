@@ -7,7 +7,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scoring import DEFAULT_RULES, Rules
+from ..functions.scoring import DEFAULT_RULES, LEGACY_RULES, Rules, page_problems, page_score
+from ..functions.text import count_spaced
 from ..functions.urls import domain
 from ..operators.ranking import first_per_domain
 
@@ -121,7 +122,13 @@ def jsonld_article(title: Column, description: Column, url: Column, published: C
     return json_for_html(body)
 
 
-def analysis_markdown(row) -> str:
-    """A report of one blueprint row."""
-    lines = [f"# {row['keyword']}", "", "| target | value |", "| --- | --- |"]
-    return "\n".join([*lines, *(f"| {k} | {v} |" for k, v in row.asDict().items() if k != "keyword")]) + "\n"
+def legacy_reports(parsed: DataFrame) -> DataFrame:
+    """The older report of parsed pages: page_id, requested_url, http_status, title, h1, word_count, seo_score, problems."""
+    c = lambda n: F.col(f"page.{n}")
+    words = count_spaced(c("visible_text"))
+    measures = [c("title_length"), c("meta_description_length"), c("h1_count"), words, F.size(c("images_without_alt")), F.size(c("internal")), c("canonical"), c("robots_meta")]
+    ok = parsed.where("status = 'ok'")
+    return ok.select(
+        "page_id", F.col("url").alias("requested_url"), F.lit(200).alias("http_status"), c("title").alias("title"), F.coalesce(F.get(c("h1"), 0), F.lit("")).alias("h1"),
+        words.alias("word_count"), page_score(LEGACY_RULES, *measures).alias("seo_score"), page_problems(LEGACY_RULES, *measures).alias("problems"),
+    )
