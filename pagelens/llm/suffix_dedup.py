@@ -14,20 +14,26 @@ document of smaller id. Three steps:
    sorted and named, the names' string is sorted by recursion, the other suffixes
    are sorted by first symbol and sampled rank, and both are merged. Suffixes that
    are neighbours and share LENGTH bytes are one string; its least document stays.
+   Partitions sort independently: no order of all suffixes is built (see README).
 3. The spans come together by document, are united, and are cut from the text.
 
 Between 1 and 2, runs of such stretches are cut into chunks at anchors of certain
 hashes. Of equal chunks, which copies are full of, all but those of the least
 document go as a whole, first inside a task and then by digest.
 
-Hot strings: since equal chunks collapse inside a task, a text that a third of all
-documents hold costs a row for each task. An anchor with over HOT occurrences is dealt window by window
-instead, by the window's own hash, so that different surroundings of a common
-passage spread over all partitions.
-
-Defined results: a null text is empty; rows that repeat a doc_id are told apart by
-their texts' order and never remove each other's bytes; a row of null doc_id keeps
-all bytes and removes none elsewhere; texts shorter than LENGTH stay.
+Sizes: the number of anchor buckets and of sort partitions follows the bytes that
+are there; a task holds one bucket, one partition's stretches, and sorts SORTED bytes
+at a time. Hot strings: equal chunks collapse inside a task, so a text that a third of
+all documents hold costs a row for each block. An anchor with over HOT occurrences is
+dealt window by window, by the window's own hash, so that the surroundings of a common
+passage spread over all partitions, and equal windows collapse inside a task, too.
+HOT only says how strings are dealt; results are the same at any value (tested).
+
+Defined results: a null text is empty; rows that repeat a doc_id, equal ones too, are
+separate and never remove each other's bytes; a row of null doc_id keeps all bytes
+and removes none elsewhere; texts shorter than LENGTH stay; a text of any length is
+worked on in pieces that overlap; an empty table gives no rows; extra columns, whatever
+their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -37,21 +43,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, in_blocks, ints, mix, prefix_hash, span_hash, utf8, workers_find_us
+from .common import U64, Scratch, in_blocks, ints, mix, numbered, prefix_hash, span_hash, utf8, with_fields, workers_find_us
 
 LENGTH = 50
 K = 20
 HOT = 8192
 _SPAN = LENGTH - K + 1  # K-grams of a window
-_BUCKETS_BITS = 10
 CUT = 8
 _PART = 1 << 20  # window starts that are hashed at a time
 _LOW = U64((1 << 22) - 1)
-#: Bytes of text whose anchors are counted before the shuffle, and of stretches sorted by one partition.
-BLOCK, SORTED = 16 << 20, 1 << 20
+#: Bytes of text whose anchors are counted before the shuffle, bytes for each bucket of anchors, bytes of
+#: stretches that are dealt to one partition, and those that it sorts at a time.
+BLOCK, BUCKET, PARTITION, SORTED = 16 << 20, 4 << 20, 24 << 20, 1 << 20
 
 
 # -- anchors -------------------------------------------------------------------
@@ -83,7 +89,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 
 
 def _anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hash, index of the text, code (lo << 28 | hi - lo << 6 | at - lo) of all texts."""
+    """hash, index of the text, code (lo << 12 | hi - lo << 6 | at - lo) of all texts."""
     pieces = []  # a long text comes in pieces that overlap by LENGTH - 1
     for i, t in enumerate(texts):
         for lo in range(0, max(len(t) - LENGTH + 1, 0), _PART):
@@ -96,7 +102,7 @@ def _anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         h, text, lo, hi, at = anchors(np.frombuffer(b"".join(p[2] for p in part), np.uint8), end - size, end)
         own = np.array([p[0] for p in part], np.int64)[text]
         base = lo - (end - size)[text] + np.array([p[1] for p in part], np.int64)[text]
-        out.append((h, own, (base << 28) | ((hi - lo) << 6) | (at - lo)))
+        out.append((h, own, (base << 12) | ((hi - lo) << 6) | (at - lo)))
     if not out:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -118,46 +124,49 @@ def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
 
 
-def packed_anchors(docs: DataFrame) -> DataFrame:
-    """bucket, settled, h, doc, code: anchors of a block of documents by range of hash.
+def packed_anchors(docs: DataFrame, bits: int) -> DataFrame:
+    """bucket, settled, h, doc, k, code: anchors of a block of documents by the first ``bits`` of their hash.
 
     An anchor that the block has in two documents is settled: its occurrences pass by
     under any bucket, and its own bucket gets two witnesses, whose code is minus the
     number of occurrences.
     """
+    shift = U64(64 - bits)
 
     def rows(keys, texts) -> Iterator[pa.RecordBatch]:
         h, own, code = _anchors_of(texts)
         if not len(h):
             return
         doc = np.array([k[0] for k in keys], np.int64)[own]
-        code |= np.array([k[1] for k in keys], np.int64)[own] << 12
+        row = np.array([k[1] for k in keys], np.int64)[own]
         order, head = _groups(h)
-        h, doc, code = h[order], doc[order], code[order]
+        h, doc, row, code = h[order], doc[order], row[order], code[order]
         least, most = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
         count = np.diff(np.append(head, len(h)))
         two = least < most
         settled = np.repeat(two, count)
         w = np.flatnonzero(two)
+        none = np.zeros(len(w), np.int64)
         open_h = np.concatenate([h[~settled], h[head[w]], h[head[w]]])
         open_doc = np.concatenate([doc[~settled], least[w], most[w]])
+        open_row = np.concatenate([row[~settled], none, none])
         # The first witness carries the count, so that counts add up.
         open_code = np.concatenate([code[~settled], -count[w], np.full(len(w), -1 << 62)])
-        bucket = (open_h >> U64(64 - _BUCKETS_BITS)).astype(np.int64)
+        bucket = (open_h >> shift).astype(np.int64)
         order = np.lexsort((open_doc, bucket))
         bucket = bucket[order]
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         out = []
         for a, z in zip(cut, np.append(cut[1:], len(bucket))):
             i = order[a:z]
-            out.append((int(bucket[a]), False, _planes(open_h[i]), _planes(open_doc[i]), _planes(open_code[i])))
-        h, doc, code = h[settled], doc[settled], code[settled]
+            out.append((int(bucket[a]), False, *(_planes(x[i]) for x in (open_h, open_doc, open_row, open_code))))
+        h, doc, row, code = h[settled], doc[settled], row[settled], code[settled]
         for k, a in enumerate(range(0, len(h), 2048)):
             s = slice(a, a + 2048)
-            b = int(mix(np.array([U64(doc[a]) + U64(k)], U64))[0] >> U64(64 - _BUCKETS_BITS))
-            out.append((b, True, _planes(h[s]), _planes(doc[s]), _planes(code[s])))
-        kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["bucket", "settled", "h", "doc", "code"])
+            b = int(mix(np.array([U64(doc[a]) + U64(k)], U64))[0] >> shift)
+            out.append((b, True, *(_planes(x[s]) for x in (h, doc, row, code))))
+        kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * 4]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["bucket", "settled", "h", "doc", "k", "code"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, texts, total = [], [], 0
@@ -174,35 +183,47 @@ def packed_anchors(docs: DataFrame) -> DataFrame:
         if texts:
             yield from rows(keys, texts)
 
-    return docs.select("doc_id", "_k", "text").mapInArrow(run, "bucket long, settled boolean, h binary, doc binary, code binary")
+    return docs.select("doc_id", "_k", "text").mapInArrow(run, "bucket long, settled boolean, h binary, doc binary, k binary, code binary")
 
 
 def shared_anchors(packed: DataFrame) -> DataFrame:
-    """h, doc_id, code of anchors in two documents or more; a null doc_id marks an anchor with over HOT occurrences."""
+    """h, doc_id, _k, code of anchors in two documents or more; a null doc_id marks an anchor with over HOT occurrences.
+
+    Rows come by bucket, and one bucket at a time is held.
+    """
+    names = ["h", "doc_id", "_k", "code"]
+
+    def counted(parts: list) -> Iterator[pa.RecordBatch]:
+        h, doc, row, code = (np.concatenate(x) for x in zip(*parts))
+        order, head = _groups(h)
+        h, doc, row, code = h[order], doc[order], row[order], code[order]
+        shared = np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head)
+        each = np.where(code >= 0, 1, np.where(code == -1 << 62, 0, -code))
+        hot = head[shared & (np.add.reduceat(each, head) > HOT)]
+        ok = np.repeat(shared, np.diff(np.append(head, len(h)))) & (code >= 0)
+        yield pa.record_batch([pa.array(x[ok]) for x in (h.view(np.int64), doc, row, code)], names)
+        if len(hot):
+            zero = pa.array(np.zeros(len(hot), np.int64))
+            yield pa.record_batch([pa.array(h[hot].view(np.int64)), pa.nulls(len(hot), pa.int64()), zero, zero], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "doc_id", "code"]
-        kept: dict[int, list] = {}
+        held: list = []
+        at = None
         for b in batches:
-            for bucket, settled, *cols in zip(*(ints(b, c) for c in ("bucket", "settled", "h", "doc", "code"))):
-                h, doc, code = (_unplane(c, t) for c, t in zip(cols, (U64, np.int64, np.int64)))
+            for bucket, settled, *cols in zip(*(ints(b, c) for c in ("bucket", "settled", "h", "doc", "k", "code"))):
+                got = tuple(_unplane(c, t) for c, t in zip(cols, (U64, np.int64, np.int64, np.int64)))
                 if settled:
-                    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(doc), pa.array(code)], names)
-                else:
-                    kept.setdefault(bucket, []).append((h, doc, code))
-        for parts in kept.values():
-            h, doc, code = (np.concatenate(x) for x in zip(*parts))
-            order, head = _groups(h)
-            h, doc, code = h[order], doc[order], code[order]
-            shared = np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head)
-            each = np.where(code >= 0, 1, np.where(code == -1 << 62, 0, -code))
-            hot = head[shared & (np.add.reduceat(each, head) > HOT)]
-            ok = np.repeat(shared, np.diff(np.append(head, len(h)))) & (code >= 0)
-            yield pa.record_batch([pa.array(h[ok].view(np.int64)), pa.array(doc[ok]), pa.array(code[ok])], names)
-            if len(hot):
-                yield pa.record_batch([pa.array(h[hot].view(np.int64)), pa.nulls(len(hot), pa.int64()), pa.array(np.zeros(len(hot), np.int64))], names)
-
-    return packed.repartition("bucket").mapInArrow(run, "h long, doc_id long, code long")
+                    yield pa.record_batch([pa.array(x.view(np.int64)) for x in got], names)
+                    continue
+                if bucket != at and held:
+                    yield from counted(held)
+                    held = []
+                at = bucket
+                held.append(got)
+        if held:
+            yield from counted(held)
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "h long, doc_id long, _k long, code long")
 
 
 # -- chunks and stretches --------------------------------------------------------
@@ -237,7 +258,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             doc = np.repeat(np.arange(len(col)), np.diff(edges))
             order = np.lexsort((code, doc))
             code, cut, h, hot, doc = code[order], cut[order], h[order], hot[order], doc[order]
-            lo = code >> 28
+            lo = code >> 12
             hi = lo + (code >> 6 & 63)
             new = np.ones(len(lo), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (lo[1:] != hi[:-1] + 1) | cut[:-1]
@@ -267,37 +288,76 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def stretches(found: DataFrame) -> DataFrame:
-    """key, doc_id, _k, lo, stretch: of each chunk, the text of the windows of each anchor, keyed by the anchor.
+    """key, doc_id, _k, lo, size, stretch: of each chunk, the text of the windows of each anchor, keyed by the anchor.
 
-    Windows of a hot anchor come one by one, keyed by themselves.
+    Windows of a hot anchor come one by one, keyed by themselves. Of equal ones in a
+    block those of the least document go on, and the others are settled: their key and
+    stretch are null. So a window that very many documents hold is a row or two for each block.
     """
-    names = ["key", "doc_id", "_k", "lo", "stretch"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["key", "doc_id", "_k", "lo", "size", "stretch"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def batch(rows: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    def flush(warm: dict, settled: list) -> Iterator[pa.RecordBatch]:
+        rows = [(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), d, k, lo, LENGTH, w) for w, (d, at) in warm.items() for k, lo in at]
+        rows += settled
+        for a in range(0, len(rows), 20_000):
+            yield batch(rows[a : a + 20_000])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        warm: dict[bytes, tuple[int, list]] = {}
+        settled: list = []
         for b in (x.slice(i, 2000) for x in batches for i in range(0, x.num_rows, 2000)):
             ids, ks, base, texts, hots = (ints(b, c) for c in ("doc_id", "_k", "lo", "chunk", "hot"))
             for a, z in in_blocks(texts, len, _PART // 2):
-                rows = []
                 h, own, code = _anchors_of(texts[a:z])
-                for key, i, c in zip(h.view(np.int64).tolist(), own.tolist(), code.tolist()):
-                    i += a
-                    lo = c >> 28
-                    hi = lo + (c >> 6 & 63)
-                    t = texts[i]
-                    if len(rows) > 20_000:
-                        yield pa.record_batch([pa.array(c, t_) for c, t_ in zip(zip(*rows), kinds)], names)
-                        rows = []
-                    if hots[i] and key in hots[i]:
-                        for s in range(lo, hi + 1):
-                            w = t[s : s + LENGTH]
-                            rows.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), ids[i], ks[i], base[i] + s, w))
-                    else:
-                        rows.append((key, ids[i], ks[i], base[i] + lo, t[lo : hi + LENGTH]))
-                if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
-    return found.select("doc_id", "_k", "lo", "chunk", "hot").mapInArrow(run, "key long, doc_id long, _k long, lo long, stretch binary")
+                own += a
+                keys, lo = h.view(np.int64), code >> 12
+                hi = lo + (code >> 6 & 63)
+                is_hot = np.zeros(len(h), bool)
+                for i in range(a, z):
+                    if hots[i]:
+                        mine = np.flatnonzero(own == i)
+                        is_hot[mine] = np.isin(keys[mine], hots[i])
+                # Those of plain anchors at once: they are slices of the chunks laid end to end.
+                plain = np.flatnonzero(~is_hot)
+                flat = pa.py_buffer(b"".join(texts[a:z]))
+                begin = np.cumsum([0, *map(len, texts[a:z])])[own[plain] - a] + lo[plain]
+                size = hi[plain] - lo[plain] + LENGTH
+                data = np.frombuffer(flat, np.uint8)
+                out = np.concatenate([[0], np.cumsum(size)])
+                for x in range(0, len(plain), 20_000):
+                    y = min(x + 20_000, len(plain))
+                    n = int(out[y] - out[x])
+                    at = np.repeat(begin[x:y] - (out[x:y] - out[x]), size[x:y]) + np.arange(n)
+                    column = pa.BinaryArray.from_buffers(pa.binary(), y - x, [None, pa.py_buffer((out[x : y + 1] - out[x]).astype(np.int32)), pa.py_buffer(data[at].tobytes())])
+                    i = plain[x:y]
+                    of = own[i]
+                    yield pa.record_batch(
+                        [pa.array(keys[i]), pa.array(np.array(ids, np.int64)[of]), pa.array(np.array(ks, np.int64)[of]), pa.array(np.array(base, np.int64)[of] + lo[i]), pa.array(size[x:y]), column], names
+                    )
+                for i in np.flatnonzero(is_hot).tolist():
+                    o = int(own[i])
+                    t, d, k = texts[o], ids[o], ks[o]
+                    for s in range(int(lo[i]), int(hi[i]) + 1):
+                        w, place = t[s : s + LENGTH], (k, base[o] + s)
+                        was = warm.get(w)
+                        if was is None or d < was[0]:
+                            if was is not None:
+                                settled += [(None, was[0], x, y, LENGTH, None) for x, y in was[1]]
+                            warm[w] = (d, [place])
+                        elif was[0] == d:
+                            was[1].append(place)
+                        else:
+                            settled.append((None, d, *place, LENGTH, None))
+                if len(warm) + len(settled) > 200_000:
+                    yield from flush(warm, settled)
+                    warm, settled = {}, []
+        yield from flush(warm, settled)
+
+    return found.select("doc_id", "_k", "lo", "chunk", "hot").mapInArrow(run, "key long, doc_id long, _k long, lo long, size long, stretch binary")
 
 
 # -- suffix arrays ---------------------------------------------------------------
@@ -394,19 +454,15 @@ def repeated(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return own, a - start[own], z - start[own]
 
 
-def spans(found: DataFrame, partitions: int) -> DataFrame:
-    """doc_id, _k, start, end: byte spans of stretches that repeat one of a smaller document."""
+def spans(open_: DataFrame, partitions: int) -> DataFrame:
+    """doc_id, _k, start, end: byte spans of stretches that repeat one of a smaller document.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list = []
-        for b in batches:
-            parts.append([b.column(b.schema.get_field_index(c)) for c in ("doc_id", "_k", "lo", "stretch")])
-        if not parts:
-            return
-        *numbers, texts = (pa.chunked_array(list(x)) for x in zip(*parts))
-        doc, k, lo = (x.to_numpy() for x in numbers)
+    A partition sorts its stretches by key and works on whole keys, SORTED bytes at a time.
+    """
+
+    def sort(doc: np.ndarray, k: np.ndarray, lo: np.ndarray, stretch: pa.Array) -> pa.RecordBatch:
         # Equal stretches are sorted once, as one of their least document.
-        once = texts.combine_chunks().dictionary_encode()
+        once = stretch.dictionary_encode()
         which, texts = once.indices.to_numpy(), once.dictionary.to_pylist()
         least = np.full(len(texts), np.iinfo(np.int64).max)
         np.minimum.at(least, which, doc)
@@ -421,49 +477,59 @@ def spans(found: DataFrame, partitions: int) -> DataFrame:
         rows = np.concatenate([whole, each])
         start = np.concatenate([lo[whole], lo[each] + a[run_]])
         stop = np.concatenate([lo[whole] + size[which[whole]], lo[each] + z[run_] + LENGTH])
-        yield pa.record_batch([pa.array(doc[rows]), pa.array(k[rows]), pa.array(start), pa.array(stop)], ["doc_id", "_k", "start", "end"])
-
-    return found.repartition(partitions, "key").mapInArrow(run, "doc_id long, _k long, start long, end long")
+        return pa.record_batch([pa.array(doc[rows]), pa.array(k[rows]), pa.array(start), pa.array(stop)], ["doc_id", "_k", "start", "end"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b.column(b.schema.get_field_index(c)) for c in ("key", "doc_id", "_k", "lo", "size", "stretch")] for b in batches]
+        if not parts:
+            return
+        *numbers, texts = (pa.chunked_array(list(x)) for x in zip(*parts))
+        del parts
+        key, doc, k, lo, size = (x.to_numpy() for x in numbers)
+        order = np.argsort(key, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(key[order])) + 1, len(order))
+        total = np.concatenate([[0], np.cumsum(size[order])])[ends]
+        a = done = 0
+        while a < len(order):
+            z = int(ends[max(np.searchsorted(total, done + SORTED, "right") - 1, np.searchsorted(ends, a, "right"))])
+            i = order[a:z]
+            yield sort(doc[i], k[i], lo[i], texts.take(pa.array(i)).combine_chunks())
+            a, done = z, int(total[np.searchsorted(ends, z)])
 
-# -- the operator ------------------------------------------------------------------
+    return open_.repartition(partitions, "key").mapInArrow(run, "doc_id long, _k long, start long, end long")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Adds _k, which tells rows of one doc_id apart (0 where it is unique)."""
-    again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
-    if again.isEmpty():
-        return docs.withColumn("_k", F.lit(0).cast("long"))
-    marked = docs.join(again, F.col("doc_id") == F.col("_again"), "left")
-    alone = marked.where("_again is null").drop("_again").withColumn("_k", F.lit(0).cast("long"))
-    order = Window.partitionBy("doc_id").orderBy("text")
-    rest = marked.where("_again is not null").drop("_again").withColumn("_k", (F.row_number().over(order) - 1).cast("long"))
-    return alone.unionAll(rest)
+# -- the operator ------------------------------------------------------------------
 
 
 def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, _k, gone array<struct<start, end>>: byte spans of the rows that lose any. docs: doc_id, _k, text."""
     workers_find_us(docs.sparkSession)
-    shared = scratch.put(shared_anchors(packed_anchors(docs)), "shared")
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max(10, (n_bytes // BUCKET).bit_length()), 24)
+    shared = scratch.put(shared_anchors(packed_anchors(docs, bits)), "shared")
     hot = scratch.put(shared.where("doc_id is null").select("h").distinct(), "hot").withColumn("hot", F.lit(True))
     own = shared.where("doc_id is not null").join(hot, "h", "left")
-    own = own.select("doc_id", F.expr("shiftright(code, 12) & 65535").alias("_k"), F.struct("code", (F.col("h").bitwiseAND(CUT - 1) == 0).alias("cut"), F.when(F.col("hot"), F.col("h")).alias("hot")).alias("x"))
+    own = own.select("doc_id", "_k", F.struct("code", (F.col("h").bitwiseAND(CUT - 1) == 0).alias("cut"), F.when(F.col("hot"), F.col("h")).alias("hot")).alias("x"))
     found = own.groupBy("doc_id", "_k").agg(F.collect_list("x").alias("found"))
     pieces = scratch.put(chunks(docs.join(found, ["doc_id", "_k"])), "chunks")
     scratch.drop(shared)
     # Of equal chunks, only those of the least document need comparing with others.
     open_ = pieces.where("digest is not null")
-    least = open_.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    least = scratch.put(open_.groupBy("digest").agg(F.min("doc_id").alias("least")), "least")
     firsts = scratch.put(open_.join(least, "digest").where("doc_id = least").drop("digest", "least"), "firsts")
     whole = open_.select("digest", "doc_id", "_k", "lo", "size").join(least, "digest").where("doc_id > least").select("doc_id", "_k", "lo", "size")
     whole = scratch.put(whole.unionAll(pieces.where("digest is null").select("doc_id", "_k", "lo", "size")), "whole")
-    scratch.drop(pieces)
-    windows = firsts.agg(F.sum("size")).first()[0] or 0
-    gone = spans(stretches(firsts), max(1, -(-4 * windows // SORTED)))
-    gone = gone.unionAll(whole.select("doc_id", "_k", F.col("lo").alias("start"), (F.col("lo") + F.col("size")).alias("end")))
+    scratch.drop(pieces, least)
+    cut = scratch.put(stretches(firsts), "stretches")
+    scratch.drop(firsts)
+    size = cut.where("key is not null").agg(F.sum("size")).first()[0] or 0
+    gone = spans(cut.where("key is not null"), max(1, -(-size // PARTITION)))
+    settled = whole.unionAll(cut.where("key is null").select("doc_id", "_k", "lo", "size"))
+    gone = gone.unionAll(settled.select("doc_id", "_k", F.col("lo").alias("start"), (F.col("lo") + F.col("size")).alias("end")))
     gone = gone.groupBy("doc_id", "_k").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
     gone = scratch.put(gone, "gone")
-    scratch.drop(firsts, whole)
+    scratch.drop(cut, whole)
     return gone
 
 
@@ -488,7 +554,7 @@ def _rest(t: bytes, cut: list[list[int]]) -> bytes:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept binary, removed array<struct<start, end>>: a row for each row of docs."""
     scratch = Scratch(docs.sparkSession)
-    docs = _numbered(docs.select("doc_id", "text"))
+    docs = numbered(docs).select("doc_id", "_k", "text")
     gone = removals(docs, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,20 +575,18 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """docs with the repeated bytes cut from text; bytes that no longer form a character go, n_chars follows."""
+    """docs with the repeated bytes cut from text; bytes that no longer form a character go, n_chars follows in its own type, other columns stay as they are."""
     scratch = Scratch(docs.sparkSession)
-    numbered = _numbered(docs)
-    gone = removals(numbered.select("doc_id", "_k", "text"), scratch)
-    schema = docs.schema
-    names = [f.name for f in schema]
+    own = numbered(docs)
+    gone = removals(own.select("doc_id", "_k", "text"), scratch)
+    marked = own.join(gone, ["doc_id", "_k"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
-            old, lost = ints(b, "text"), ints(b, "gone")
-            text = [t if not g else _rest(t.encode(), _united(g)).decode(errors="ignore") for t, g in zip(old, lost)]
-            new = {"text": pa.array(text, pa.string())}
-            if "n_chars" in names:
-                new["n_chars"] = pa.array([n if not g else len(t) for n, g, t in zip(ints(b, "n_chars"), lost, text)], pa.int64())
-            yield pa.record_batch([new.get(c, b.column(b.schema.get_field_index(c))) for c in names], names)
-
-    return numbered.join(gone, ["doc_id", "_k"], "left").select(*names, "gone").mapInArrow(run, schema)
+            text = [_rest(t.encode(), _united(g)).decode(errors="ignore") for t, g in zip(ints(b, "text"), ints(b, "gone"))]
+            yield pa.record_batch([b.column(b.schema.get_field_index("_row")), pa.array(text, pa.string())], ["_row", "new"])
+
+    cut = marked.where("gone is not null").select("_row", "text", "gone")
+    cut = cut.mapInArrow(run, cut.select("_row", F.col("text").alias("new")).schema)
+    cut = cut.select(with_fields(F.col("_row"), docs.schema, text=F.col("new"), n_chars=F.length("new")).alias("_row"))
+    return marked.where("gone is null").select("_row").unionAll(cut).select("_row.*")
