@@ -15,9 +15,10 @@ document, then those that still lie in different components.
 What these edges leave apart is settled exactly. A bucket that still holds several
 components, cut by a task border or not, gives its pair if it has two members; the
 members of larger ones are joined by prefix: with shingles ordered by the number of
-components that hold them, two similar sets share one among the first of each, and
-what its places leave must suffice for the threshold. Shingles of one component only
-and pairs inside a component are never joined.
+members that hold them, two similar sets share one among the first of each, and
+what its places leave must suffice for the threshold. The members of a shingle meet
+CENTRES drawn centres first, whose links merge components, and then whoever is still
+in another component; pairs inside a component are never joined.
 
 A pair at similarity s shares no bucket with probability (1 - s^ROWS)^BANDS: 2.5e-7
 at 0.75, below 1e-10 at 0.8.
@@ -43,6 +44,7 @@ SHINGLE = 5
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 THRESHOLD = 75  # percent
+CENTRES = 3
 _SALT = mix(np.arange(1, 65, dtype=U64) * U64(0xC2B2AE3D27D4EB4F)) | U64(1)
 _BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 _ORDER = np.stack([np.random.default_rng([11, i]).permutation(BINS) for i in range(BINS)])
@@ -74,7 +76,7 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
             if m >= SHINGLE:
                 yield np.unique(shingles[first : last - SHINGLE + 1])
             elif m:
-                yield mix(np.array([(words[first:last] * _SALT[:m]).sum(dtype=U64) + _SALT[32 + m]], U64))
+                yield mix((words[first:last] * _SALT[:m]).sum(dtype=U64, keepdims=True) + _SALT[32 + m : 33 + m])
             else:
                 yield np.zeros(0, U64)
             first = last
@@ -209,9 +211,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     rest = _apart(pairs.join(best, ["a", "b"], "left_anti"), labels)
     more = scratch.put(confirm(rest, sets, threshold), "more")
     labels = _merge(labels, more, scratch)
-    open_ = scratch.put(confirm(missed_pairs(members, sets, labels, threshold, scratch).join(pairs, ["a", "b"], "left_anti"), sets, threshold), "missed")
+    final = settle(members, sets, labels, threshold, scratch).toDF("rep", "component")
     scratch.drop(sets, pairs, rows)
-    final = _merge(labels, open_, scratch).toDF("rep", "component")
     every = sig.select("doc_id", *same).join(classes, same, "left").join(final, "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return every.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
@@ -219,32 +220,65 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
 
 
-def missed_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
-    """a < b: the pairs of different components that share a bucket and can be similar, and maybe others that can."""
+def _unsettled(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of the buckets of two, and s, doc_id, v, n, at of the first shingles of the members of other buckets that hold several components."""
     own = labels.toDF("doc_id", "label")
     named = members.join(own, "doc_id", "left").select("key", F.coalesce("label", "doc_id").alias("label"), F.struct("doc_id", "n").alias("m"))
     buckets = named.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("m").alias("x"), F.max("m").alias("y"))
     mixed = scratch.put(buckets.where("lo <> hi").select("key", "size", "x", "y"), "mixed")
-    fits = lambda a, b: (100 * a >= threshold * b) & (100 * b >= threshold * a)
-    twos = mixed.where("size = 2").where(fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    twos = mixed.where("size = 2").where(_fits(F.col("x.n"), F.col("y.n"), threshold)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     todo = members.join(mixed.where("size > 2").select("key"), "key", "left_semi").select("doc_id").distinct()
-    todo = scratch.put(todo.join(own, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")), "unsettled")
+    todo = scratch.put(todo, "unsettled")
     # A doc_id may have several sets.
-    each = sets.join(todo, "doc_id").select("doc_id", "label", F.xxhash64("set").alias("v"), F.size("set").cast("long").alias("n"), F.explode("set").alias("s"))
-    held = each.select("s", "label").distinct().groupBy("s").agg(F.count("*").alias("c"))
-    ranked = each.join(held, "s").groupBy("doc_id", "label", "v", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("order"))
+    each = sets.join(todo, "doc_id").select("doc_id", F.xxhash64("set").alias("v"), F.size("set").cast("long").alias("n"), F.explode("set").alias("s"))
+    held = each.groupBy("s").agg(F.count("*").alias("c"))
+    ranked = each.join(held, "s").groupBy("doc_id", "v", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("order"))
     # A set of n shares at least threshold % of them with a similar one, and 2t / (1 + t) of them with one that is no smaller.
     long = F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1).cast("int"))
-    firsts = ranked.select("doc_id", "label", "n", F.posexplode(long).alias("at", "e"))
-    firsts = firsts.where("e.c > 1").select(F.col("e.s").alias("s"), "label", "doc_id", "n", "at").distinct()
-    firsts = scratch.put(firsts, "firsts")
-    short = firsts.where((100 + threshold) * (F.col("n") - F.col("at")) >= 2 * threshold * F.col("n"))
-    # Components meet first, so that the members of one never meet each other.
-    meet = short.select("s", F.col("label").alias("la")).distinct().join(firsts.select("s", F.col("label").alias("lb")).distinct(), "s").where("la <> lb")
-    both = meet.join(short.toDF("s", "la", "a", "na", "pa"), ["s", "la"]).join(firsts.toDF("s", "lb", "b", "nb", "pb"), ["s", "lb"])
-    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    both = both.where("na <= nb").where(fits(F.col("na"), F.col("nb"))).where((100 + threshold) * left >= threshold * (F.col("na") + F.col("nb")))
-    return twos.unionAll(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    firsts = ranked.select("doc_id", "v", "n", F.posexplode(long).alias("at", "e"))
+    firsts = firsts.where("e.c > 1").select(F.col("e.s").alias("s"), "doc_id", "n", "at").distinct()
+    return twos, scratch.put(firsts, "firsts")
+
+
+def _fits(a, b, threshold: int):
+    return (100 * a >= threshold * b) & (100 * b >= threshold * a)
+
+
+def _may_match(threshold: int):
+    """Whether members a and b (na, pa and nb, pb: size, place of the shared shingle) of different components la, lb can be similar."""
+    c = F.col
+    left = F.least(c("na") - c("pa"), c("nb") - c("pb"))
+    short = F.when(c("na") <= c("nb"), (100 + threshold) * (c("na") - c("pa")) >= 2 * threshold * c("na")).otherwise((100 + threshold) * (c("nb") - c("pb")) >= 2 * threshold * c("nb"))
+    return (c("la") != c("lb")) & _fits(c("na"), c("nb"), threshold) & short & ((100 + threshold) * left >= threshold * (c("na") + c("nb")))
+
+
+def settle(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """node, component after every link that star and neighbour edges left apart.
+
+    The members of a shingle first meet a few centres of it, drawn anew each round, and
+    what links merges: a large family grows together in linear steps. Only members of
+    components that are still different then meet each other.
+    """
+    twos, firsts = _unsettled(members, sets, labels, threshold, scratch)
+    labels = _merge(labels, scratch.put(confirm(twos, sets, threshold), "twos"), scratch)
+    label = lambda t, d, to: t.join(labels.toDF(d, to), d, "left").withColumn(to, F.coalesce(to, d))
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    for turn in range(CENTRES):
+        own = scratch.put(label(firsts, "doc_id", "label"), "labelled")
+        # A component sends its member of least hash to each shingle, so that a component costs a shingle one row.
+        one = own.groupBy("s", "label").agg(F.min_by(F.struct("doc_id", "n", "at"), F.xxhash64(F.lit(turn), "doc_id")).alias("m"))
+        centre = one.groupBy("s").agg(F.min_by(F.struct("label", "m"), F.xxhash64(F.lit(turn), "label")).alias("c"), F.count("*").alias("k")).where("k > 1").select("s", "c")
+        met = own.toDF("s", "a", "na", "pa", "la").join(scratch.put(centre, "centre").select("s", F.col("c.label").alias("lb"), F.col("c.m.doc_id").alias("b"), F.col("c.m.n").alias("nb"), F.col("c.m.at").alias("pb")), "s")
+        todo = scratch.put(met.where(_may_match(threshold)).select(*pair).distinct(), "met")
+        labels = _merge(labels, scratch.put(confirm(todo, sets, threshold), "confirmed"), scratch)
+    own = scratch.put(label(firsts, "doc_id", "label"), "labelled")
+    several = own.groupBy("s").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("s")
+    own = scratch.put(own.join(several, "s", "left_semi"), "several")
+    # One of both is at a place that suffices for the smaller set.
+    near = own.where((100 + threshold) * (F.col("n") - F.col("at")) >= 2 * threshold * F.col("n"))
+    both = near.toDF("s", "a", "na", "pa", "la").join(own.toDF("s", "b", "nb", "pb", "lb"), "s").where("na < nb or (na = nb and a < b)").where(_may_match(threshold))
+    todo = scratch.put(both.select(*pair).distinct(), "rest")
+    return _merge(labels, scratch.put(confirm(todo, sets, threshold), "missed"), scratch)
 
 
 def _merge(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -265,6 +299,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """docs with one document of each component, columns as they were."""
-    gone = near_duplicates(docs, threshold).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one document of each component; all columns, whatever their names, as they were. Rows that repeat a kept doc_id stay."""
+    gone = near_duplicates(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("_d")).distinct()
+    own = docs.select(F.col("doc_id").alias("_i"), F.struct("*").alias("_row"))
+    return own.join(gone, F.col("_i") == F.col("_d"), "left_anti").select("_row.*")
