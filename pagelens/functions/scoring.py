@@ -65,8 +65,8 @@ def page_problems(r: Rules, *measures: Column) -> Column:
 
 def duplicate_headings(headings: Column) -> Column:
     """Sorted distinct headings that occur more than once, trimmed and lower-cased."""
-    named = F.filter(F.transform(headings, lambda h: F.lower(F.trim(h))), lambda h: h != "")
-    return F.array_sort(F.filter(F.array_distinct(named), lambda h: F.size(F.filter(named, lambda x: x == h)) > 1))
+    named = F.array_sort(F.filter(F.transform(headings, lambda h: F.lower(F.trim(h))), lambda h: h != ""))
+    return F.array_distinct(F.filter(named, lambda h, i: F.get(named, i - 1) == h))
 
 
 def heading_score(h1: Column, h2: Column, h3: Column, keyword: Column) -> Column:

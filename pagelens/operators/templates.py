@@ -263,6 +263,22 @@ def insert_point(html: str) -> int:
     return len(html)
 
 
+def insert_points(templates: DataFrame) -> DataFrame:
+    """template_id, at: where a template takes more mark-up; null for one nested too deep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = []
+            for r in b.to_pylist():
+                try:
+                    at.append(insert_point(r["html"] or ""))
+                except TooDeep:
+                    at.append(None)
+            yield pa.record_batch([b.column(0), pa.array(at, pa.int64())], ["template_id", "at"])
+
+    return templates.select(F.col("template_id").cast("long").alias("template_id"), "html").mapInArrow(run, "template_id long, at long")
+
+
 # -- verification -------------------------------------------------------------------
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions.regions import regions
-from ..operators import content
+from ..operators import amp, content, templates, validate
+from ..operators import blueprint as B
 from ..operators.html_pages import parse_pages
 from ..sources import readers
 from ..sources.shared import shared_folder
-from .pages import _H1, _M, _TITLE, _WC
+from .pages import _H1, _M, _PLAIN, _TITLE, _WC, _sql_text
 from .registry import query
 
 
@@ -101,3 +102,51 @@ def rules_scan(load):
 def legacy_reports(load):
     """The older report of every page: words by white space alone, the older rules (H-22, P-37, S-28, S-29)."""
     return readers.legacy_reports(parse_pages(load("pages"))).select("page_id", "http_status", "title", "h1", "word_count", "seo_score")
+
+
+@query("""with h as (select s_suppkey, 'h' || s_suppkey % 7 || '.c' as domain, 'https://H' || s_suppkey % 7 || '.c/' || s_suppkey as url, row_number() over (partition by s_suppkey % 7 order by s_suppkey) as n from supplier)
+select row_number() over (order by s_suppkey)::bigint as position, url, domain from h where n = 1""")
+def manual_results(load):
+    """A result list from a file: the region's own list is empty, so the keyword's counts; one result for each domain (S-6, J-14, W-1)."""
+    k = F.col("s_suppkey")
+    s = load("supplier").select("s_suppkey", F.concat(F.lit("https://H"), (k % 7).cast("string"), F.lit(".c/"), k.cast("string")).alias("url"))
+    at = f"{shared_folder(s.sparkSession)}/manual"
+    urls = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "url"))), lambda x: x["url"])
+    s.agg(F.to_json(F.create_map(F.lit("id:kw"), F.array().cast("array<string>"), F.lit("kw"), urls)).alias("value")).write.mode("overwrite").text(at)  # one file by its nature
+    return readers.read_manual_results(s.sparkSession, at, "kw", "id").select(F.col("position").cast("long").alias("position"), "url", "domain")
+
+
+@query("select page_id, 'a{b:' || page_id || '}' || chr(10) || 'c{}' as css from pages")
+def amp_styles(load):
+    """The custom style of AMP pages (H-21)."""
+    style = F.concat(F.lit("<STYLE  amp-custom x>a{b:"), F.col("page_id").cast("string"), F.lit("}\nc{}</style></head>"))
+    return load("pages").select("page_id", amp.custom_css(F.replace("html", F.lit("</head>"), style)).alias("css"))
+
+
+_BODY = _sql_text(_PLAIN)
+
+
+@query(f"""with m as (select page_id, lower({_TITLE}) as t, lower({_H1}) as h, len(regexp_extract_all(html, '(?i)<h1[ >]')) as n1, {_WC} as wc, lower({_BODY}) as body from pages),
+d as (select *, round(((length(body) - length(replace(body, 'the', ''))) // 3) / greatest(wc, 1)::double * 100, 2) as density from m),
+c as (select page_id, density, contains(t, 'the')::int + (n1 = 1)::int + contains(h, 'the')::int + (wc >= 400)::int + (density between 0.5 and 3)::int as passed, (length(t) not between 30 and 62)::int + 1 as lengths from d)
+select page_id, density as keyword_density, passed::bigint as passed, (11 - passed + lengths)::bigint as problems, round_even(passed * 100.0 / (11 + lengths), 0)::bigint as score from c""")
+def validated_pages(load):
+    """Every page against targets: what it passes, its problems and its score (P-18)."""
+    p = parse_pages(load("pages")).join(load("pages").select("page_id", "html"), "page_id")
+    v = validate.validate_page(F.col("page"), F.col("html"), F.lit("the"), F.lit(500), F.lit(300), F.lit(3))
+    return p.select("page_id", v.alias("v")).select("page_id", "v.keyword_density", F.size("v.passed").cast("long").alias("passed"), F.size("v.problems").cast("long").alias("problems"), "v.score")
+
+
+@query("select page_id as template_id, (strpos(html, '</head>') - 1)::bigint as at from pages")
+def insert_points(load):
+    """Where a template takes more mark-up (V-5)."""
+    return templates.insert_points(load("pages").select(F.col("page_id").alias("template_id"), "html"))
+
+
+@query("""with t as (select lang, median(n_chars // 6) as every, median(n_chars // 6) filter (where doc_id % 10 < 5) as top, median(doc_id % 12) as h2 from documents group by lang)
+select lang, greatest(top, every, 900)::int as words, least(greatest(floor(h2)::int, 5), 9)::int as sections from t""")
+def prompt_numbers(load):
+    """The numbers that a writer is given: words and sections to aim at (X-3)."""
+    i, n = F.col("doc_id"), F.floor(F.col("n_chars") / 6)
+    t = load("documents").groupBy("lang").agg(F.median(n).alias("every"), F.median(F.when(i % 10 < 5, n)).alias("top"), F.median(i % 12).alias("h2"))
+    return t.select("lang", F.floor(B.word_target(F.col("top"), F.col("every"))).cast("int").alias("words"), B.section_target(F.col("h2")).alias("sections"))

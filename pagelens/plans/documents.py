@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import blueprint, joins, ranking
-from .registry import query
+from .registry import ORACLE, query
 
 def kw():
     return F.lit("the")
@@ -157,15 +157,16 @@ def density_band(load):
 
 
 _HEADS = r"""with h as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) as ls from documents),
-g as (select doc_id, ls[1:1] as h1, ls[2:4] as h2, ls[5:8] as h3 from h),
+g as (select doc_id, ls[1:1] as h1, ls[2:4] as h2, ls[5:] as h3 from h),
 a as (select doc_id, h1, h2, h3, list_filter(list_transform(list_concat(h1, h2, h3), lambda x: lower(x)), lambda x: x <> '') as named,
              len(list_filter(list_concat(h1, h2, h3), lambda x: x = '')) as n_empty from g),
 u as (select *, list_sort(list_filter(list_distinct(named), lambda x: len(list_filter(named, lambda y: y = x)) > 1)) as dups from a)"""
 
 
 def _headings(load):
+    """All lines of a document as headings: the first is its h1, the next three are h2, the others h3."""
     ls = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
-    return load("documents").select("doc_id", F.slice(ls, 1, 1).alias("h1"), F.slice(ls, 2, 3).alias("h2"), F.slice(ls, 5, 4).alias("h3"))
+    return load("documents").select("doc_id", F.slice(ls, 1, 1).alias("h1"), F.slice(ls, 2, 3).alias("h2"), F.slice(ls, F.lit(5), F.size(ls)).alias("h3"))
 
 
 @query(f"""{_HEADS} select doc_id, greatest(0, 100 - case when len(h1) = 0 then 25 when len(h1) > 1 then 15 else 0 end
@@ -183,23 +184,16 @@ def duplicate_headings(load):
     return d.select("doc_id", F.array_join("d", "|").alias("duplicates"))
 
 
-def _all_headings(load):
-    """As _headings, and every line after the eighth is an h3 too."""
-    ls = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
-    return load("documents").select("doc_id", F.slice(ls, 1, 1).alias("h1"), F.slice(ls, 2, 3).alias("h2"), F.slice(ls, F.lit(5), F.size(ls)).alias("h3"))
-
-
-@query()
+@query(ORACLE["heading_score"])
 def heading_score_all(load):
-    """heading_score over all lines of a document."""
-    return _all_headings(load).select("doc_id", S.heading_score(F.col("h1"), F.col("h2"), F.col("h3"), kw()).alias("score"))
+    """The same under its older name."""
+    return heading_score(load)
 
 
-@query()
+@query(ORACLE["duplicate_headings"])
 def duplicate_headings_all(load):
-    """duplicate_headings over all lines of a document."""
-    d = _all_headings(load).select("doc_id", S.duplicate_headings(F.concat("h1", "h2", "h3")).alias("d")).where(F.size("d") > 0)
-    return d.select("doc_id", F.array_join("d", "|").alias("duplicates"))
+    """The same under its older name."""
+    return duplicate_headings(load)
 
 
 @query(r"""with l as (select unnest(string_split(text, chr(10))) as line from documents),
@@ -341,21 +335,20 @@ def anchor_id(load):
     return load("documents").select("doc_id", T.anchor_id(first_line()).alias("anchor"))
 
 
-@query(f"""with l as (select doc_id, unnest(string_split(text, chr(10))[1:12]) as line, generate_subscripts(string_split(text, chr(10))[1:12], 1) as pos from documents),
+@query(f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
 a as (select doc_id, pos, {_ANCHOR} as base from l), n as (select *, row_number() over (partition by doc_id, base order by pos) as k from a)
 select doc_id, pos::bigint as pos, case when k = 1 then base else base || '-' || k end as anchor from n""")
 def unique_anchor_ids(load):
-    lines = load("documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 12)).alias("p", "line"))
+    """Anchors of all lines of a document, repeated ones numbered."""
+    lines = load("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     lines = lines.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), T.anchor_id(F.col("line")).alias("base"))
     return ranking.unique_ids(lines, ["doc_id"], "base", "pos").select("doc_id", "pos", F.col("unique_id").alias("anchor"))
 
 
-@query()
+@query(ORACLE["unique_anchor_ids"])
 def unique_anchor_ids_all(load):
-    """unique_anchor_ids over all lines of a document."""
-    lines = load("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    lines = lines.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), T.anchor_id(F.col("line")).alias("base"))
-    return ranking.unique_ids(lines, ["doc_id"], "base", "pos").select("doc_id", "pos", F.col("unique_id").alias("anchor"))
+    """The same under its older name."""
+    return unique_anchor_ids(load)
 
 
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
