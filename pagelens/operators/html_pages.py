@@ -22,6 +22,8 @@ from ..functions.scoring import FAQ_WORDS, STEP_WORDS
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer"}
 RAW = {"script", "style", "template"}
 HIDDEN = {"script", "style", "noscript", "svg", "template"}
+# Fixed value: attributes of the html element that mark an AMP page.
+AMP_MARKS = {"amp", "⚡"}
 # Fixed value: question words of a FAQ heading.
 QUESTION = re.compile(r"\b(apa|apakah|bagaimana|kenapa|mengapa|kapan|dimana|di mana|berapa|siapa|cara|bisakah|amankah)\b", re.I)
 
@@ -253,7 +255,7 @@ def signals(t: Tree, html: str) -> dict:
     root = next((t.attrs[i] for i in t.find("html")), {})
     return {
         "schema_types": types, **faq(t, types),
-        "is_amp": bool({"amp", "⚡"} & set(root)) or bool(re.search(r"<html[^>]*\s(amp|⚡)[\s>]", html[:2000], re.I)),
+        "is_amp": bool(AMP_MARKS & set(root)),
         "has_amp_version": amp_link is not None, "amp_url": (amp_link or {}).get("href", ""),
         "table_count": sum(1 for _ in t.find("table")), "list_count": len(lists),
         "list_item_count": sum(t.parent[i] in lists for i in t.find("li")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import count_substring, count_words, is_unspaced, thai_share, validated_density
+from ..functions.text import count_substring, count_words, thai_share, validated_density
 
 
 def validate_page(page: Column, html: Column, keyword: Column, words_top: Column, words_all: Column, h2_target: Column) -> Column:
@@ -55,7 +55,3 @@ def action_plan(items: Column) -> Column:
     """array<struct<priority, title>>: sorted by priority, missing ones by place; stable."""
     placed = F.transform(items, lambda x, i: F.struct(F.coalesce(x["priority"], i + 1).alias("priority"), i.alias("pos"), x["title"].alias("title")))
     return F.transform(F.array_sort(F.filter(placed, lambda x: x["title"].isNotNull())), lambda x: F.struct(x["priority"], x["title"]))
-
-
-def unspaced(text: Column) -> Column:
-    return is_unspaced(text)

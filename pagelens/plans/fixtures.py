@@ -71,3 +71,16 @@ def root_probes(load):
     k = F.col("s_suppkey")
     one = lambda scheme, ok, w, h: load("supplier").select(k.alias("root"), F.lit(scheme).alias("scheme"), F.when(ok, w).cast("long").alias("words"), F.when(ok, h).cast("long").alias("hits"))
     return pipeline.root_probe(one("https", k % 3 == 0, 500, 5).unionAll(one("http", k % 3 <= 1, 100, 1)))
+
+
+@query("""select page_id, (case page_id % 3 when 0 then 35 when 1 then 80 else 65 end)::bigint as confidence, page_id % 3 <> 0 as hijacked from pages""")
+def hijacked_pages(load):
+    """Every page under a subdomain that names the keyword: hijacked where the root says nothing of it, or couldn't be asked (P-11, P-12, S-3)."""
+    pages = load("pages")
+    i = F.col("page_id")
+    root = F.concat(F.lit("d"), i.cast("string"), F.lit(".go.id"))
+    own = pages.select("page_id", F.concat(F.lit("https://slot."), root, F.lit("/")).alias("url"), F.lit("bot").alias("agent"), "html")
+    results = own.select(F.lit("slot").alias("keyword"), F.lit(1).alias("position"), "url")
+    asked = pages.where(i % 3 != 2).select(root.alias("root"), F.lit("http").alias("scheme"), F.lit(500).cast("long").alias("words"), F.when(i % 3 == 0, 5).otherwise(0).cast("long").alias("hits"))
+    f = pipeline.page_facts(results, own, roots=pipeline.root_probe(asked))
+    return f.select(F.regexp_extract("url", "d([0-9]+)", 1).cast("long").alias("page_id"), F.col("hijack.score").alias("confidence"), F.col("hijack.hijacked").alias("hijacked"))

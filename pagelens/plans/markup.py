@@ -195,12 +195,13 @@ def intent_rows(load):
 f as (select *, row_number() over (partition by k, domain order by page_id) as n from r), p as (select *, row_number() over (partition by k order by page_id) as position from f where n = 1)
 select 'kw ' || k as keyword, position::bigint as position, url, domain, 't' || page_id as title, '2' as asked from p where position <= 10""")
 def provider_results(load):
-    """Stored replies of a result provider: results, one for each domain, and questions (S-4, S-5, S-7)."""
+    """Stored replies of two result providers, by turns: results, one for each domain, and questions (S-4, S-5, S-7)."""
     p = load("pages").select(F.concat(F.lit("kw "), F.floor(F.col("page_id") / 10).cast("string")).alias("keyword"), "page_id", F.struct(F.col("url").alias("link"), F.concat(F.lit("t"), F.col("page_id").cast("string")).alias("title")).alias("r"))
     hits = F.transform(F.array_sort(F.collect_list(F.struct("page_id", "r"))), lambda x: x["r"])
     asked = F.array(F.struct(F.lit("q1").alias("question")), F.struct(F.lit("q2").alias("question")))
-    replies = p.groupBy("keyword").agg(F.to_json(F.struct(hits.alias("organic"), asked.alias("peopleAlsoAsk"))).alias("reply"))
-    found = readers.run_provider("serper", replies, "reply")
+    replies = p.groupBy("keyword").agg(F.to_json(F.struct(hits.alias("organic"), asked.alias("peopleAlsoAsk"))).alias("reply"), F.to_json(F.struct(hits.alias("items"))).alias("other"), F.min("page_id").alias("first"))
+    even = F.floor(F.col("first") / 10) % 2 == 0
+    found = readers.run_provider("serper", replies.where(even).select("keyword", "reply"), "reply").unionByName(readers.run_provider("google_cse", replies.where(~even).select("keyword", "other"), "other"))
     questions = readers.read_questions(replies, "reply").select("keyword", F.size("people_also_ask").cast("string").alias("asked"))
     return found.join(questions, "keyword").select("keyword", F.col("position").cast("long").alias("position"), "url", "domain", "title", "asked")
 
