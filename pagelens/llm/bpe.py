@@ -14,7 +14,8 @@ Pre-tokens are split by the published pattern, evaluated on character classes
 
 Defined results: a null text is the empty text, which has no ids. Special tokens
 don't exist here; their strings are ordinary text. Rows are independent: repeated
-ids give repeated rows, and a null doc_id stays null.
+ids give repeated rows, and a null doc_id stays null. Texts of any length are encoded
+whole; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ so no control string can come from a text; a line feed in a role is written
 
 Defined results: null text and null role are empty; a null turn sorts first; rows
 with equal (turn, role, text) are all kept; rows of a null conv_id form one
-conversation; an empty table gives no rows. The loss mask holds a span for each
+conversation; extra columns are not read; an empty table gives no rows. A conversation
+is one row and so one task, and folding its turns copies an array for each of them:
+its time grows with the square of its turns (some thousands are no matter). The loss mask holds a span for each
 assistant text, so spans of merged turns don't touch the separator.
 """
 
