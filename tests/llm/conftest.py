@@ -41,3 +41,17 @@ def docs(spark, texts):
 @pytest.fixture(scope="session")
 def empty(spark, docs):
     return spark.createDataFrame([], docs.schema)
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import base64
+
+    import public_tokenizers as p
+    import tiktoken
+
+    from pagelens.llm.queries import VOCABULARY
+
+    path = p.path(VOCABULARY)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return path, tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -151,16 +151,6 @@ def test_components_take_few_rounds(spark):
 # -- 2 BPE -----------------------------------------------------------------------------
 
 
-@pytest.fixture(scope="module")
-def tokenizer():
-    import public_tokenizers as p
-    import tiktoken
-
-    path = p.path(VOCABULARY)
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    return path, tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def test_bpe(docs, empty, tokenizer):
     path, own = tokenizer
     want = Counter()
@@ -410,7 +400,9 @@ def test_minhash(docs, empty):
     want = Counter((d, len(s), None if d is None else at[d], True if d is None else at[d] == d) for d, s in rows)
     assert Counter(tuple(r) for r in got) == want
     assert minhash.near_duplicates(empty).count() == 0
-    assert minhash.kept_documents(docs).columns == docs.columns
+    kept = minhash.kept_documents(docs)
+    keep = {d for d, *_, ok in want if ok}
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in rows if d in keep)
 
 
 def test_densification():
@@ -697,7 +689,10 @@ def test_suffix_dedup(docs, empty):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in got) == brute_removed(rows)
     assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in got)
     assert suffix_dedup.dedup(empty).count() == 0
-    assert suffix_dedup.dedup_documents(docs).columns == docs.columns
+    out = suffix_dedup.dedup_documents(docs)
+    assert out.columns == docs.columns
+    cut = Counter((r.doc_id, bytes(r.kept).decode(errors="ignore")) for r in got)
+    assert Counter((r.doc_id, r.text or "") for r in out.collect()) == cut and all(r.n_chars == len(r.text or "") or r.n_chars == 5 for r in out.collect())
 
 
 def test_suffix_dedup_hot_and_pieces(spark, monkeypatch):
@@ -715,6 +710,130 @@ def test_suffix_dedup_hot_and_pieces(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in got) == brute_removed([(d, t.encode()) for d, t in rows])
 
 
+def test_clashing_names(spark):
+    """Columns named like the operators' own, other types of id and length, and names with dots survive each of them."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{rng.randint(0, 99999)}" for _ in range(40))
+    texts = [passage + f" end {i} " + " ".join(f"q{rng.randint(0, 99999)}" for _ in range(30)) for i in range(6)]
+    rows = [(i, t, "s", 7) for i, t in enumerate(texts)] + [(2, texts[2], "s", 7), (3, "other text here", None, 1), (None, texts[0], "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string, n_chars int")
+    names = "_w _v _k _d _i _h _row _again pieces gone place new row own rep keys set label n at s digest key size place.x Stretch _c".split()
+    odd = df.withColumns({n: F.lit(n) for n in names}).repartition(3)
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    stages = {
+        "quality": lambda d: quality_rules.kept_documents(d, labels), "minhash": minhash.kept_documents, "suffix": suffix_dedup.dedup_documents,
+        "mix": lambda d: mixing.mixed_documents(d, block_words=4, shard_slots=16),
+    }
+    for name, stage in stages.items():
+        out = stage(odd)
+        got = out.collect()
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in odd.schema], name
+        assert got and all(r[n] == n for r in got for n in names), name
+        assert len(got) in ({"quality": (8,), "minhash": (9, 8, 7), "suffix": (9,)}.get(name, range(5, 19))), (name, len(got))
+    for name, stage in {"line": line_dedup.dedup, "hmm": lambda d: hmm_lm.score(d, rounds=1), "near": minhash.near_duplicates, "judge": lambda d: quality_rules.judge(d, labels)}.items():
+        assert stage(odd).count() == 9, name
+
+
+def brute_rules(rows, cuts):
+    """Sequential covering over the rows themselves. rows: (features, good, prune); conditions in order of feature, threshold, above then below."""
+    conditions = [(k, up, t) for k, ts in cuts.items() for t in ts for up in (True, False)]
+    holds = lambda rule, f: all((f[k] >= t) == up for k, up, t in rule)
+    worth = lambda part: (sum(not g for _, g, _ in part) + 1) / (len(part) + 2)
+    rules = []
+    while rows and len(rules) < 8:
+        grow, prune = [r for r in rows if not r[2]], [r for r in rows if r[2]]
+        rule, part = [], grow
+        while len(rule) < 3 and len({r[1] for r in part}) == 2:
+            best = (0, None)
+            for c in conditions:
+                own = [r for r in part if holds([c], r[0])]
+                bad = sum(not r[1] for r in own)
+                gain = bad * (math.log2(worth(own)) - math.log2(worth(part)))
+                if bad >= 3 and gain > best[0] + 1e-12:
+                    best = (gain, c)
+            if best[1] is None:
+                break
+            rule.append(best[1])
+            part = [r for r in part if holds([best[1]], r[0])]
+        while len(rule) > 1 and worth([r for r in prune if holds(rule[:-1], r[0])]) >= worth([r for r in prune if holds(rule, r[0])]):
+            rule.pop()
+        own = [r for r in rows if holds(rule, r[0])]
+        if not rule or sum(not r[1] for r in own) < 3 or worth(own) < 0.9:
+            break
+        rules.append(rule)
+        rows = [r for r in rows if not holds(rule, r[0])]
+    return rules
+
+
+def test_quality_rules_against_brute_force(spark):
+    """The whole learned list, and the verdict of every document, from rows in plain Python."""
+    from test_pipeline import ratios
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    good = {}
+    for r in labels.where("quality in (0, 1)").collect():
+        good[r.doc_id] = min(good.get(r.doc_id, 1), r.quality)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    prune = {r.doc_id: r.p for r in docs.selectExpr("doc_id", "pmod(floor(xxhash64(doc_id) / 7), 3) = 0 as p").collect()}
+    stats = {d: ratios(t) for d, t in texts.items()}
+    rows = [(stats[d], bool(g), prune[d]) for d, g in sorted(good.items()) if d in texts and not features(texts[d])[5]]
+    cuts = {}
+    for k in quality_rules.FEATURES:
+        at = set()
+        for kind in (True, False):
+            own = sorted(f[k] for f, g, _ in rows if g == kind)
+            at |= {own[max(math.ceil((i + 1) / 17 * len(own)) - 1, 0)] for i in range(16)} if own else set()
+        cuts[k] = sorted(at)
+    want = brute_rules(rows, cuts)
+    got = quality_rules.judge(docs, labels).collect()
+    assert want and got[0].rules == "; ".join(" and ".join(f"{k} {'>=' if up else '<'} {t!r}" for k, up, t in rule) for rule in want)
+    for r in got:
+        base = features(texts[r.doc_id])[5]
+        assert r.base_failed == base and r.kept == (not base and not any(all((stats[r.doc_id][k] >= t) == up for k, up, t in rule) for rule in want))
+
+
+def test_warc_of_every_page(spark, sf):
+    """Links, digests and texts of all records, read back from their bytes, by another parser."""
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.skip = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out.append(data)
+
+    pages = {r.page_id: r for r in read(spark, sf, "pages").collect()}
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    by = defaultdict(dict)
+    for r in warc.derive(read(spark, sf, "pages")).collect():
+        ((head, block),) = warc.parse(warc.serialise(r.asDict()))
+        assert block == bytes(r.content) and head["WARC-Block-Digest"] == sha1(block) and head["Content-Length"] == str(len(block))
+        by[r.page_id][head["WARC-Type"]] = (head, block)
+    assert by.keys() == pages.keys()
+    for i, own in by.items():
+        html = pages[i].html.encode()
+        head, block = own["response"]
+        assert block.split(b"\r\n\r\n", 1)[1] == html and head["WARC-Payload-Digest"] == sha1(html) and head["WARC-Target-URI"] == pages[i].url
+        for kind in ("metadata", "conversion"):
+            h, b = own[kind]
+            assert h["WARC-Refers-To"] == head["WARC-Record-ID"] and h["WARC-Refers-To-Target-URI"] == pages[i].url and h["WARC-Refers-To-Payload-Digest"] == sha1(html)
+            assert h["WARC-Source-Header"] == block.split(b"\r\n\r\n", 1)[0].decode()
+        p = Text()
+        p.feed(html.decode())
+        p.close()
+        assert "".join(own["conversion"][1].decode().split()) == "".join("".join(p.out).split())
+
+
 # -- results of whole queries without a twin ------------------------------------------------------
 
 
