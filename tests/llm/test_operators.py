@@ -699,7 +699,8 @@ def test_suffix_dedup_hot_and_pieces(spark, monkeypatch):
     """Hot anchors by window, long texts in pieces, small blocks: the result is the same."""
     monkeypatch.setattr(suffix_dedup, "HOT", 3)
     monkeypatch.setattr(suffix_dedup, "_PART", 700)
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    for name in ("BLOCK", "COUNTED", "SORTED"):
+        monkeypatch.setattr(suffix_dedup, name, 3000)
     rng = random.Random(9)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     passage, period = word(130), "xyz" * 40
