@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import U64, in_blocks, ints, prefix_hash, span_hash, utf8, workers_find_us
+from .common import U64, in_blocks, ints, prefix_hash, span_hash, thrifty, utf8, workers_find_us
 
 # Fixed value: the pattern that the split below evaluates.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -387,7 +387,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
         for keys, texts, bpe in _blocks(batches, path):
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(bpe.encode(texts), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), "doc_id long, ids array<int>")
 
 
 def detokenize(tokens: DataFrame, path: str) -> DataFrame:
@@ -400,7 +400,7 @@ def detokenize(tokens: DataFrame, path: str) -> DataFrame:
             out = [None if x is None else bpe.decode(np.array(x, np.int64)) for x in ints(b, "ids")]
             yield pa.record_batch([pa.array(ints(b, "doc_id"), pa.int64()), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return tokens.select("doc_id", "ids").mapInArrow(thrifty(run), "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str = PATTERN, with_ids: bool = False) -> DataFrame:
@@ -424,4 +424,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str = PATTERN, with_ids: boo
             yield pa.record_batch(columns, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), schema)

@@ -9,6 +9,8 @@ works on raw UTF-8.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import os
 import re
@@ -180,6 +182,20 @@ def ints(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def thrifty(run):
+    """run, whose worker gives free memory back at the end of a task: an idle worker would keep it beside the next stage's."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def in_blocks(items: list, size, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring items whose sizes add up to the limit, or one larger item."""
     lo, total = 0, 0

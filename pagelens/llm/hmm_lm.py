@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_blocks, ints, utf8, workers_find_us
+from .common import Scratch, in_blocks, ints, thrifty, utf8, workers_find_us
 
 STATES = 4
 ROUNDS = 3
@@ -75,7 +75,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield flush()
 
     own = docs.where(~held_out(F.col("doc_id"))).select("text")
-    return own.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return own.mapInArrow(thrifty(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def nth_smallest(values: DataFrame, n: int) -> int | None:
@@ -295,7 +295,7 @@ def train(tokens: DataFrame, prior: np.ndarray, states: int, rounds: int) -> Hmm
                 at = np.flatnonzero(total)
                 yield pa.record_batch([pa.array(at), pa.array(total[at])], ["i", "x"])
 
-        rows = own.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()  # as many as the model has numbers
+        rows = own.mapInArrow(thrifty(run), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()  # as many as the model has numbers
         x = np.zeros(states + states**2 + states * len(prior))
         x[rows["i"].to_numpy()] = rows["x"].to_numpy()
         hmm = Hmm.from_counts(x[:states], x[states : states + states**2].reshape(states, states), x[states + states**2 :].reshape(states, -1), prior)
@@ -347,7 +347,7 @@ def classified(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pa.record_batch([*[b.column(b.schema.get_field_index(c)) for c in ("doc_id", "held_out")], *cols], names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(thrifty(run), schema)
 
 
 def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, vocabulary: int = VOCABULARY) -> DataFrame:
@@ -377,7 +377,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, vocabular
             yield pa.record_batch([*[b.column(b.schema.get_field_index(c)) for c in keep], pa.array(got)], [*keep, "hmm"])
 
     plain = tokens.select("row", "doc_id", "held_out", "n_tokens", "known", "own_log", "tail_norm", "classes")
-    scored = plain.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, own_log double, tail_norm double, hmm double")
+    scored = plain.mapInArrow(thrifty(run), "row long, doc_id long, held_out boolean, n_tokens long, known long, own_log double, tail_norm double, hmm double")
     out = scored.join(rare, "row", "left")
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     norm = math.log10(voc.total + 0.5 * (voc.distinct + 1))

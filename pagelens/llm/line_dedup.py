@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ints, numbered, workers_find_us
+from .common import Scratch, ints, numbered, thrifty, workers_find_us
 
 #: Words that a run of repeated units needs to be removed.
 RUN_WORDS = 20
@@ -74,7 +74,7 @@ def units(docs: DataFrame) -> DataFrame:
         if rows:
             yield flush()
 
-    return docs.select("doc_id", "_k", "text").mapInArrow(run, "digest binary, doc_id long, _k long, pos long")
+    return docs.select("doc_id", "_k", "text").mapInArrow(thrifty(run), "digest binary, doc_id long, _k long, pos long")
 
 
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -130,4 +130,4 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
             )
 
     joined = own.join(again, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_r")), "left").select("doc_id", "text", "again")
-    return joined.mapInArrow(run, "doc_id long, text string, kept_text string, n_units long, n_removed long, removed array<struct<start:bigint,end:bigint>>")
+    return joined.mapInArrow(thrifty(run), "doc_id long, text string, kept_text string, n_units long, n_removed long, removed array<struct<start:bigint,end:bigint>>")

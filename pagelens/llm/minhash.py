@@ -25,7 +25,9 @@ at 0.75, below 1e-10 at 0.8.
 
 Defined results: null or blank text has an empty set, which links with nothing;
 fewer than five words are one shingle; rows that repeat a doc_id are one node; a
-null doc_id links with nothing and has a null component.
+null doc_id links with nothing and has a null component; texts of any length are one
+set; equal sets are one class, tied by the smallest id; an empty table gives no rows;
+extra columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, in_blocks, ints, mix, prefix_hash, span_hash, utf8, workers_find_us
+from .common import U64, Scratch, in_blocks, ints, mix, prefix_hash, span_hash, thrifty, utf8, workers_find_us
 from .components import components
 
 SHINGLE = 5
@@ -116,7 +118,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             ]
             yield pa.record_batch(columns, ["doc_id", "n_shingles", "s1", "s2", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -129,7 +131,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 own = [s.view(np.int64) for s in shingle_sets(texts[lo : lo + 256])]
                 yield pa.record_batch([pa.array(keys[lo : lo + 256], pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set array<long>")
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), "doc_id long, set array<long>")
 
 
 def bucket_rows(reps: DataFrame, threshold: int) -> DataFrame:
@@ -182,7 +184,7 @@ def bucket_rows(reps: DataFrame, threshold: int) -> DataFrame:
                 ["a", "b", "key", "n"],
             )
 
-    return bands.mapInArrow(run, "a long, b long, key long, n long")
+    return bands.mapInArrow(thrifty(run), "a long, b long, key long, n long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ints, utf8, workers_find_us
+from .common import ints, thrifty, utf8, workers_find_us
 
 RECORD = (
     "page_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, "
@@ -91,7 +91,7 @@ def derive(pages: DataFrame, warc_date: str = "2024-01-01T00:00:00Z") -> DataFra
                 rows = [r for k, u, h in zip(keys[lo : lo + 256], urls[lo : lo + 256], raws[lo : lo + 256]) for r in _records(k, u or "", h, warc_date)]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, RECORD)
+    return pages.select("page_id", "url", "html").mapInArrow(thrifty(run), RECORD)
 
 
 def serialise(row: dict) -> bytes:
@@ -135,4 +135,4 @@ def write_files(records: DataFrame, path: str) -> None:
             members = [gzip.compress(serialise(r), mtime=0) for r in b.to_pylist()]
             yield pa.record_batch([b.column(b.schema.get_field_index("record_id")), pa.array(members, pa.binary())], ["record_id", "member"])
 
-    records.mapInArrow(run, "record_id string, member binary").write.parquet(path)
+    records.mapInArrow(thrifty(run), "record_id string, member binary").write.parquet(path)
