@@ -43,21 +43,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, in_blocks, ints, mix, numbered, prefix_hash, span_hash, utf8, with_fields, workers_find_us
+from .common import U64, Scratch, in_blocks, ints, mix, numbered, prefix_hash, span_hash, thrifty, utf8, with_fields, workers_find_us
 
 LENGTH = 50
 K = 20
 HOT = 8192
 _SPAN = LENGTH - K + 1  # K-grams of a window
 CUT = 8
-_PART = 1 << 20  # window starts that are hashed at a time
+_PART = 1 << 18  # window starts that are hashed at a time; a dozen arrays of eight bytes each hang on it
 _LOW = U64((1 << 22) - 1)
-#: Bytes of text whose anchors are counted before the shuffle, bytes for each bucket of anchors, bytes of
-#: stretches that are dealt to one partition, and those that it sorts at a time.
-BLOCK, BUCKET, PARTITION, SORTED = 16 << 20, 4 << 20, 24 << 20, 1 << 20
+#: Bytes of text whose anchors are counted together before the shuffle (a byte of text takes some ten of them
+#: while that goes on), and of chunks that are held; bytes for each bucket of anchors, bytes of stretches
+#: that are dealt to one partition, and those that it sorts at a time.
+COUNTED, BLOCK, BUCKET, PARTITION, SORTED = 4 << 20, 8 << 20, 4 << 20, 16 << 20, 1 << 19
 
 
 # -- anchors -------------------------------------------------------------------
@@ -161,8 +163,8 @@ def packed_anchors(docs: DataFrame, bits: int) -> DataFrame:
             i = order[a:z]
             out.append((int(bucket[a]), False, *(_planes(x[i]) for x in (open_h, open_doc, open_row, open_code))))
         h, doc, row, code = h[settled], doc[settled], row[settled], code[settled]
-        for k, a in enumerate(range(0, len(h), 2048)):
-            s = slice(a, a + 2048)
+        for k, a in enumerate(range(0, len(h), 512)):
+            s = slice(a, a + 512)
             b = int(mix(np.array([U64(doc[a]) + U64(k)], U64))[0] >> shift)
             out.append((b, True, *(_planes(x[s]) for x in (h, doc, row, code))))
         kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * 4]
@@ -170,11 +172,11 @@ def packed_anchors(docs: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, texts, total = [], [], 0
-        for b in batches:
+        for b in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
             for key, t in zip(zip(ints(b, "doc_id"), ints(b, "_k")), utf8(b, "text")):
                 if key[0] is None or len(t) < LENGTH:
                     continue
-                if texts and total + len(t) > BLOCK:
+                if texts and total + len(t) > COUNTED:
                     yield from rows(keys, texts)
                     keys, texts, total = [], [], 0
                 keys.append(key)
@@ -183,7 +185,7 @@ def packed_anchors(docs: DataFrame, bits: int) -> DataFrame:
         if texts:
             yield from rows(keys, texts)
 
-    return docs.select("doc_id", "_k", "text").mapInArrow(run, "bucket long, settled boolean, h binary, doc binary, k binary, code binary")
+    return docs.select("doc_id", "_k", "text").mapInArrow(thrifty(run), "bucket long, settled boolean, h binary, doc binary, k binary, code binary")
 
 
 def shared_anchors(packed: DataFrame) -> DataFrame:
@@ -223,7 +225,7 @@ def shared_anchors(packed: DataFrame) -> DataFrame:
         if held:
             yield from counted(held)
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "h long, doc_id long, _k long, code long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(thrifty(run), "h long, doc_id long, _k long, code long")
 
 
 # -- chunks and stretches --------------------------------------------------------
@@ -248,13 +250,14 @@ def chunks(docs: DataFrame) -> DataFrame:
         held: dict = {}
         settled: list = []
         n = 0
-        for b in batches:
+        for b in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
             col = b.column(b.schema.get_field_index("found"))
             flat = col.flatten()
             code, cut = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("code", "cut"))
             hot = np.asarray(flat.field("hot").is_valid())
             h = flat.field("hot").fill_null(0).to_numpy(zero_copy_only=False)
-            edges = col.offsets.to_numpy() - col.offsets[0].as_py()
+            edges = col.offsets.to_numpy()
+            edges = edges - edges[0]
             doc = np.repeat(np.arange(len(col)), np.diff(edges))
             order = np.lexsort((code, doc))
             code, cut, h, hot, doc = code[order], cut[order], h[order], hot[order], doc[order]
@@ -284,7 +287,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 held, settled, n = {}, [], 0
         yield from flush(held, settled)
 
-    return docs.mapInArrow(run, "digest binary, doc_id long, _k long, lo long, size long, chunk binary, hot array<long>")
+    return docs.mapInArrow(thrifty(run), "digest binary, doc_id long, _k long, lo long, size long, chunk binary, hot array<long>")
 
 
 def stretches(found: DataFrame) -> DataFrame:
@@ -311,7 +314,7 @@ def stretches(found: DataFrame) -> DataFrame:
         settled: list = []
         for b in (x.slice(i, 2000) for x in batches for i in range(0, x.num_rows, 2000)):
             ids, ks, base, texts, hots = (ints(b, c) for c in ("doc_id", "_k", "lo", "chunk", "hot"))
-            for a, z in in_blocks(texts, len, _PART // 2):
+            for a, z in in_blocks(texts, len, _PART):
                 h, own, code = _anchors_of(texts[a:z])
                 own += a
                 keys, lo = h.view(np.int64), code >> 12
@@ -357,7 +360,7 @@ def stretches(found: DataFrame) -> DataFrame:
                     warm, settled = {}, []
         yield from flush(warm, settled)
 
-    return found.select("doc_id", "_k", "lo", "chunk", "hot").mapInArrow(run, "key long, doc_id long, _k long, lo long, size long, stretch binary")
+    return found.select("doc_id", "_k", "lo", "chunk", "hot").mapInArrow(thrifty(run), "key long, doc_id long, _k long, lo long, size long, stretch binary")
 
 
 # -- suffix arrays ---------------------------------------------------------------
@@ -460,14 +463,20 @@ def spans(open_: DataFrame, partitions: int) -> DataFrame:
     A partition sorts its stretches by key and works on whole keys, SORTED bytes at a time.
     """
 
-    def sort(doc: np.ndarray, k: np.ndarray, lo: np.ndarray, stretch: pa.Array) -> pa.RecordBatch:
+    def sort(key: np.ndarray, doc: np.ndarray, k: np.ndarray, lo: np.ndarray, stretch: pa.Array) -> pa.RecordBatch:
         # Equal stretches are sorted once, as one of their least document.
         once = stretch.dictionary_encode()
         which, texts = once.indices.to_numpy(), once.dictionary.to_pylist()
         least = np.full(len(texts), np.iinfo(np.int64).max)
         np.minimum.at(least, which, doc)
         size = np.array([len(t) for t in texts], np.int64)
-        i, a, z = repeated(texts, least)
+        # A key with one stretch alone has nothing to compare it with.
+        of = np.empty(len(texts), np.int64)
+        of[which] = key
+        _, group, n = np.unique(of, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(n[group] > 1)
+        i, a, z = repeated([texts[x] for x in several.tolist()], least[several]) if len(several) else (np.zeros(0, np.int64),) * 3
+        i = several[i]
         whole = np.flatnonzero(doc > least[which])
         first = np.flatnonzero(doc == least[which])
         # The runs of each text that a smaller document has, for every occurrence in its own.
@@ -493,10 +502,10 @@ def spans(open_: DataFrame, partitions: int) -> DataFrame:
         while a < len(order):
             z = int(ends[max(np.searchsorted(total, done + SORTED, "right") - 1, np.searchsorted(ends, a, "right"))])
             i = order[a:z]
-            yield sort(doc[i], k[i], lo[i], texts.take(pa.array(i)).combine_chunks())
+            yield sort(key[i], doc[i], k[i], lo[i], texts.take(pa.array(i)).combine_chunks())
             a, done = z, int(total[np.searchsorted(ends, z)])
 
-    return open_.repartition(partitions, "key").mapInArrow(run, "doc_id long, _k long, start long, end long")
+    return open_.repartition(partitions, "key").mapInArrow(thrifty(run), "doc_id long, _k long, start long, end long")
 
 
 # -- the operator ------------------------------------------------------------------
@@ -557,21 +566,32 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = numbered(docs).select("doc_id", "_k", "text")
     gone = removals(docs, scratch)
 
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
-            cols: list[list] = [[], [], [], [], []]
-            for t, g in zip(utf8(b, "text"), ints(b, "gone")):
-                cut = _united(g)
-                row = (len(t), sum(z - a for a, z in cut), len(cut), _rest(t, cut), [{"start": a, "end": z} for a, z in cut])
-                for c, x in zip(cols, row):
-                    c.append(x)
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), span]
-            own = [pa.array(c, k) for c, k in zip(cols, kinds)]
-            yield pa.record_batch([pa.array(ints(b, "doc_id"), pa.int64()), *own], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
+            text = pc.fill_null(b.column(b.schema.get_field_index("text")).cast(pa.binary()), b"")
+            kept, cuts = _without(text, b)
+            removed = pa.array([[{"start": a, "end": z} for a, z in cut] for cut in cuts], span)
+            lost = pa.array([sum(z - a for a, z in cut) for cut in cuts], pa.int64())
+            yield pa.record_batch(
+                [b.column(b.schema.get_field_index("doc_id")), pc.binary_length(text).cast(pa.int64()), lost, pa.array(list(map(len, cuts)), pa.int64()), kept, removed], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"]
+            )
 
     joined = docs.join(gone, ["doc_id", "_k"], "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start:bigint,end:bigint>>")
+    return joined.mapInArrow(thrifty(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start:bigint,end:bigint>>")
+
+
+def _without(text: pa.Array, b: pa.RecordBatch) -> tuple[pa.Array, list[list[list[int]]]]:
+    """The texts (as bytes) without their spans, and the united spans; texts without any pass as they are."""
+    gone = b.column(b.schema.get_field_index("gone"))
+    cuts: list[list[list[int]]] = [[] for _ in range(len(gone))]
+    some = np.flatnonzero(np.asarray(gone.is_valid()))
+    new = []
+    for i in some.tolist():
+        cuts[i] = _united(gone[i].as_py())
+        new.append(_rest(text[i].as_py(), cuts[i]))
+    return (pc.replace_with_mask(text, gone.is_valid(), pa.array(new, text.type)) if new else text), cuts
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
@@ -583,10 +603,13 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
-            text = [_rest(t.encode(), _united(g)).decode(errors="ignore") for t, g in zip(ints(b, "text"), ints(b, "gone"))]
-            yield pa.record_batch([b.column(b.schema.get_field_index("_row")), pa.array(text, pa.string())], ["_row", "new"])
-
-    cut = marked.where("gone is not null").select("_row", "text", "gone")
-    cut = cut.mapInArrow(run, cut.select("_row", F.col("text").alias("new")).schema)
-    cut = cut.select(with_fields(F.col("_row"), docs.schema, text=F.col("new"), n_chars=F.length("new")).alias("_row"))
-    return marked.where("gone is null").select("_row").unionAll(cut).select("_row.*")
+            text = b.column(b.schema.get_field_index("text"))
+            kept, cuts = _without(text.cast(pa.binary()), b)
+            some = [i for i, cut in enumerate(cuts) if cut]
+            new = pa.array([kept[i].as_py().decode(errors="ignore") for i in some], text.type)
+            mask = b.column(b.schema.get_field_index("gone")).is_valid()
+            yield pa.record_batch([b.column(b.schema.get_field_index("_row")), mask, pc.replace_with_mask(text, mask, new) if some else text], ["_row", "cut", "new"])
+
+    out = marked.select("_row", "text", "gone").mapInArrow(thrifty(run), marked.select("_row", F.lit(True).alias("cut"), F.col("text").alias("new")).schema)
+    changed = with_fields(F.col("_row"), docs.schema, text=F.col("new"), n_chars=F.length("new"))
+    return out.select(F.when(F.col("cut"), changed).otherwise(F.col("_row")).alias("_row")).select("_row.*")
