@@ -7,9 +7,12 @@ and the rows it covers leave before the next rule. ``verdict`` turns the list in
 one ordered CASE expression.
 
 Defined results: null text has no words; documents without a label take no part in
-learning; without any labelled rows, or none of one class, the list is empty and
-only the base test decides. Ties between conditions go to the first in the order
-of FEATURES, then to the lower threshold.
+learning; without any labelled rows, none of one class, or too few bad ones (a rule
+must cover three and be right about nine in ten, so some tens of labels give none),
+the list is empty and only the base test decides. Ties between conditions go to the
+first in the order of FEATURES, then to the lower threshold. Repeated rows have the
+same statistics and verdict, a null doc_id has no label, very long texts are taken
+whole, an empty table gives no rows, and extra columns, whatever their names, stay.
 """
 
 from __future__ import annotations
@@ -54,15 +57,14 @@ def features(docs: DataFrame) -> DataFrame:
         _count_chars(F.col("_t"), "!?.,;:\"'()[]{}-_=+/\\@^~`").alias("n_marks"),
         F.filter(F.split("_t", "\n"), lambda x: F.translate(x, GAP_CHARS, "") != "").alias("_lines"),
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
-    )
-    n_windows = F.size("_h") - (WINDOW - 1)
-    windows = F.when(n_windows >= 1, F.transform(F.sequence(F.lit(1), n_windows), lambda i: F.xxhash64(F.slice("_h", i, WINDOW))))
-    base = base.select(
-        "doc_id", "_v", "n_words", "word_chars", "n_symbols", "n_upper", "n_digits", "n_marks",
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_distinct("_h")).cast("long").alias("n_distinct_words"),
-        F.coalesce(windows, F.array().cast("array<bigint>")).alias("_win"),
-    )
+    ).withColumn("_words", F.col("_h"))
+    # Hashes of two, four and eight neighbours, each made of two of the step before; shorter texts have none.
+    for k in (1, 2, 4):
+        n = F.greatest(F.size("_h") - k, F.lit(0))
+        base = base.withColumn("_h", F.zip_with(F.slice("_h", F.lit(1), n), F.slice("_h", F.lit(k + 1), n), lambda a, b: F.xxhash64(a, b)))
+        if k == 1:
+            base = base.select(*[c for c in base.columns if c not in ("_lines", "_words")], (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.size(F.array_distinct("_words")).cast("long").alias("n_distinct_words"))
+    base = base.withColumnRenamed("_h", "_win")
     # Few texts repeat a window: only those sort their windows with positions.
     base = base.withColumn("_again", F.size(F.array_distinct("_win")) < F.size("_win"))
     pairs = F.array_sort(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -98,7 +100,7 @@ class Condition:
         return x >= self.threshold if self.above else x < self.threshold
 
 
-def labelled_counts(stats: DataFrame, labels: DataFrame, bins: int = 16, sample_rows: int = 20_000) -> tuple[dict[str, list[float]], list]:
+def labelled_counts(stats: DataFrame, labels: DataFrame, scratch: Scratch, bins: int = 16, sample_rows: int = 20_000) -> tuple[dict[str, list[float]], list]:
     """Thresholds, and counts of good and bad rows by vector of bins.
 
     ``sample_rows`` bounds the labelled rows looked at: those of lowest
@@ -109,6 +111,7 @@ def labelled_counts(stats: DataFrame, labels: DataFrame, bins: int = 16, sample_
     rows = stats.where(~F.col("base_failed")).join(own, "doc_id").select(
         "_good", F.xxhash64("doc_id").alias("_k"), *[F.coalesce(f(F.col), F.lit(0.0)).alias(k) for k, f in FEATURES.items()]
     ).orderBy("_k", *FEATURES, "_good").limit(sample_rows)
+    rows = scratch.put(rows, "sample")  # read twice
     at = [(i + 1) / (bins + 1) for i in range(bins)]
     cuts = rows.groupBy("_good").agg(*[F.percentile_approx(k, at, 1000).alias(k) for k in FEATURES]).collect()
     thresholds = {k: sorted({float(x) for r in cuts for x in (r[k] or [])}) for k in FEATURES}
@@ -193,14 +196,14 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Statistics of each document with base_failed and kept."""
     scratch = Scratch(docs.sparkSession)
     stats = scratch.put(features(docs), "stats")
-    rules = learn(*labelled_counts(stats, labels, **options))
+    rules = learn(*labelled_counts(stats, labels, scratch, **options))
     return stats.withColumn("kept", ~F.col("base_failed") & verdict(rules)).withColumn(
-        "rules", F.lit("; ".join(" and ".join(f"{c.feature} {'>=' if c.above else '<'} {c.threshold:.6g}" for c in r) for r in rules))
+        "rules", F.lit("; ".join(" and ".join(f"{c.feature} {'>=' if c.above else '<'} {c.threshold!r}" for c in r) for r in rules))
     )
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rejected rows, columns as they were."""
+    """docs without the rejected rows; all columns, whatever their names, as they were."""
     gone = judge(docs, labels, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_d"), "_v").distinct()
-    own = docs.withColumn("_w", F.xxhash64("text"))
-    return own.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_v")), "left_anti").drop("_w")
+    own = docs.select(F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_w"), F.struct("*").alias("_row"))
+    return own.join(gone, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_v")), "left_anti").select("_row.*")
