@@ -550,8 +550,11 @@ def test_mixed_documents(spark, docs, empty):
         given[r.doc_id] += len(own)
         assert r.n_chars == len(r.text) and not Counter(own) - words[r.doc_id]
     assert given == +want
-    placed = mixing.mixed_documents(docs, block_words=8, shard_slots=64, with_places=True).collect()
-    assert [(r.shard, r.slot) for r in placed] == sorted((r.shard, r.slot) for r in placed)
+    placed = mixing.mixed_documents(docs, block_words=8, shard_slots=64, with_places=True).withColumn("p", F.spark_partition_id()).collect()
+    by_partition = defaultdict(list)
+    for r in placed:
+        by_partition[r.p].append((r.shard, r.slot))
+    assert all(x == sorted(x) for x in by_partition.values()) and len({(r.p, r.shard) for r in placed}) == len({r.shard for r in placed})
     assert mixing.mixed_documents(empty).count() == 0
     rows = [(1, "a b c d", "s", 7, 1.5, "p", "x y"), (1, "a b c d", "s", 7, 1.5, "p", "x y"), (None, "e f", None, 3, None, "q", None)]
     odd = spark.createDataFrame(rows, "doc_id int, text string, source string, n_chars int, place double, pieces string, `new.x` string").withColumns({c: F.lit(1) for c in ("_row", "_v", "_k", "_d", "shard", "own")})
