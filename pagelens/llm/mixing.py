@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, ints, mix, numbered, running, utf8, with_fields, words_col, workers_find_us
+from .common import U64, Scratch, ints, mix, numbered, running, thrifty, utf8, with_fields, words_col, workers_find_us
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -152,7 +152,7 @@ def draws(spark, sources: list[dict], block_words: int, shard_slots: int, seed:
             yield pa.record_batch([pa.array(x) for x in np.concatenate(out, axis=1)], ["number", "lot", "shard", "in_lot", "n", "blocks"])
 
     ids = spark.range(0, lots, 1, max(1, min(-(-lots // 8), 20_000)))
-    return ids.mapInArrow(run, "number long, lot long, shard long, in_lot long, n long, blocks long")
+    return ids.mapInArrow(thrifty(run), "number long, lot long, shard long, in_lot long, n long, blocks long")
 
 
 def slots(drawn: DataFrame, seed: int) -> DataFrame:
@@ -173,7 +173,7 @@ def slots(drawn: DataFrame, seed: int) -> DataFrame:
                 block[own] = permute(k[own] % size, int(size), keys[own])
             yield pa.record_batch([pa.array(x) for x in (number, shard, k, turn, block)], ["number", "shard", "k", "pass", "block"])
 
-    return own.mapInArrow(run, "number long, shard long, k long, pass long, block long")
+    return own.mapInArrow(thrifty(run), "number long, shard long, k long, pass long, block long")
 
 
 def _deal(docs: DataFrame, weights: tuple, block_words: int, shard_slots: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -228,7 +228,9 @@ def mixed_documents(
     """The mix as documents: a row for each document and pass, with the text of the words that the pass takes.
 
     Rows are laid out by the shard and slot where the document's first block of that
-    pass stands (with_places: in columns shard, slot, too). A document that the mix takes
+    pass stands: a partition holds whole shards in the order of their slots (with_places:
+    in columns shard, slot, too). They are dealt by shard and not by range, since drawing
+    range borders would cut all texts twice. A document that the mix takes
     whole stays as it is, and one taken twice comes twice. Documents none of whose words
     are taken go. The original columns stay; n_chars follows the text, in its own type.
     """
@@ -238,9 +240,9 @@ def mixed_documents(
     mixed = _deal(own, weights, block_words, shard_slots, seed)[1]
     pieces = _given(mixed).groupBy(F.col("own.doc_id").alias("_d"), F.col("own._k").alias("_v"), "pass").agg(F.array_sort(F.collect_list("piece")).alias("pieces"), F.min("place").alias("place"))
     joined = own.join(pieces, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_v"))).select("_row", "text", "pieces", "place")
-    kept = joined.select("_row", "place", "pieces", "text").mapInArrow(_cut, joined.select("_row", "place", F.lit("").alias("new")).schema)
+    kept = joined.select("_row", "place", "pieces", "text").mapInArrow(thrifty(_cut), joined.select("_row", "place", F.lit("").alias("new")).schema)
     row = with_fields(F.col("_row"), docs.schema, text=F.col("new"), n_chars=F.length("new"))
-    out = kept.select(row.alias("_row"), "place.shard", "place.slot").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    out = kept.select(row.alias("_row"), "place.shard", "place.slot").repartition("shard").sortWithinPartitions("shard", "slot")
     return out.select("_row.*", "shard", "slot") if with_places else out.select("_row.*")
 
 
