@@ -40,6 +40,11 @@ def words_col(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
+def terms_col(text: Column) -> Column:
+    """As ``terms``, of a column; null has none."""
+    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -182,6 +187,15 @@ def ints(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+#: Keeps digits, letters (A-Z lowered) and all bytes of longer characters; every other byte becomes a space.
+_TERM_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
+
+
+def terms(text: bytes) -> list[bytes]:
+    """The maximal runs of digits, letters and characters beyond ASCII, A-Z lowered."""
+    return text.translate(_TERM_BYTES).split()
+
+
 def thrifty(run):
     """run, whose worker gives free memory back at the end of a task: an idle worker would keep it beside the next stage's."""
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_grid, hmm_lm, line_dedup, minhash, mixing, quality_rules, suffix_dedup, warc
+from . import bpe, chat, embedding_grid, exact_dedup, hmm_lm, importance, line_dedup, minhash, mixing, quality_rules, search, suffix_dedup, warc
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -60,7 +60,19 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_quality_rules, op4_hmm_lm, op5_minhash, op6_mixing, op7_chat, op8_warc, op9_embedding_grid, op10_suffix_array)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_quality_rules, op4_hmm_lm, op5_minhash, op6_mixing, op7_chat, op8_warc, op9_embedding_grid, op10_suffix_array, op11_exact_dedup, op12_importance, op13_search)}
 
 
 ORACLE = {
@@ -114,4 +126,34 @@ select conv_id, count(*)::bigint as n_turns,
        sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
        sum(n_text + case when joined then 10 else 12 + n_role + 1 + 10 + 1 end)::bigint as formatted_chars
 from e group by conv_id""",
+    "op11_exact_dedup": r"""
+with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents)
+select doc_id, max(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
+       doc_id = max(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256 from t""",
+    "op12_importance": r"""
+with crc as (select list(c order by i) as tab from (select i, list_reduce([i::bigint] || range(8), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as c from range(256) r(i))),
+f as (select 'd' as side, doc_id as id, text from documents union all select 'b', item_id, text from benchmark),
+w as (select side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from f),
+v as (select w, hex(encode(w)) as h from (select distinct w from w)),
+k as (select w, xor(4294967295, list_reduce([4294967295] || list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::bigint),
+             lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1]))) % 10000 as bucket from v, crc),
+n as (select bucket, count(*) filter (side = 'd') as s, count(*) filter (side = 'b') as t from w join k using (w) group by bucket),
+a as (select sum(s)::double as ss, sum(t)::double as tt from n),
+g as (select bucket, floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000))))::bigint as gain from n, a),
+d as (select id as doc_id, count(*) as n_features, floor(sum(gain) / count(*)::double)::bigint as weight from w join k using (w) join g using (bucket) where side = 'd' group by id),
+x as (select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint as h from documents left join d using (doc_id)),
+y as (select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from x),
+z as (select doc_id, row_number() over (order by score desc, doc_id) as rank from y where n_features >= 20)
+select y.*, case when rank <= (select floor(10 * count(*) / 100) from z) then rank end as rank from y left join z using (doc_id)""",
+    "op13_search": r"""
+with f as (select 'd' as side, doc_id as id, text from documents union all select 'b', item_id, text from benchmark),
+w as (select side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from f),
+p as (select id as doc_id, w, count(*) as tf from w where side = 'd' group by all),
+l as (select doc_id, sum(tf)::bigint as n from p group by doc_id),
+a as (select count(*) as nn, sum(n)::bigint as ll from l),
+t as (select w, floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1)::double))::bigint as weight from p, a group by w, nn),
+u as (select doc_id, w, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll)) as impact from p join l using (doc_id), a),
+s as (select b.id as item_id, doc_id, sum(weight * impact)::bigint as score from (select distinct id, w from w where side = 'b') b join t using (w) join u using (w) group by all)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::integer as rank, doc_id, score from s where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 50""",
 }
