@@ -8,9 +8,9 @@ and ``parse`` reads them.
 
 Defined results: a null html is an empty payload; a null url gives an empty target
 URI; rows that repeat an id give records with the same record id; a null id gives
-the id of the empty name; a comment, script or style that never ends holds the rest of
-the page, so its text is dropped; pages of any length take time linear in it; extra
-columns are not read; an empty table gives no rows. Rows are independent, so a hot host
+the id of the empty name; a tag, comment, script or style that never ends holds the rest
+of the page, which is dropped, and a title that never ends is ordinary text; pages of any
+length take time linear in it, whatever their mark-up; extra columns are not read; an empty table gives no rows. Rows are independent, so a hot host
 costs nothing extra.
 """
 
@@ -36,11 +36,14 @@ RECORD = (
 _FIELDS = [x.split()[0] for x in RECORD.split(", ")]
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 9562, namespace for URLs
 
-_DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!doctype[^>]*>")
-_BLOCK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|aside|title|body|head|html|blockquote|pre|hr)\b[^>]*>")
-_TAG = re.compile(r"<[^>]*>")
-_LINK = re.compile(r"""(?is)<(a|img|link)\b[^>]*?\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-_TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title>")
+#: Elements that are no text, and elements that end a line.
+_DROPPED = "script style noscript template svg".split()
+_BLOCKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer main aside title body head html blockquote pre hr".split())
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: Where a tag may end, or a quoted value begins.
+_STOP = re.compile(r""">|=\s*["']""")
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in [*_DROPPED, "title"]}
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 
 
 def digest(data: bytes) -> str:
@@ -51,18 +54,87 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, chr(0).join(map(str, parts)))}>"
 
 
+def _tag_end(html: str, at: int) -> int:
+    """Behind the > of the tag that begins at ``at``; quoted values may hold one. -1 if the tag never ends."""
+    while m := _STOP.search(html, at):
+        if m[0] == ">":
+            return m.end()
+        close = html.find(m[0][-1], m.end())
+        if close < 0:
+            return -1
+        at = close + 1
+    return -1
+
+
+def scan(html: str) -> Iterator[tuple[str, str]]:
+    """(kind, what) of the page's pieces in order: text, title, open and close tags (as written), and gaps where something was dropped.
+
+    The place only moves forward, and what was looked for in vain isn't looked for again,
+    so time is linear in the page.
+    """
+    at, missing = 0, False
+    while (start := html.find("<", at)) >= 0:
+        if html.startswith("<!--", start):
+            kind, end = "gap", html.find("-->", start + 4)
+            end = end + 3 if end >= 0 else -1
+        elif html.startswith(("<!", "<?"), start):
+            kind, end = "gap", html.find(">", start) + 1 or -1
+        elif name := _NAME.match(html, start):
+            kind, end = "close" if html[start + 1] == "/" else "open", _tag_end(html, name.end())
+        else:  # a sign, not a tag
+            yield "text", html[at : start + 1]
+            at = start + 1
+            continue
+        yield "text", html[at:start]
+        if end < 0:
+            yield "gap", html[start:]
+            return
+        at = end
+        if kind == "open" and (own := name[1].lower()) in _CLOSE and not (own == "title" and missing):
+            close = _CLOSE[own].search(html, end)
+            if own == "title":
+                missing = close is None
+                yield kind, html[start:end]
+                if close:
+                    yield "title", html[end : close.start()]
+                    at = close.start()
+                continue
+            yield "gap", html[start : close.start() if close else len(html)]
+            if close is None:
+                return
+            at = _tag_end(html, close.end())
+            if at < 0:
+                return
+        else:
+            yield kind, html[start:end]
+    yield "text", html[at:]
+
+
 def plain_text(html: str) -> str:
     """Text without markup: block elements end lines, blank lines go, spaces are joined."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _DROP.sub(" ", html)))
-    lines = (" ".join(x.split()) for x in html_.unescape(text).split("\n"))
+    out = []
+    for kind, what in scan(html):
+        if kind in ("open", "close"):
+            out.append("\n" if _NAME.match(what)[1].lower() in _BLOCKS else "")
+        else:
+            out.append(" " if kind == "gap" else what)
+    lines = (" ".join(x.split()) for x in html_.unescape("".join(out)).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def outline(html: str) -> dict:
-    body = _DROP.sub(" ", html)
-    title = _TITLE.search(body)
-    links = [{"path": m[1].lower(), "url": html_.unescape(m[2] or m[3] or m[4] or "")} for m in _LINK.finditer(body)]
-    return {"title": " ".join(html_.unescape(title[1]).split()) if title else "", "links": links}
+    """The first title, and the target of each a, img and link tag that has one."""
+    title, links = None, []
+    for kind, what in scan(html):
+        if kind == "title" and title is None:
+            title = " ".join(html_.unescape(what).split())
+        if kind == "open":
+            name = _NAME.match(what)
+            if (own := name[1].lower()) in ("a", "img", "link"):
+                url = next((m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(what, name.end(), len(what) - 1) if m[1].lower() in ("href", "src") and m[0] != m[1]), None)
+                if url is not None:
+                    links.append({"path": own, "url": html_.unescape(url)})
+    return {"title": title or "", "links": links}
 
 
 def _records(page_id, url: str, raw: bytes, date: str) -> Iterator[tuple]:

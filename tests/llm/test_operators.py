@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import math
 import random
 import re
@@ -42,7 +43,7 @@ def test_twin(spark, sf, name):
 
 def test_all_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 # -- 1 line dedup -------------------------------------------------------------------
@@ -587,6 +588,14 @@ def test_chat(spark, texts):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_long_conversation(spark):
+    """Twenty thousand turns of one conversation in seconds: time isn't their square."""
+    rows = [(1, i, ["user", "assistant", "assistant"][i % 3], f"t{i}") for i in range(20_000)]
+    got = chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert [(t.role, t.text) for t in got.turns] == [x[2:] for x in rows]
+    assert got.loss_text == "".join(x[3] for x in rows if x[2] == "assistant")
+
+
 # -- 8 WARC ----------------------------------------------------------------------------------
 
 
@@ -668,22 +677,24 @@ def test_suffix_array():
     assert suffix_dedup.suffix_array(np.array(a, np.int64)).tolist() == sorted(range(len(a)), key=lambda i: a[i:])
 
 
-def brute_removed(rows):
+def brute_kept(rows):
+    """(doc_id, input, remaining bytes, removed bytes, runs) of each row."""
     first = {}
     for d, t in rows:
         if d is not None:
             for i in range(len(t) - 49):
                 w = t[i : i + 50]
                 first[w] = min(first.get(w, d), d)
-    out = Counter()
     for d, t in rows:
         gone = bytearray(len(t))
         for i in range(len(t) - 49):
             if d is not None and first[t[i : i + 50]] < d:
                 gone[i : i + 50] = b"\1" * 50
-        kept = bytes(c for c, g in zip(t, gone) if not g)
-        out[d, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(kept)] += 1
-    return out
+        yield d, t, bytes(c for c, g in zip(t, gone) if not g), sum(gone), len(re.findall(b"\1+", bytes(gone)))
+
+
+def brute_removed(rows):
+    return Counter((d, len(t), gone, runs, sha(kept)) for d, t, kept, gone, runs in brute_kept(rows))
 
 
 def test_suffix_dedup(docs, empty):
@@ -804,15 +815,23 @@ def test_warc_of_every_page(spark, sf):
     class Text(HTMLParser):
         def __init__(self):
             super().__init__()
-            self.out, self.skip = [], 0
+            self.out, self.skip, self.links, self.titles, self.at = [], 0, [], [], ""
 
         def handle_starttag(self, tag, attrs):
             self.skip += tag in ("script", "style")
+            self.at = tag
+            if tag == "title":
+                self.titles.append("")
+            if not self.skip and tag in ("a", "img", "link"):
+                self.links += [{"path": tag, "url": v} for k, v in attrs if k in ("href", "src") and v is not None][:1]
 
         def handle_endtag(self, tag):
             self.skip -= tag in ("script", "style")
+            self.at = ""
 
         def handle_data(self, data):
+            if self.at == "title" and self.titles:
+                self.titles[-1] += data
             if not self.skip:
                 self.out.append(data)
 
@@ -836,12 +855,134 @@ def test_warc_of_every_page(spark, sf):
         p.feed(html.decode())
         p.close()
         assert "".join(own["conversion"][1].decode().split()) == "".join("".join(p.out).split())
+        about = json.loads(own["metadata"][1])
+        assert about["links"] == p.links and about["title"] == (" ".join(p.titles[0].split()) if p.titles else "")
+
+
+HOSTILE = ["<title>", "<a ", "<", "<!--", "<script", "<script>", '<a href="', "<a href='x", "</p", "<!doctype ", "<a b='c\" ", "<a =   ", "<style></styl", "<svg></svg ", "<title></titl", '<a x="" ', "<p>", "&lt;"]
+
+
+@pytest.mark.parametrize("unit", HOSTILE)
+def test_warc_on_unclosed_markup(unit):
+    """Eight times the page takes about eight times as long, and far less than the square of it."""
+    import time
+
+    def seconds(n):
+        page = unit * n
+        best = []
+        for _ in range(3):
+            start = time.perf_counter()
+            warc.plain_text(page)
+            warc.outline(page)
+            best.append(time.perf_counter() - start)
+        return min(best)
+
+    assert seconds(40_000) < 30 * max(seconds(5_000), 0.002)
+
+
+@pytest.mark.parametrize(
+    "html, text, links, title",
+    [
+        ("a < b and 5 <6", "a < b and 5 <6", [], ""),
+        ('<a title="x>y" href=/q?a&amp;b>go</a>', "go", [("a", "/q?a&b")], ""),
+        ("<A HREF = '/up'>u</A><img src=i.png><link rel=x>", "u", [("a", "/up"), ("img", "i.png")], ""),
+        ("<!-- <a href=no> --><script>'<a href=no>'</script><a href=yes>y</a>", "y", [("a", "yes")], ""),
+        ("<title> A  &amp; B </title><p>x<title>second</title>", "A & B\nx\nsecond", [], "A & B"),
+        ("one<title>never ends", "one\nnever ends", [], ""),
+        ("seen<script>var x = 1", "seen", [], ""),
+        ("seen<a href='x", "seen", [], ""),
+        ("<scripted>kept</scripted><a data-href=no href>n</a>", "kept n".replace(" ", ""), [], ""),
+        ("<STYLE>x</style ><b>b</b><svg><a href=no></a></svg>", "b", [], ""),
+    ],
+)
+def test_warc_markup(html, text, links, title):
+    got = warc.outline(html)
+    assert (warc.plain_text(html), [(x["path"], x["url"]) for x in got["links"]], got["title"]) == (text, links, title)
 
 
 # -- results of whole queries without a twin ------------------------------------------------------
 
 
-def test_op2_op6_op10_on_table(spark, sf, tokenizer):
+def feistel(k, n, key):
+    """Where a permutation of 0..n-1 puts k, one number at a time."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    half = max(1, math.ceil(math.log2(max(n, 2)) / 2))
+    while True:
+        a, b = k >> half, k & (1 << half) - 1
+        for r in range(4):
+            a, b = b, a ^ mixed(b ^ mixed(key + r + 1 & mask)) & (1 << half) - 1
+        k = a << half | b
+        if k < n:
+            return k, mixed
+
+
+def test_op6_on_table(spark, sf):
+    """Sizes, targets and what each document gives, from draws made here one after the other."""
+    from pagelens.llm.common import numbered
+
+    docs = read(spark, sf, "documents")
+    chunks = max(1, docs.count() // mixing.CHUNK_DOCS)
+    rows = numbered(docs).selectExpr("doc_id", "_k", "text", "_row.source as source", f"pmod(xxhash64(doc_id, _k), {chunks}) as c").collect()
+    size = {r.doc_id: len(WORD.findall(r.text or "")) for r in rows}
+    streams, of_source = defaultdict(list), Counter()
+    for r in sorted(rows, key=lambda r: (r.c, r.doc_id, r._k)):
+        streams[r.source] += [r.doc_id] * size[r.doc_id]
+        of_source[r.source] += size[r.doc_id]
+    names = sorted(of_source, key=lambda s: (s is None, s or ""))
+    target, left, free = {}, 1.5 * sum(of_source.values()), [(s, (3, 1, 2)[i % 3]) for i, s in enumerate(names) if of_source[s]]
+    while free:
+        share = left / sum(w for _, w in free)
+        full = [s for s, w in free if share * w > 2 * of_source[s]]
+        target |= {s: 2.0 * of_source[s] for s in full} if full else {s: share * w for s, w in free}
+        left -= sum(2.0 * of_source[s] for s in full)
+        free = [(s, w) for s, w in free if s not in target]
+    blocks = [-(-of_source[s] // 64) for s in names]
+    need = np.array([target[s] / of_source[s] * b if b else 0.0 for s, b in zip(names, blocks)])
+    total = int(need.sum())
+    shards, given, turns = -(-total // 512), Counter(), [0] * len(names)
+    for lot in range(-(-shards // 64)):
+        rng = np.random.default_rng([7, lot])
+        begin, end = lot * 64 * 512, min((lot + 1) * 64 * 512, total)
+        taken = [0] * len(names)
+        for shard in range(lot * 64, min(lot * 64 + 64, shards)):
+            slots, got = min(512, total - shard * 512), [0] * len(names)
+            room = [2 * b * end // total - 2 * b * begin // total - t for b, t in zip(blocks, taken)]
+            owed = [n * ((end - begin) / total) - t for n, t in zip(need, taken)]
+            while sum(got) < slots:
+                odds = np.array([max(o - g, 0.0) if r > g else 0.0 for o, g, r in zip(owed, got, room)])
+                if not odds.sum():
+                    odds = np.array([float(max(r - g, 0)) for r, g in zip(room, got)])
+                more = rng.multinomial(slots - sum(got), odds / odds.sum())
+                got = [g + min(int(m), r - g) for g, m, r in zip(got, more, room)]
+            for i, n in enumerate(got):
+                for k in range(turns[i], turns[i] + n):
+                    _, mixed = feistel(0, 2, 0)
+                    block, _ = feistel(k % blocks[i], blocks[i], mixed(k // blocks[i] + (7 << 32) + (i << 8)))
+                    given.update(streams[names[i]][block * 64 : (block + 1) * 64])
+                turns[i] += n
+                taken[i] += n
+    source = {r.doc_id: r.source for r in rows}
+    got = QUERIES["op6_mixing"](spark, sf).collect()
+    assert Counter((r.doc_id, r.size, r.source_size, r.taken) for r in got) == Counter((d, n, of_source[source[d]], given[d]) for d, n in size.items())
+    assert all(r.target == pytest.approx(target[source[r.doc_id]]) for r in got)
+    sums = Counter()
+    for r in got:
+        sums[source[r.doc_id]] += r.taken
+        assert r.taken <= 2 * r.size
+    for s in names:
+        share = target[s] / sum(target.values())
+        assert abs(sums[s] - target[s]) <= 64 * (4 * math.sqrt(-(-shards // 64) * 512 * share) + 2)
+
+
+def test_op2_op8_op10_on_table(spark, sf, tokenizer):
     _, own = tokenizer
     rows = pairs_of(read(spark, sf, "documents"))
     got = {r.doc_id: r for r in QUERIES["op2_bpe"](spark, sf).collect()}
