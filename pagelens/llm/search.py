@@ -50,6 +50,8 @@ CANDIDATES = 1_000_000
 BLOCK_BYTES = 4 << 20
 #: Cells of a block's table of sums, documents by items.
 CELLS = 1 << 21
+#: Candidates that a task holds back.
+KEPT = 200_000
 
 
 @dataclass
@@ -90,7 +92,7 @@ def counted(docs: DataFrame, words: list[bytes]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, width = known.value.get, len(known.value) + 1
         for b in batches:
-            texts, doc_ids, ks = utf8(b, "text"), np.array(b.column(0), object), np.array(ints(b, "_k"), np.int64)
+            texts, doc_ids, ks = utf8(b, "text"), np.array(ints(b, "doc_id"), object), np.array(ints(b, "_k"), np.int64)
             for lo, hi in in_blocks(texts, len, BLOCK_BYTES):
                 flat, sizes, hits = [], [], []
                 for t in texts[lo:hi]:
@@ -164,8 +166,19 @@ def candidates(lists: DataFrame, group: Lists, bound: np.ndarray, highest: np.nd
         item, weight, least, unseen, starts, bound, all_unseen = shared.value
         best = np.zeros((n_items, k), np.int64)  # the highest sums so far
         most = max(CELLS // max(n_items, 1), 1)
+        kept: list[tuple] = []  # candidates that aren't sent yet, since later documents may rule them out
+        n_kept = 0
 
-        def sums(doc_ids: np.ndarray, ks: np.ndarray, doc: np.ndarray, term: np.ndarray, impact: np.ndarray, n: int) -> pa.RecordBatch:
+        def still() -> tuple:
+            cols = [np.concatenate(c) for c in zip(*kept)]
+            may = cols[4] >= np.maximum(bound, best.min(axis=1))[cols[0]]
+            return tuple(c[may] for c in cols)
+
+        def batch(cols: tuple) -> pa.RecordBatch:
+            i, doc_ids, ks, low, high = cols
+            return pa.record_batch([pa.array(i, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ks, pa.int64()), pa.array(low), pa.array(high)], ["item", "doc_id", "_k", "low", "high"])
+
+        def sums(doc_ids: np.ndarray, ks: np.ndarray, doc: np.ndarray, term: np.ndarray, impact: np.ndarray, n: int) -> tuple:
             times = starts[term + 1] - starts[term]
             at = np.repeat(np.arange(len(term)), times)
             one = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[term], times)
@@ -178,8 +191,7 @@ def candidates(lists: DataFrame, group: Lists, bound: np.ndarray, highest: np.nd
             both = np.concatenate([best, low.T], axis=1)
             best[:] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
             d, i = np.nonzero((low > 0) & (high >= np.maximum(bound, best.min(axis=1))))
-            cols = [pa.array(i, pa.int32()), pa.array(doc_ids[d], pa.int64()), pa.array(ks[d], pa.int64()), pa.array(low[d, i]), pa.array(high[d, i])]
-            return pa.record_batch(cols, ["item", "doc_id", "_k", "low", "high"])
+            return i, doc_ids[d], ks[d], low[d, i], high[d, i]
 
         held: list[tuple] = []  # columns of the documents that aren't summed yet; a document's rows are neighbours
         for b in _then_none(batches):
@@ -198,9 +210,18 @@ def candidates(lists: DataFrame, group: Lists, bound: np.ndarray, highest: np.nd
                 a, z = first[lo], ends[hi - 1]
                 names = np.where(null[first[lo:hi]], None, ids[first[lo:hi]].astype(object))
                 doc = np.repeat(np.arange(hi - lo), ends[lo:hi] - first[lo:hi])
-                yield sums(names, ks[first[lo:hi]], doc, term[a:z], impact[a:z], hi - lo)
+                kept.append(sums(names, ks[first[lo:hi]], doc, term[a:z], impact[a:z], hi - lo))
+                n_kept += len(kept[-1][0])
+                if n_kept > KEPT:
+                    kept[:] = [still()]
+                    n_kept = len(kept[0][0])
+                    if n_kept > KEPT // 2:
+                        yield batch(kept.pop())
+                        n_kept = 0
             rest = ends[whole - 1] if whole else 0
             held = [(ids[rest:], null[rest:], ks[rest:], term[rest:], impact[rest:])] if rest < len(ids) else []
+        if kept:
+            yield batch(still())
 
     dealt = fetched.repartition("doc_id", "_k").sortWithinPartitions("doc_id", "_k")
     return dealt.mapInArrow(thrifty(run), "item int, doc_id long, _k long, low long, high long")
