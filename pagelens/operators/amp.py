@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import workers_find_us
 from .html_pages import Tree
 
 CSS_LIMIT = 75_000
@@ -121,4 +122,5 @@ def validate(pages: DataFrame, key: str = "page_id", html: str = "html", css_lim
             kinds = {"valid": pa.bool_(), "errors": pa.list_(pa.string()), "warnings": pa.list_(pa.string()), "css_bytes": pa.int64()}
             yield pa.record_batch([b.column(0), *(pa.array([r[c] for r in rows], k) for c, k in kinds.items())], [key, *kinds])
 
+    workers_find_us(pages.sparkSession)
     return pages.select(F.col(key).cast("long").alias(key), html).mapInArrow(run, f"{key} long, valid boolean, errors array<string>, warnings array<string>, css_bytes long")

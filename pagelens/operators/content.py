@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions.dates import iso_date
+from ..sources.shared import workers_find_us
 from .joins import cut_to_shorter, region_join
 
 
@@ -92,6 +93,7 @@ def zip_bundles(files: DataFrame, group: str) -> DataFrame:
                 z.writestr(zipfile.ZipInfo(r.name, (1980, 1, 1, 0, 0, 0)), r.content)
         return pd.DataFrame({group: [part[group].iloc[0]], "n": [len(part)], "bundle": [out.getvalue()]})
 
+    workers_find_us(files.sparkSession)
     return files.groupBy(group).applyInPandas(one, f"{group} {kind}, n long, bundle binary")
 
 
@@ -106,4 +108,5 @@ def unzip(bundles: DataFrame, group: str) -> DataFrame:
                     names = z.namelist()
                     yield pd.DataFrame({group: [getattr(r, group)] * len(names), "name": names, "content": [z.read(n) for n in names]})
 
+    workers_find_us(bundles.sparkSession)
     return bundles.select(group, "bundle").mapInPandas(run, f"{group} {kind}, name string, content binary")

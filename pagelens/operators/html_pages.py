@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.scoring import FAQ_WORDS, STEP_WORDS
+from ..sources.shared import workers_find_us
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer"}
 RAW = {"script", "style", "template"}
@@ -299,6 +300,7 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
             for lo in range(0, len(rows), 500):
                 yield pa.RecordBatch.from_pylist(rows[lo : lo + 500], schema=arrow)
 
+    workers_find_us(pages.sparkSession)
     return pages.select(key, url, html).mapInArrow(run, schema)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import length_budget
+from ..sources.shared import workers_find_us
 from .html_pages import VOID
 
 MAX_DEPTH = 200
@@ -171,6 +172,7 @@ def scan_slots(templates: DataFrame) -> DataFrame:
                 rows = [{**s, "template_id": r["template_id"], "attrs": list(s["attrs"].items())} for s in found]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    workers_find_us(templates.sparkSession)
     return templates.select("template_id", "html").mapInArrow(run, SLOT)
 
 
@@ -276,6 +278,7 @@ def insert_points(templates: DataFrame) -> DataFrame:
                     at.append(None)
             yield pa.record_batch([b.column(0), pa.array(at, pa.int64())], ["template_id", "at"])
 
+    workers_find_us(templates.sparkSession)
     return templates.select(F.col("template_id").cast("long").alias("template_id"), "html").mapInArrow(run, "template_id long, at long")
 
 
@@ -343,6 +346,7 @@ def fill(templates: DataFrame, edits: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.list_(pa.string())]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["template_id", "filled", "violations"])
 
+    workers_find_us(both.sparkSession)
     return both.mapInArrow(run, "template_id long, filled string, violations array<string>")
 
 
@@ -369,6 +373,7 @@ def fingerprints(templates: DataFrame) -> DataFrame:
                     pass
             yield pa.record_batch([pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.int64()))], ["template_id", "tag", "n"])
 
+    workers_find_us(templates.sparkSession)
     return templates.select("template_id", "html").mapInArrow(run, "template_id long, tag string, n long")
 
 

@@ -28,3 +28,11 @@ def query(sql: str | None = None):
         return fn
 
     return add
+
+
+def streamed(load, name: str) -> DataFrame:
+    """The table as a stream of its files."""
+    at = load(name)
+    folder = at.inputFiles()[0].rpartition(f"/{name}.parquet")[0]
+    # As a pattern, the path may be a file or a folder of files.
+    return at.sparkSession.readStream.schema(at.schema).parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")

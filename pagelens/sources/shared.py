@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -9,6 +10,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def workers_find_us(spark: SparkSession) -> None:
+    """Python workers import this package from where the driver did, whatever folder they start in (a cluster gets it by --py-files)."""
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(":")
+    if _ROOT not in paths:
+        env["PYTHONPATH"] = ":".join([_ROOT, *filter(None, paths)])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; a local master without that setting gets a temporary one."""
     sc = spark.sparkContext

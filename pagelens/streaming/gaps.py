@@ -1,10 +1,7 @@
-"""Windows over time: sliding counts, session gaps, throttling; batch and streaming."""
+"""Windows over time: sliding counts, session gaps; batch and streaming."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,38 +49,3 @@ def polls(rows: DataFrame, key: str, ts: str, every: int = 3) -> DataFrame:
     """key, polls: looks at a fixed interval, from the first row of the key until the last is seen."""
     span = F.unix_timestamp(F.max(ts)) - F.unix_timestamp(F.min(ts))
     return rows.groupBy(key).agg((F.floor(span / every) + 1).cast("long").alias("polls"))
-
-
-class Throttle:
-    """Lockout by address: ``limit`` failures in ``window`` seconds lock for ``lock`` seconds; success clears."""
-
-    def __init__(self, limit: int = 8, window: float = 300, lock: float = 300):
-        self.limit, self.window, self.lock = limit, window, lock
-
-    def step(self, failures: list[float], locked_until: float, at: float, ok: bool) -> tuple[list[float], float, bool]:
-        """The next state, and whether this attempt is refused."""
-        if at < locked_until:
-            return failures, locked_until, True
-        if ok:
-            return [], 0.0, False
-        failures = [t for t in failures if at - t <= self.window] + [at]
-        return ([], at + self.lock, False) if len(failures) >= self.limit else (failures, 0.0, False)
-
-    def stream(self, attempts: DataFrame, key: str = "address") -> DataFrame:
-        """attempts: address, ts, ok. Adds refused; state is a bounded list of times for each address."""
-        from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-        def run(group, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-            times, until = state.get if state.exists else ([], 0.0)
-            times = list(times)
-            rows = pd.concat(list(parts)).sort_values("ts")
-            refused = []
-            for at, ok in zip(rows["ts"].dt.as_unit("ns").astype("int64") / 1e9, rows["ok"]):
-                times, until, no = self.step(times, until, float(at), bool(ok))
-                refused.append(no)
-            state.update((times, until))
-            yield pd.DataFrame({key: group[0], "ts": rows["ts"].to_numpy(), "ok": rows["ok"].to_numpy(), "refused": refused})
-
-        return attempts.groupBy(key).applyInPandasWithState(
-            run, f"{key} string, ts timestamp, ok boolean, refused boolean", "times array<double>, until double", "append", GroupStateTimeout.NoTimeout
-        )
