@@ -152,9 +152,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     return alone.unionAll(marked.where("_again").select("doc_id", "text", F.xxhash64("_h", nth).alias("_k"), "_row"))
 
 
-def running(sums: DataFrame, key: str, index: str, value: str) -> DataFrame:
+def running(sums: DataFrame, key: str, index: str, value: str, step: int = 4096) -> DataFrame:
     """key, index, before (sum of value at smaller indices of the key), all_of_key: in two steps, so that no task walks all indices of a hot key."""
-    step = 4096
     own = sums.select(F.col(key).alias("_s"), F.col(index).alias("_i"), F.floor(F.col(index) / step).alias("_g"), F.col(value).alias("_x"))
     groups = own.groupBy("_s", "_g").agg(F.sum("_x").alias("_x"))
     whole = Window.partitionBy("_s")

@@ -150,7 +150,7 @@ def drawn(scored: DataFrame, percent: int, least_words: int, scratch: Scratch) -
     counts = F.col("score").isNotNull() & (F.col("n_words") >= least_words)
     takes = percent * scored.where(counts).count() // 100
     levels = scored.where(counts).groupBy((-F.col("score")).alias("level")).count().withColumn("all", F.lit(0))
-    levels = scratch.put(running(levels, "all", "level", "count").where(F.col("before") < takes).select((-F.col("level")).alias("_s"), "before"), "levels")
+    levels = scratch.put(running(levels, "all", "level", "count", step=128).where(F.col("before") < takes).select((-F.col("level")).alias("_s"), "before"), "levels")
     lowest = levels.agg(F.min("_s")).first()[0]
     none = scored.withColumn("rank", F.lit(None).cast("long"))
     if lowest is None:
