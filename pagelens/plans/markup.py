@@ -164,9 +164,8 @@ def report_round_trip(load):
     at = f"{shared_folder(d.sparkSession)}/reports"
     page = F.struct(F.floor(F.col("n_chars") / 6).cast("int").alias("word_count"), F.struct(F.array(F.lit("x")).alias("h1"), F.lit(1).alias("h1_count")).alias("headings"))
     readers.write_reports(d.select(F.col("doc_id").cast("string").alias("requested_url"), F.col("lang").alias("keyword"), F.col("n_chars").cast("int").alias("seo_score"), page.alias("page")), at)
-    # One report a line here; single files are read with the same schema.
-    r = d.sparkSession.read.schema(readers.REPORT).json(at)
-    return r.select(F.col("requested_url").cast("long").alias("doc_id"), "keyword", "seo_score", "page.word_count", "page.headings.h1_count")
+    r = readers.read_reports(d.sparkSession, at)
+    return r.where("status = 'ok'").select(F.col("requested_url").cast("long").alias("doc_id"), "keyword", "seo_score", "page.word_count", "page.headings.h1_count")
 
 
 @query("select n_name as topic, 2::bigint as entities, case when n_nationkey % 2 = 0 then n_nationkey * 1.0 end as ideal_words from nation")
@@ -206,18 +205,30 @@ def provider_results(load):
     return found.join(questions, "keyword").select("keyword", F.col("position").cast("long").alias("position"), "url", "domain", "title", "asked")
 
 
-@query("""select o_orderkey, case when o_orderkey % 3 = 0 then 'fetched' else 'cached' end as came from orders""")
+@query("""select o_orderkey, case when o_orderkey % 3 = 0 or o_orderkey % 5 = 0 then 'fetched' else 'cached' end as came, 1::bigint as held from orders""")
 def cached_search(load):
-    """A result cache: hits are read, misses come from a source, and both are there afterwards (S-13, S-14, S-16)."""
+    """A result cache: what is fresh is read, what is missing or expired comes from a source and takes its place, so every key holds one row (S-13, S-14, S-16)."""
     o = load("orders").select("o_orderkey", F.lit("id").alias("region"), F.lit("serper").alias("provider"))
     spark = o.sparkSession
     at = f"{shared_folder(spark)}/cache"
-    stamp = F.when(F.col("o_orderkey") % 5 == 0, "2024-01-30 23:30:00").otherwise("2024-01-30 12:00:00")
-    cache.write_cache(o.where("o_orderkey % 3 <> 0").withColumns({"payload": F.lit("cached"), "fetched_at": stamp}), at)
+    stamp = F.when(F.col("o_orderkey") % 5 == 0, "2024-01-29 23:30:00").otherwise("2024-01-30 12:00:00")
+    cache.write_cache(o.where("o_orderkey % 3 <> 0").withColumns({"payload": F.lit("cached"), "fetched_at": stamp}), at, ["o_orderkey"])
     source = load("orders").select("o_orderkey", F.lit("fetched").alias("payload"))
     now = F.lit("2024-01-31 00:00:00").cast("timestamp")
     out = cache.search(o, at, source, ["o_orderkey"], now, 24.0)
-    return out.select("o_orderkey", F.col("payload").alias("came"))
+    held = cache.read_cache(spark, at, now, 1e6).groupBy("o_orderkey").agg(F.count("*").alias("held"))
+    return out.join(held, "o_orderkey").select("o_orderkey", F.col("payload").alias("came"), "held")
+
+
+@query("""select case when doc_id % 2 = 0 then 'ok' end as status, count(*)::bigint as n, sum(n_chars)::bigint as score from documents where doc_id % 2 = 0 group by 1 union all select 'corrupt', 2, null""")
+def report_files(load):
+    """Whole files of reports, two of which can't be read (S-12)."""
+    d = load("documents").where("doc_id % 2 = 0")
+    spark = d.sparkSession
+    at = f"{shared_folder(spark)}/reports"
+    readers.write_reports(d.select(F.col("doc_id").cast("string").alias("requested_url"), F.col("n_chars").cast("int").alias("seo_score")), at, 50)
+    d.limit(2).select(F.concat(F.lit("{cut off "), F.col("doc_id").cast("string")).alias("value"), F.monotonically_increasing_id().alias("file")).write.partitionBy("file").text(f"{at}/broken")
+    return readers.read_reports(spark, at).groupBy("status").agg(F.count("*").alias("n"), F.sum("seo_score").alias("score"))
 
 
 @query("select s_suppkey, 'https://a.b/' || s_suppkey as loc from supplier")
@@ -230,10 +241,12 @@ def sitemap_rows(load):
     return got.select(F.regexp_extract("loc", "([0-9]+)$", 1).cast("long").alias("s_suppkey"), "loc")
 
 
-@query(f"""select page_id, case when page_id % 10 = 3 then 'too large' else 'ok' end as status, case when page_id % 10 <> 3 then md5(html) end as html from pages""")
+@query(f"""select page_id, case when page_id % 10 = 3 then 'too large' else 'ok' end as status, case when page_id % 10 <> 3 then md5(html || chr(10)) end as html from pages""")
 def template_files(load):
-    """Template files read with their status: too large ones keep a row (S-24, S-25)."""
+    """Template files written and read whole, with their status: too large ones keep a row, others' names aren't read (S-24, S-25)."""
     p = load("pages")
-    rows = p.select("page_id", F.when(F.col("page_id") % 10 == 3, F.concat("html", F.repeat(F.lit(" "), 200_000))).otherwise(F.col("html")).alias("html"))
-    out = readers.checked_templates(rows.select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content")), 200_000)
-    return out.select(F.col("path").cast("long").alias("page_id"), "status", F.md5("html").alias("html"))
+    at = f"{shared_folder(p.sparkSession)}/templates"
+    html = F.when(F.col("page_id") % 10 == 3, F.concat("html", F.repeat(F.lit(" "), 200_000))).otherwise(F.col("html"))
+    p.select("page_id", html.alias("value")).write.partitionBy("page_id").text(at)
+    out = readers.read_templates(p.sparkSession, at, 200_000, "*.txt")
+    return out.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "status", F.md5("html").alias("html"))

@@ -1,10 +1,20 @@
-"""A result cache of Parquet partitions with a time to live."""
+"""A result cache with a time to live: one row for each key, the last writer's.
+
+The cache is a table of versions in buckets of the key's hash. Writing rewrites the
+buckets of the keys that are written and leaves out what has expired there, so rows don't
+pile up, and readers see a version whole while it happens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import shared_folder
+from .snapshots import Snapshots
+
+PLACE = ["region", "provider"]
+
 
 def still_valid(fetched_at: Column, now: Column, ttl_hours: float) -> Column:
     """Not older than the limit; an unreadable time is never valid."""
@@ -12,12 +22,28 @@ def still_valid(fetched_at: Column, now: Column, ttl_hours: float) -> Column:
 
 
 def read_cache(spark: SparkSession, path: str, now: Column, ttl_hours: float) -> DataFrame:
-    return spark.read.parquet(path).where(still_valid(F.col("fetched_at"), now, ttl_hours))
+    """The rows that are still valid."""
+    return Snapshots(spark, path).read().where(still_valid(F.col("fetched_at"), now, ttl_hours))
+
+
+def write_cache(payloads: DataFrame, path: str, keys: list[str], now: Column | None = None, ttl_hours: float = 24.0, buckets: int = 16) -> None:
+    """Rows take the place of those with their keys, region and provider; of several with one key the latest stays. With ``now``, expired rows of the same buckets go.
+
+    payloads: keys, region, provider, fetched_at, and more.
+    """
+    every = [*keys, *PLACE]
+    rest = [c for c in payloads.columns if c not in every]
+    last = payloads.groupBy(*every).agg(F.max_by(F.struct(*rest), "fetched_at").alias("_x"), F.first(F.struct(*rest)).alias("_y"))
+    rows = last.select(*every, F.coalesce("_x", "_y").alias("_x")).select(*every, "_x.*").select(*payloads.columns)
+    table = Snapshots(payloads.sparkSession, path)
+    if not table.versions():
+        table.create(rows.limit(0), every, buckets)
 
+    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+        kept = old if now is None else old.where(still_valid(F.col("fetched_at"), now, ttl_hours))
+        return kept.join(new.select(*every), every, "left_anti").unionByName(new)
 
-def write_cache(payloads: DataFrame, path: str) -> None:
-    """Overwrites only the (region, provider) partitions that the rows have."""
-    payloads.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("region", "provider").parquet(path)
+    table.merge(rows, combine)
 
 
 def lookup(requests: DataFrame, cached: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -26,18 +52,18 @@ def lookup(requests: DataFrame, cached: DataFrame, keys: list[str]) -> tuple[Dat
 
 
 def search(requests: DataFrame, path: str, source: DataFrame, keys: list[str], now: Column, ttl_hours: float) -> DataFrame:
-    """requests with payload: from the cache where it is fresh, else from the source, whose rows then join the cache.
+    """requests with payload: from the cache where it is fresh, else from the source, whose rows then take the expired ones' place.
 
-    requests: keys, region, provider. source: keys, payload. What the cache held and still
-    holds is written again with the new rows, partition by partition.
+    requests: keys, region, provider. source: keys, payload. What is fetched is written
+    to a folder of this call's own first, so that the source is asked once.
     """
     spark = requests.sparkSession
-    cached = read_cache(spark, path, now, ttl_hours).select(*keys, "region", "provider", "payload", "fetched_at")
-    hits, misses = lookup(requests, cached, [*keys, "region", "provider"])
+    cached = read_cache(spark, path, now, ttl_hours).select(*keys, *PLACE, "payload", "fetched_at")
+    hits, misses = lookup(requests.select(*keys, *PLACE), cached, [*keys, *PLACE])
     stamp = F.date_format(now, "yyyy-MM-dd HH:mm:ss")
-    fetched = misses.join(source.select(*keys, "payload"), keys).select(*keys, "region", "provider", "payload", stamp.alias("fetched_at"))
-    fresh = f"{path}-fetched"
-    fetched.write.mode("overwrite").parquet(fresh)
-    fetched = spark.read.parquet(fresh)
-    fetched.write.mode("append").partitionBy("region", "provider").parquet(path)
-    return hits.unionByName(fetched)
+    fetched = misses.distinct().join(source.select(*keys, "payload"), keys).select(*keys, *PLACE, "payload", stamp.alias("fetched_at"))
+    fresh = f"{shared_folder(spark)}/fetched"
+    fetched.write.parquet(fresh)
+    fetched = spark.read.schema(fetched.schema).parquet(fresh)
+    write_cache(fetched, path, keys, now, ttl_hours)
+    return hits.unionByName(misses.join(fetched, [*keys, *PLACE]))

@@ -33,13 +33,23 @@ RULE_KEYS = {
 }
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Audit reports, one JSON document a file; keys a report lacks are null."""
-    return spark.read.schema(REPORT).json(path, multiLine=True)
+def read_reports(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Audit reports of the files under a path, each one JSON document or an array of them, with status (ok, corrupt).
 
+    Keys a report lacks are null; a file that can't be read as JSON gives one corrupt row
+    without a report.
+    """
+    rows = spark.read.schema(f"{REPORT}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    return rows.withColumn("status", F.when(F.col("_corrupt").isNull(), "ok").otherwise("corrupt")).drop("_corrupt")
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    reports.write.mode("append").json(path)
+
+def write_reports(reports: DataFrame, path: str, per_file: int = 500) -> None:
+    """Reports as files of JSON arrays, some ``per_file`` in each."""
+    files = max(-(-reports.count() // per_file), 1)
+    number = F.pmod(F.xxhash64("requested_url"), F.lit(files)).alias("file")
+    arrays = reports.select(number, F.struct("*").alias("_r")).groupBy("file").agg(F.to_json(F.collect_list("_r")).alias("value"))
+    # A folder a row, so that a file holds one array.
+    arrays.write.mode("append").partitionBy("file").text(path)
 
 
 def read_intents(spark: SparkSession, path: str) -> DataFrame:
@@ -89,9 +99,11 @@ def run_provider(name: str, payloads: DataFrame, column: str) -> DataFrame:
     return PROVIDERS[name](payloads, column)
 
 
-def read_templates(spark: SparkSession, path: str, max_bytes: int = 2 << 20) -> DataFrame:
-    """path, html, status of the files under a path."""
-    return checked_templates(spark.read.format("binaryFile").load(path), max_bytes)
+def read_templates(spark: SparkSession, path: str, max_bytes: int = 2 << 20, glob: str = "*") -> DataFrame:
+    """path, html, status of the files under a path whose names fit. Files beyond the limit aren't read, their size tells."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    large = files.where(F.col("length") > max_bytes).select("path", F.lit(None).cast("string").alias("html"), F.lit("too large").alias("status"))
+    return checked_templates(files.where(F.col("length") <= max_bytes).select("path", "content"), max_bytes).unionByName(large)
 
 
 def checked_templates(files: DataFrame, max_bytes: int = 2 << 20) -> DataFrame:

@@ -42,13 +42,30 @@ def test_first_success(spark):
 def test_cache(spark, tmp_path):
     now = F.lit("2024-01-03 00:00:00").cast("timestamp")
     rows = [("a", "id", "serper", "2024-01-02 12:00:00"), ("b", "id", "serper", "2023-12-01 00:00:00"), ("c", "th", "serper", "junk")]
-    cache.write_cache(spark.createDataFrame(rows, "keyword string, region string, provider string, fetched_at string"), str(tmp_path / "c"))
+    cache.write_cache(spark.createDataFrame(rows, "keyword string, region string, provider string, fetched_at string"), str(tmp_path / "c"), ["keyword"])
     got = cache.read_cache(spark, str(tmp_path / "c"), now, 24)
     assert [r.keyword for r in got.collect()] == ["a"]
     hits, misses = cache.lookup(spark.createDataFrame([("a",), ("z",)], "keyword string"), got, ["keyword"])
     assert hits.count() == 1 and [r.keyword for r in misses.collect()] == ["z"]
 
 
+def test_cache_keeps_one_row_a_key(spark, tmp_path):
+    """A refetch takes the expired row's place, twice too, and what else has expired in its bucket goes."""
+    at, now = str(tmp_path / "c"), F.lit("2024-01-03 00:00:00").cast("timestamp")
+    schema = "keyword string, region string, provider string, payload string, fetched_at string"
+    old = [(k, "id", "serper", "old", "2023-12-01 00:00:00") for k in "abcdef"] + [("a", "id", "serper", "older", "2023-11-01 00:00:00"), ("x", "id", "serper", "odd", None)]
+    cache.write_cache(spark.createDataFrame(old, schema), at, ["keyword"], buckets=1)
+    assert cache.read_cache(spark, at, now, 1e6).where("keyword = 'a'").first().payload == "old"
+    source = spark.createDataFrame([("a", "new"), ("b", "new")], "keyword string, payload string")
+    asked = spark.createDataFrame([("a", "id", "serper"), ("a", "id", "serper"), ("b", "id", "serper"), ("q", "id", "serper")], "keyword string, region string, provider string")
+    for _ in range(2):
+        got = cache.search(asked, at, source, ["keyword"], now, 24.0).collect()
+        assert sorted((r.keyword, r.payload) for r in got) == [("a", "new"), ("a", "new"), ("b", "new")]
+        from pagelens.sources.snapshots import Snapshots
+
+        assert sorted((r.keyword, r.payload) for r in Snapshots(spark, at).read().collect()) == [("a", "new"), ("b", "new")]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"id:shoes": ["http://a.x/1", "http://www.a.x/2", "ftp://n", "http://b.x"], "hats": ["http://c.x"]}')
     got = readers.read_manual_results(spark, str(tmp_path / "m.json"), "shoes", "id").orderBy("position").collect()
