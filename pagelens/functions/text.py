@@ -6,6 +6,8 @@ Java's ``\\s`` and ``\\w`` are ASCII unless ``(?U)`` is set, so it always is.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,20 +99,34 @@ def keyword_tokens(keyword: Column) -> Column:
     return F.when(F.length(key) == 0, F.array().cast("array<string>")).when(is_unspaced(key), F.array(key)).otherwise(words)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once: an expression that a lambda names is worked out for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def token_set(x: Column, limit: int = TOKEN_LIMIT) -> Column:
     """Sorted distinct words of four letters or more, and 4-grams of unspaced script; the first ``limit``."""
-    body = F.lower(text_of(x))
-    words = F.regexp_extract_all(body, F.lit(r"[\p{L}\p{Nl}\p{No}]{4,}"), F.lit(0))
-    thai = F.regexp_replace(body, f"[^{THAI}]", "")
-    grams = F.when(F.length(thai) >= 4, F.transform(F.sequence(F.lit(1), F.length(thai) - 3), lambda i: F.substring(thai, i, F.lit(4)))).otherwise(F.array().cast("array<string>"))
-    both = F.when(is_unspaced(body), F.array_union(grams, words)).otherwise(words)
-    return F.slice(F.array_sort(F.array_distinct(both)), 1, limit)
+    none = F.array().cast("array<string>")
+
+    def grams(thai: Column) -> Column:
+        return F.when(F.length(thai) >= 4, F.transform(F.sequence(F.lit(1), F.length(thai) - 3), lambda i: F.substring(thai, i, F.lit(4)))).otherwise(none)
+
+    def tokens(body: Column) -> Column:
+        words = F.regexp_extract_all(body, F.lit(r"[\p{L}\p{Nl}\p{No}]{4,}"), F.lit(0))
+        return F.when(is_unspaced(body), F.concat(let(F.regexp_replace(body, f"[^{THAI}]", ""), grams), words)).otherwise(words)
+
+    return F.slice(F.sort_array(F.array_distinct(let(F.lower(text_of(x)), tokens))), 1, limit)
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Jaccard of two token sets; two empty sets are alike."""
-    both = F.size(F.array_union(a, b))
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), both))
+    """Jaccard of two token sets (arrays without repeats); two empty sets are alike."""
+
+    def share(s: Column) -> Column:
+        both = F.size(s["a"]) + F.size(s["b"]) - s["n"]
+        return F.when(both == 0, F.lit(1.0)).otherwise(F.try_divide(s["n"].cast("double"), both))
+
+    counted = let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.size(F.array_intersect(s["a"], s["b"])).alias("n")))
+    return let(counted, share)
 
 
 def anchor_id(x: Column, fallback: str = "bagian") -> Column:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import in_order
+
 STATUSES = ["queued", "running", "success", "error", "cancelled"]
 
 
 def append(table: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
-    """New rows get ids after the largest one. The window numbers one batch of inserts."""
-    top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    numbered = rows.crossJoin(F.broadcast(top)).withColumn(key, (F.col("_top") + F.row_number().over(Window.orderBy(order))).cast("long")).drop("_top")
-    return table.unionByName(numbered, allowMissingColumns=True)
+    """New rows get ids after the largest one, in the order; each task numbers its own range of them."""
+    top = table.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    placed, _ = in_order(rows, [order])
+    return table.unionByName(placed.withColumn(key, (F.col("_n") + 1 + top).cast("long")).drop("_n"), allowMissingColumns=True)
 
 
 def update(table: DataFrame, where: Column, changes: dict[str, Column]) -> DataFrame:

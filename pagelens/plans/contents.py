@@ -104,16 +104,22 @@ def legacy_reports(load):
     return readers.legacy_reports(parse_pages(load("pages"))).select("page_id", "http_status", "title", "h1", "word_count", "seo_score")
 
 
-@query("""with h as (select s_suppkey, 'h' || s_suppkey % 7 || '.c' as domain, 'https://H' || s_suppkey % 7 || '.c/' || s_suppkey as url, row_number() over (partition by s_suppkey % 7 order by s_suppkey) as n from supplier)
-select row_number() over (order by s_suppkey)::bigint as position, url, domain from h where n = 1""")
+@query("""with h as (select s_suppkey, s_nationkey, 'h' || s_suppkey % 7 || '.c' as domain, 'https://H' || s_suppkey % 7 || '.c/' || s_suppkey as url, row_number() over (partition by s_nationkey, s_suppkey % 7 order by s_suppkey) as n from supplier)
+select 'kw ' || s_nationkey as keyword, row_number() over (partition by s_nationkey order by s_suppkey)::bigint as position, url, domain from h where n = 1 qualify position <= 10""")
 def manual_results(load):
-    """A result list from a file: the region's own list is empty, so the keyword's counts; one result for each domain (S-6, J-14, W-1)."""
-    k = F.col("s_suppkey")
-    s = load("supplier").select("s_suppkey", F.concat(F.lit("https://H"), (k % 7).cast("string"), F.lit(".c/"), k.cast("string")).alias("url"))
-    at = f"{shared_folder(s.sparkSession)}/manual"
-    urls = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "url"))), lambda x: x["url"])
-    s.agg(F.to_json(F.create_map(F.lit("id:kw"), F.array().cast("array<string>"), F.lit("kw"), urls)).alias("value")).write.mode("overwrite").text(at)  # one file by its nature
-    return readers.read_manual_results(s.sparkSession, at, "kw", "id").select(F.col("position").cast("long").alias("position"), "url", "domain")
+    """Result lists from files, one for each nation: a region's own list where it holds any, else the keyword's; one result for each domain (S-6, J-14, W-1)."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    s = load("supplier").select("s_nationkey", "s_suppkey", F.concat(F.lit("https://H"), (k % 7).cast("string"), F.lit(".c/"), k.cast("string")).alias("url"))
+    spark = s.sparkSession
+    at = f"{shared_folder(spark)}/manual"
+    urls = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "url"))), lambda x: x["url"])  # a nation's list is one entry of its file
+    key, none = F.concat(F.lit("kw "), n.cast("string")), F.array().cast("array<string>")
+    lists = s.groupBy("s_nationkey").agg(urls.alias("urls"))
+    # Every second nation has its list under its region; the others have an empty one there.
+    entries = F.when(n % 2 == 0, F.create_map(F.concat(F.lit("id:"), key), F.col("urls"), key, F.array(F.lit("https://other.c/")))).otherwise(F.create_map(F.concat(F.lit("id:"), key), none, key, F.col("urls")))
+    lists.select("s_nationkey", F.to_json(entries).alias("value")).write.partitionBy("s_nationkey").text(at)
+    asked = lists.select(key.alias("keyword"), F.lit("id").alias("region"))
+    return readers.manual_results_of(asked, readers.read_manual_lists(spark, at)).select("keyword", F.col("position").cast("long").alias("position"), "url", "domain")
 
 
 @query("select page_id, 'a{b:' || page_id || '}' || chr(10) || 'c{}' as css from pages")

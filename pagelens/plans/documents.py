@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import blueprint, joins, ranking
-from .registry import ORACLE, query
+from .registry import query
 
 def kw():
     return F.lit("the")
@@ -184,18 +184,6 @@ def duplicate_headings(load):
     return d.select("doc_id", F.array_join("d", "|").alias("duplicates"))
 
 
-@query(ORACLE["heading_score"])
-def heading_score_all(load):
-    """The same under its older name."""
-    return heading_score(load)
-
-
-@query(ORACLE["duplicate_headings"])
-def duplicate_headings_all(load):
-    """The same under its older name."""
-    return duplicate_headings(load)
-
-
 @query(r"""with l as (select unnest(string_split(text, chr(10))) as line from documents),
 c as (select trim(regexp_replace(line, '\s+', ' ', 'g')) as heading from l)
 select heading, count(*)::bigint as n from c where length(heading) between 8 and 120 group by heading order by n desc, heading limit 25""")
@@ -242,7 +230,7 @@ select doc_id, keyword, topic from m where rn = 1""")
 def topic_match(load):
     """Exact topic first, else the first that contains the keyword or is contained in it."""
     docs = load("documents").select("doc_id", F.lower(F.regexp_extract("text", r"^\S+", 0)).alias("keyword"))
-    return joins.match_topic(docs, "doc_id", "keyword", _topics(docs)).where("topic is not null").select("doc_id", "keyword", "topic")
+    return joins.topics_of(docs, "keyword", _topics(docs).select("ord", "topic")).where("topic is not null").select("doc_id", "keyword", "topic")
 
 
 @query(f"""with {_TOPIC_SQL}, d as (select doc_id, lower({SQUASH}) as body, entities from documents, topics where topic = 'seo')
@@ -345,12 +333,6 @@ def unique_anchor_ids(load):
     return ranking.unique_ids(lines, ["doc_id"], "base", "pos").select("doc_id", "pos", F.col("unique_id").alias("anchor"))
 
 
-@query(ORACLE["unique_anchor_ids"])
-def unique_anchor_ids_all(load):
-    """The same under its older name."""
-    return unique_anchor_ids(load)
-
-
 @query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
 n as (select doc_id, pos, ntile(3) over (partition by doc_id order by pos) as part from l) select doc_id, part::bigint as part, count(*)::bigint as lines, min(pos)::bigint as first from n group by all""")
 def ntile_split(load):

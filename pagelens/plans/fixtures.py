@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import intent
 from ..operators import templates
+from ..sources.shared import pinned
 from . import pipeline
 from .pages import _TITLE, _WC
 from .registry import query
@@ -27,10 +28,10 @@ def intent_label(load):
     return intent.predict(model, docs.select("doc_id", "keyword", "held_out")).select("doc_id", "held_out", "predicted", "confidence")
 
 
-def _lists(load):
+def _lists(load, keyword=None, pages=None):
     """Every page in a result list of ten, as a browser got it and as a bot did: bots get another text from every seventh page, and nothing from some."""
-    pages = load("pages")
-    keyword = F.concat(F.lit("the "), F.floor(F.col("page_id") / 10).cast("string"))
+    pages = load("pages") if pages is None else pages
+    keyword = F.concat(F.lit("the "), F.floor(F.col("page_id") / 10).cast("string")) if keyword is None else keyword
     results = pages.select(keyword.alias("keyword"), (F.col("page_id") % 10 + 1).alias("position"), F.concat_ws("#", "url", F.col("page_id").cast("string")).alias("url"))
     own = pages.withColumn("url", F.concat_ws("#", "url", F.col("page_id").cast("string")))
     seen = own.select((F.col("page_id") * 2).alias("page_id"), "url", F.lit("browser").alias("agent"), "html")
@@ -57,7 +58,7 @@ def page_blueprint(load):
     """One row for each keyword, from all of its usable pages (A-1, A-4..A-10, P-36)."""
     results, fetched = _lists(load)
     # Usable by size alone, since the lists' keywords aren't words of the pages.
-    facts = pipeline.page_facts(results, fetched).withColumn("usable", F.col("page.word_count") >= 150)
+    facts = pinned(pipeline.page_facts(results, fetched).withColumn("usable", F.col("page.word_count") >= 150), "facts")
     b = pipeline.blueprint(facts).where("not hijack_fallback")
     return b.select(
         "keyword", "analyzed_pages", "word_count_median", "word_count_top5_median", "word_count_max", "title_length_median", "faq_percentage", "failed_pages",
@@ -65,6 +66,27 @@ def page_blueprint(load):
     )
 
 
+@query(f"""with m as (select page_id, chr((97 + page_id // 10 % 26)::int) as keyword, page_id % 10 + 1 as position, page_id % 7 = 0 and page_id % 11 <> 10 as swapped, {_WC} as wc, {_TITLE} as title from pages),
+f as (select page_id, keyword, position, case when swapped then 4 else wc end as words, case when swapped then 'x' else title end as title, page_id % 3 = 0 and not swapped as schema, not swapped and wc >= 150 as usable from m),
+t as (select keyword, coalesce(round(median(words) filter (where usable), 1), round(median(words), 1)) as median,
+coalesce(round(100.0 * count(*) filter (where usable and schema) / nullif(count(*) filter (where usable), 0), 1), round(100.0 * count(*) filter (where schema) / count(*), 1)) as faq from f group by keyword)
+select page_id, keyword, position, array_to_string(list_filter([case when words >= median then 'words' end, case when contains(lower(title), keyword) then 'keyword_in_title' end, case when schema then 'faq' end, case when schema then 'schema:Extra,FAQPage,Page' end], lambda x: x is not null), '|') as strengths,
+array_to_string(list_filter([case when words < median then 'few_words' end, case when not contains(lower(title), keyword) then 'keyword_not_in_title' end, case when not schema then 'no_schema' end], lambda x: x is not null), '|') as weaknesses, faq::double as faq_percentage
+from f join t using (keyword)""")
+def page_insight(load):
+    """What each result does better and worse than its keyword's targets, with the numbers of the advice (X-2)."""
+    extra = F.when(F.col("page_id") % 3 == 0, F.lit('<script type="application/ld+json">{"@type": ["Page", "FAQPage", "Thing", "Extra"]}</script></head>')).otherwise("</head>")
+    pages = load("pages").withColumn("html", F.replace("html", F.lit("</head>"), extra))
+    letter = F.char(F.lit(97) + F.floor(F.col("page_id") / 10) % 26)
+    results, fetched = _lists(load, letter, pages)
+    facts = pinned(pipeline.page_facts(results, fetched).withColumn("usable", F.col("page.word_count") >= 150), "facts")
+    b = pipeline.blueprint(facts)
+    out = pipeline.insight(facts.withColumn("domain", F.col("url")), b).join(pipeline.advice(b).select("keyword", "gaps.faq_percentage"), "keyword")
+    return out.select(
+        F.regexp_extract("domain", "#([0-9]+)$", 1).cast("long").alias("page_id"), "keyword", "position", F.array_join("strengths", "|").alias("strengths"), F.array_join("weaknesses", "|").alias("weaknesses"), "faq_percentage",
+    )
+
+
 @query("""select s_suppkey as root, case when s_suppkey % 3 = 0 then 500 when s_suppkey % 3 = 1 then 100 end::bigint as root_words, case when s_suppkey % 3 = 0 then 5 when s_suppkey % 3 = 1 then 1 end::bigint as root_hits from supplier where s_suppkey % 3 <> 2""")
 def root_probes(load):
     """Root domains by their https answer, or else the http one (S-3)."""

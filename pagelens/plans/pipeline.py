@@ -117,3 +117,29 @@ def blueprint(facts: DataFrame) -> DataFrame:
     for part in parts:
         out = out.join(part, "keyword", "left")
     return out
+
+
+def insight(facts: DataFrame, blueprints: DataFrame) -> DataFrame:
+    """keyword, position, domain, status, strengths (four at most), weaknesses (three), score, h2_count, internal_count: each result against its keyword's targets.
+
+    Names stand for the messages. A page that wasn't fetched has empty lists and no numbers.
+    """
+    p, ok = F.col("page"), F.col("status") == "ok"
+    own = facts.join(blueprints.select("keyword", F.col("word_count_median").alias("_median")), "keyword", "left")
+    enough, titled, schema = p["word_count"] >= F.col("_median"), F.col("flags.in_title"), p["signals"]["schema_types"]
+    good = [(enough, F.lit("words")), (titled, F.lit("keyword_in_title")), (p["signals"]["has_faq"], F.lit("faq")), (F.size(schema) > 0, F.concat(F.lit("schema:"), F.array_join(F.slice(schema, 1, 3), ",")))]
+    bad = [(~enough, F.lit("few_words")), (~titled, F.lit("keyword_not_in_title")), (F.size(schema) == 0, F.lit("no_schema"))]
+    names = lambda cs, k: F.slice(F.array_compact(F.array(*[F.when(ok & c, n) for c, n in cs])), 1, k)
+    return own.select(
+        "keyword", "position", "domain", "status", names(good, 4).alias("strengths"), names(bad, 3).alias("weaknesses"),
+        F.when(ok, F.col("seo_score")).alias("score"), p["h2_count"].alias("h2_count"), F.size(p["internal"]).alias("internal_count"),
+    )
+
+
+def advice(blueprints: DataFrame) -> DataFrame:
+    """keyword, summary, gaps, strategy: the numbers that stand in the page-one summary, its gaps and the advice."""
+    whole = lambda c: F.col(c).cast("int").alias(c)
+    return blueprints.select(
+        "keyword", F.struct("word_count_median", "h2_median", "faq_percentage").alias("summary"), F.struct("faq_percentage", "amp_percentage", "table_percentage").alias("gaps"),
+        F.struct(whole("word_count_top5_median"), whole("h2_median"), whole("internal_links_median")).alias("strategy"),
+    )

@@ -75,6 +75,21 @@ def read_manual_results(spark: SparkSession, path: str, keyword: str, region: st
     return first_per_domain(rows, domain(F.col("url")), ["ord"], limit).select("position", "url", "domain")
 
 
+def read_manual_lists(spark: SparkSession, path: str) -> DataFrame:
+    """name (keyword or region:keyword), urls of all files of lists under a path."""
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("name", "urls"))
+
+
+def manual_results_of(requests: DataFrame, lists: DataFrame, limit: int = 10) -> DataFrame:
+    """keyword, region, position, url, domain: each request's list, the region's own if it holds anything, else the keyword's. requests: keyword, region."""
+    names = requests.select("keyword", "region", F.explode(F.array(F.struct(F.lit(0).alias("tier"), F.concat_ws(":", "region", "keyword").alias("name")), F.struct(F.lit(1).alias("tier"), F.col("keyword").alias("name")))).alias("n"))
+    found = names.select("keyword", "region", "n.*").join(lists.where(F.size("urls") > 0), "name")
+    own = found.groupBy("keyword", "region").agg(F.min_by("urls", "tier").alias("urls"))
+    rows = own.select("keyword", "region", F.posexplode("urls").alias("ord", "url")).where(F.col("url").rlike("^https?://"))
+    return first_per_domain(rows, domain(F.col("url")), ["ord"], limit, ["keyword", "region"]).drop("ord")
+
+
 def read_provider_results(payloads: DataFrame, column: str, field: str, limit: int = 10) -> DataFrame:
     """keyword, position, url, title, snippet, domain from stored provider replies (JSON text); field is organic or items."""
     reply = F.from_json(column, f"struct<{field}:{RESULT}>")[field]

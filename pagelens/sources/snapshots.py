@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import in_order
+
 
 class Conflict(RuntimeError):
     """Others changed the same buckets, as often as the change was tried."""
@@ -169,25 +171,9 @@ class Snapshots:
 
     def insert(self, rows: DataFrame, id_column: str, order: list[str]) -> int:
         """New rows with the next free ids, ascending in the order; no task numbers more than its own partition."""
-        at = f"{self.root}/staged/{uuid.uuid4().hex}"
-        sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-        sorted_rows.withColumn("_at", F.monotonically_increasing_id()).write.parquet(at)
-        staged = self.spark.read.parquet(at).select(*rows.columns, F.shiftright("_at", 33).alias("_p"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_i"))
-        counts = staged.groupBy("_p").count().orderBy("_p").collect()  # a row for each partition
-        begins, total = [], 0
-        for r in counts:
-            begins.append((r["_p"], total))
-            total += r["count"]
-        offsets = self.spark.createDataFrame(begins, "_p long, _before long")
-
-        def numbered(m: dict) -> DataFrame:
-            with_id = staged.join(F.broadcast(offsets), "_p").withColumn(id_column, F.col("_before") + F.col("_i") + m["next_id"])
-            return with_id.drop("_p", "_i", "_before")
-
-        try:
-            return self.change(lambda m: self._of(numbered(m))(m), lambda old, m: old.unionByName(numbered(m)), takes_ids=total)
-        finally:
-            self.files.delete(at)
+        placed, total = in_order(rows, order)
+        numbered = lambda m: placed.withColumn(id_column, F.col("_n") + m["next_id"]).drop("_n")
+        return self.change(lambda m: self._of(numbered(m))(m), lambda old, m: old.unionByName(numbered(m)), takes_ids=total)
 
     def vacuum(self, keep: int = 2) -> int:
         """Deletes all but the last versions, and the folders that only they named; how many versions went. Drafts of running writers stay."""
