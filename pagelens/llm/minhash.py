@@ -263,6 +263,8 @@ def settle(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: in
     """
     twos, firsts = _unsettled(members, sets, labels, threshold, scratch)
     labels = _merge(labels, scratch.put(confirm(twos, sets, threshold), "twos"), scratch)
+    if firsts.isEmpty():
+        return labels
     label = lambda t, d, to: t.join(labels.toDF(d, to), d, "left").withColumn(to, F.coalesce(to, d))
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     for turn in range(CENTRES):
@@ -272,19 +274,27 @@ def settle(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: in
         centre = one.groupBy("s").agg(F.min_by(F.struct("label", "m"), F.xxhash64(F.lit(turn), "label")).alias("c"), F.count("*").alias("k")).where("k > 1").select("s", "c")
         met = own.toDF("s", "a", "na", "pa", "la").join(scratch.put(centre, "centre").select("s", F.col("c.label").alias("lb"), F.col("c.m.doc_id").alias("b"), F.col("c.m.n").alias("nb"), F.col("c.m.at").alias("pb")), "s")
         todo = scratch.put(met.where(_may_match(threshold)).select(*pair).distinct(), "met")
+        if todo.isEmpty():
+            break
         labels = _merge(labels, scratch.put(confirm(todo, sets, threshold), "confirmed"), scratch)
     own = scratch.put(label(firsts, "doc_id", "label"), "labelled")
     several = own.groupBy("s").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("s")
     own = scratch.put(own.join(several, "s", "left_semi"), "several")
+    if own.isEmpty():
+        return labels
     # One of both is at a place that suffices for the smaller set.
     near = own.where((100 + threshold) * (F.col("n") - F.col("at")) >= 2 * threshold * F.col("n"))
     both = near.toDF("s", "a", "na", "pa", "la").join(own.toDF("s", "b", "nb", "pb", "lb"), "s").where("na < nb or (na = nb and a < b)").where(_may_match(threshold))
     todo = scratch.put(both.select(*pair).distinct(), "rest")
+    if todo.isEmpty():
+        return labels
     return _merge(labels, scratch.put(confirm(todo, sets, threshold), "missed"), scratch)
 
 
 def _merge(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component after further links between the components."""
+    if links.isEmpty():
+        return labels
     joined = _apart(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b"))
     over = scratch.put(components(joined, scratch).toDF("component", "top"), "over")
     known = labels.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
