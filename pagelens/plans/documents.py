@@ -283,20 +283,6 @@ def rank_candidates(load):
     return out.select("lang", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""with m as (select doc_id, {WORDS} as wc, {HITS} as hits, n_chars % 101 as seo, n_chars % 83 as heading, n_chars % 67 as entity from documents)
-select a.doc_id as a, b.doc_id as b, (b.wc - a.wc)::double as word_count, (b.seo - a.seo)::double as seo_score,
-round(coalesce(b.hits::double / nullif(b.wc, 0) * 100, 0) - coalesce(a.hits::double / nullif(a.wc, 0) * 100, 0), 2) as keyword_density,
-case when a.seo + a.heading + a.entity > b.seo + b.heading + b.entity then 'your_website' when a.seo + a.heading + a.entity < b.seo + b.heading + b.entity then 'competitor' else 'tie' end as winner
-from m a join m b on b.doc_id = a.doc_id + 1""")
-def compare_pairs(load):
-    w, h = T.count_words(F.col("text")), T.count_keyword(F.col("text"), kw())
-    density = F.coalesce(F.try_divide(h.cast("double"), w) * 100, F.lit(0.0))
-    n = F.col("n_chars")
-    m = load("documents").select("doc_id", F.struct((n % 101).alias("seo_score"), w.alias("word_count"), (n % 83).alias("heading_score"), (n % 67).alias("entity_coverage"), density.alias("keyword_density"), F.lit(0).alias("internal_links")).alias("m"))
-    out = joins.compare_reports(joins.pair_up(m, "doc_id", 1), "m_a", "m_b")
-    return out.select("a", "b", F.col("differences.word_count"), F.col("differences.seo_score"), F.col("differences.keyword_density"), "winner")
-
-
 @query(f"select doc_id, substr(sha1('serper|id|' || {FIRST}), 1, 10) as key from documents")
 def cache_key(load):
     return load("documents").select("doc_id", T.cache_key(first_line(), F.lit("serper"), F.lit("id")).alias("key"))

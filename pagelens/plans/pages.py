@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import amp, joins, ranking
 from ..operators.html_pages import parse_pages
+from ..sources.shared import pinned
 from .registry import query
 
 def kw():
@@ -109,6 +110,24 @@ def seo_score_pages(load):
     return _scored(load, S.DEFAULT_RULES)
 
 
+_SAID = ["the", "quality", "tion", "zzz"]
+
+
+@query(f"""{_M}, e as (select page_id, lower({_sql_text(_PLAIN)}) as body from pages),
+s as (select m.*, {_SCORE} as seo, round(25.0 * ({" + ".join(f"contains(body, '{w}')::int" for w in _SAID)}), 2) as entity from m join e using (page_id))
+select a.page_id as a, b.page_id as b, (b.wc - a.wc)::double as word_count, (b.seo - a.seo)::double as seo_score, (b.entity - a.entity)::double as entity_coverage, (b.links - a.links)::double as internal_links,
+case when a.seo + a.entity > b.seo + b.entity then 'your_website' when a.seo + a.entity < b.seo + b.entity then 'competitor' else 'tie' end as winner from s a join s b on b.page_id = a.page_id + 1""")
+def compare_pairs(load):
+    """Each page's report against the next one's: scores, words, links and entities as they were parsed (J-1). Headings count alike here."""
+    p = parse_pages(load("pages")).select("page_id", "page", F.col("page.visible_text").alias("body"), F.array(*map(F.lit, _SAID)).alias("said"))
+    c = lambda n: F.col(f"page.{n}")
+    measures = [c("title_length"), c("meta_description_length"), c("h1_count"), c("word_count"), F.size(c("images_without_alt")), F.size(c("internal")), c("canonical"), c("robots_meta")]
+    report = F.struct(S.page_score(S.DEFAULT_RULES, *measures).alias("seo_score"), c("word_count").alias("word_count"), F.lit(0).alias("heading_score"), F.col("coverage").alias("entity_coverage"), F.lit(0.0).alias("keyword_density"), F.size(c("internal")).alias("internal_links"))
+    m = pinned(joins.entity_coverage(p, "body", "said").select("page_id", report.alias("m")), "reports")
+    out = joins.compare_reports(joins.pair_up(m, "page_id", 1), "m_a", "m_b")
+    return out.select("a", "b", "differences.word_count", "differences.seo_score", "differences.entity_coverage", "differences.internal_links", "winner")
+
+
 @query(f"""with m as (select page_id, {_WC} as wc, lower({_sql_text(_PLAIN)}) as body from pages)
 select page_id, wc >= 150 and contains(body, 'the') as usable from m""")
 def usable_pages(load):
