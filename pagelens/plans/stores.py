@@ -10,6 +10,7 @@ from ..operators import automaton, joins
 from ..operators.medians import medians
 from ..operators.ranking import first_per_domain
 from ..sources import provider_source
+from ..sources.changes import changes
 from ..sources.shared import shared_folder
 from ..sources.snapshots import Snapshots
 from ..streaming import event_log, stateful
@@ -110,6 +111,27 @@ def versioned_accounts(load):
     return show(last).unionByName(show(1))
 
 
+@query("""select c_custkey as id, c_acctbal as balance, 1::bigint as seen_at from customer union all select c_custkey, c_acctbal + 1, 3 from customer where c_custkey % 10 = 0""")
+def polled_changes(load):
+    """A table looked at twice: all of its rows, and then those that two further commits changed, as they are after both (G-5)."""
+    c = load("customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    spark = c.sparkSession
+    at = shared_folder(spark)
+    t = Snapshots(spark, f"{at}/table")
+    t.create(c, ["id"], buckets=8)
+
+    def poll() -> DataFrame:
+        query = changes(spark, f"{at}/table").writeStream.format("parquet").option("path", f"{at}/seen").option("checkpointLocation", f"{at}/checkpoint")
+        query.trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{at}/seen")
+
+    poll()
+    every_tenth = c.where("id % 10 = 0")
+    t.upsert(every_tenth.withColumn("balance", F.lit(-1.0)))
+    t.upsert(every_tenth.withColumn("balance", F.col("balance") + 1))
+    return poll().select("id", "balance", F.col("_version").alias("seen_at"))
+
+
 # -- many entries, large groups --------------------------------------------------------
 
 

@@ -95,7 +95,8 @@ class Snapshots:
     # -- committing -----------------------------------------------------------
 
     def create(self, rows: DataFrame, key: list[str], buckets: int = 16, next_id: int = 1) -> None:
-        m = {"version": 0, "key": key, "n": buckets, "schema": rows.schema.jsonValue(), "buckets": {}, "wrote": [], "next_id": next_id, "applied": {}}
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])  # later rows may hold nulls
+        m = {"version": 0, "key": key, "n": buckets, "schema": schema.jsonValue(), "buckets": {}, "wrote": [], "next_id": next_id, "applied": {}}
         m |= {"buckets": self._write(rows, m), "version": 1}
         if not self._claim(m):
             raise Conflict(f"{self.root} has versions already")

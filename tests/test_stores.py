@@ -17,6 +17,7 @@ from pyspark.sql.datasource import EqualTo, In
 from pagelens.operators import automaton, joins
 from pagelens.operators.medians import medians
 from pagelens.sources import provider_source
+from pagelens.sources.changes import changes
 from pagelens.sources.snapshots import Conflict, Snapshots
 from pagelens.streaming import event_log, stateful
 
@@ -141,6 +142,41 @@ def test_vacuum(spark, accounts):
     assert accounts.vacuum(2) == 0
 
 
+# -- polls ------------------------------------------------------------------------------
+
+
+def test_a_poll_gives_what_changed(spark, accounts, tmp_path):
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def poll():
+        before = set(rows(spark.read.schema("id long, n int, _version long").parquet(out))) if os.path.exists(out) else set()
+        changes(spark, accounts.root).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+        return sorted(set(rows(spark.read.parquet(out))) - before)
+
+    assert poll() == [(i, 0, 1) for i in range(100)] and poll() == []
+    accounts.upsert(spark.createDataFrame([(3, 9), (500, None), (4, 0)], "id long, n int"))  # 4 stays what it was
+    accounts.delete(spark.createDataFrame([(7,)], "id long"))
+    assert poll() == [(3, 9, 3), (500, None, 3)]
+    accounts.upsert(spark.createDataFrame([(3, 10)], "id long, n int"))
+    accounts.upsert(spark.createDataFrame([(8, 1)], "id long, n int"))
+    accounts.vacuum(1)
+    assert {(3, 10, 5), (8, 1, 5), (0, 0, 5)} <= set(poll())
+
+
+def test_a_running_poll_sees_a_commit(spark, accounts):
+    query = changes(spark, accounts.root).writeStream.format("memory").queryName("polled").trigger(processingTime="1 second").start()
+    try:
+        deadline = time.monotonic() + 60
+        while spark.table("polled").count() < 100 and time.monotonic() < deadline:
+            time.sleep(0.5)
+        accounts.upsert(spark.createDataFrame([(3, 9)], "id long, n int"))
+        while spark.table("polled").where("n = 9").count() < 1 and time.monotonic() < deadline:
+            time.sleep(0.5)
+        assert rows(spark.table("polled").where("_version = 2")) == [(3, 9, 2)]
+    finally:
+        query.stop()
+
+
 # -- event log -------------------------------------------------------------------------
 
 
