@@ -8,13 +8,16 @@ Weights and impacts aren't negative, so a partial sum is a lower bound.
    written by ranges of (term, impact), highest first, so a frequent term's list spreads
    over many tasks.
 1. ``list_heads``: the first k entries of every list. An item's partial sums over its
-   heads give its first lower bound, the k-th highest.
-2. ``candidates``: the bound over the item's number of lists is one threshold for all
-   its lists. Entries that reach it are fetched and dealt by document. A document's
+   heads give its first lower bound, the k-th highest; whole scores of the documents with
+   the highest sums, looked up, give a better one, the floor.
+2. ``candidates``: the first bound over the item's number of lists is one threshold for
+   all its lists. Entries that reach it are fetched and dealt by document. A document's
    fetched entries are its lower bound; every list not seen adds at most the lesser of
    the threshold and the list's own highest entry. Documents whose upper bound is under
-   the k-th highest lower bound can't be among the k best; a task applies the k-th of
-   its own documents, which is no higher than that of all, before anything is sent.
+   the floor, or the k-th highest lower bound, can't be among the k best; a task applies
+   the k-th of its own documents, which is no higher than that of all, before anything is
+   sent. The threshold comes from the lower of both bounds, since what isn't seen then
+   adds less, and the floor keeps what is sent from growing with the number of tasks.
 3. ``exact``: the candidates' entries of all lists are looked up, and the k best of
    each item are ranked.
 
@@ -37,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, in_blocks, ints, numbered, terms, terms_col, thrifty, utf8, workers_find_us
@@ -50,6 +53,8 @@ CANDIDATES = 1_000_000
 BLOCK_BYTES = 4 << 20
 #: Cells of a block's table of sums, documents by items.
 CELLS = 1 << 21
+#: Times k documents of an item are looked up for its floor.
+PROBES = 4
 #: Candidates that a task holds back.
 KEPT = 200_000
 
@@ -145,7 +150,7 @@ def _by_item(rows: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def candidates(lists: DataFrame, group: Lists, bound: np.ndarray, highest: np.ndarray, k: int) -> DataFrame:
+def candidates(lists: DataFrame, group: Lists, bound: np.ndarray, floor: np.ndarray, highest: np.ndarray, k: int) -> DataFrame:
     """item, doc_id, _k, low, high: the documents that may be among the k best of an item, by what their own task has seen."""
     n_items, starts = len(group.items), group.starts()
     own_lists = np.bincount(group.item, minlength=n_items)
@@ -160,10 +165,10 @@ def candidates(lists: DataFrame, group: Lists, bound: np.ndarray, highest: np.nd
     spark = lists.sparkSession
     cuts = spark.createDataFrame(pa.table({"_t": pa.array(range(len(lowest)), pa.int32()), "_cut": pa.array(lowest)}))
     fetched = lists.join(F.broadcast(cuts), (F.col("term") == F.col("_t")) & (F.col("impact") >= F.col("_cut"))).select("doc_id", "_k", "term", "impact")
-    shared = spark.sparkContext.broadcast((group.item, group.weight, least, unseen, starts, bound, all_unseen))
+    shared = spark.sparkContext.broadcast((group.item, group.weight, least, unseen, starts, np.maximum(bound, floor), all_unseen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item, weight, least, unseen, starts, bound, all_unseen = shared.value
+        item, weight, least, unseen, starts, floor, all_unseen = shared.value
         best = np.zeros((n_items, k), np.int64)  # the highest sums so far
         most = max(CELLS // max(n_items, 1), 1)
         kept: list[tuple] = []  # candidates that aren't sent yet, since later documents may rule them out
@@ -171,7 +176,7 @@ def candidates(lists: DataFrame, group: Lists, bound: np.ndarray, highest: np.nd
 
         def still() -> tuple:
             cols = [np.concatenate(c) for c in zip(*kept)]
-            may = cols[4] >= np.maximum(bound, best.min(axis=1))[cols[0]]
+            may = cols[4] >= np.maximum(floor, best.min(axis=1))[cols[0]]
             return tuple(c[may] for c in cols)
 
         def batch(cols: tuple) -> pa.RecordBatch:
@@ -190,7 +195,7 @@ def candidates(lists: DataFrame, group: Lists, bound: np.ndarray, highest: np.nd
             low, high = low.astype(np.int64).reshape(n, n_items), high.astype(np.int64).reshape(n, n_items)
             both = np.concatenate([best, low.T], axis=1)
             best[:] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-            d, i = np.nonzero((low > 0) & (high >= np.maximum(bound, best.min(axis=1))))
+            d, i = np.nonzero((low > 0) & (high >= np.maximum(floor, best.min(axis=1))))
             return i, doc_ids[d], ks[d], low[d, i], high[d, i]
 
         held: list[tuple] = []  # columns of the documents that aren't summed yet; a document's rows are neighbours
@@ -232,17 +237,24 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
-def exact(lists: DataFrame, chosen: DataFrame, group: Lists, k: int, small: bool) -> DataFrame:
-    """item, rank, doc_id, score: looked up in all lists, for the chosen pairs of item and document."""
-    spark = lists.sparkSession
-    of = spark.createDataFrame(pa.table({"_i": pa.array(group.item, pa.int32()), "_t": pa.array(group.term, pa.int32()), "weight": pa.array(group.weight)})).where("weight > 0")
+def exact(lists: DataFrame, chosen: DataFrame, group: Lists) -> DataFrame:
+    """item, doc_id, _k, score: looked up in all lists, for the chosen pairs (item, doc_id, _k); pairs without an entry are left out."""
+    of = _lists_frame(lists.sparkSession, group).where("weight > 0")
     pairs = chosen.select("item", F.col("doc_id").alias("_d"), F.col("_k").alias("_r"))
-    pairs = F.broadcast(pairs) if small else pairs
+    pairs = F.broadcast(pairs) if chosen.count() <= CANDIDATES else pairs
     entries = lists.join(pairs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_r")))
     entries = entries.join(F.broadcast(of), (F.col("item") == F.col("_i")) & (F.col("term") == F.col("_t")))
-    scores = entries.groupBy("item", "doc_id", "_k").agg(F.sum(F.col("weight") * F.col("impact")).alias("score")).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "doc_id", "_k"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("item", "rank", "doc_id", "score")
+    return entries.groupBy("item", "doc_id", "_k").agg(F.sum(F.col("weight") * F.col("impact")).alias("score")).where("score > 0")
+
+
+def _lists_frame(spark: SparkSession, group: Lists) -> DataFrame:
+    return spark.createDataFrame(pa.table({"_i": pa.array(group.item, pa.int32()), "_t": pa.array(group.term, pa.int32()), "weight": pa.array(group.weight)}))
+
+
+def best_of(rows: DataFrame, k: int, value: str) -> DataFrame:
+    """The k rows of highest value of each item, with their rank; ties by doc_id, then by _k."""
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc(value), "doc_id", "_k"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _search(docs: DataFrame, lists_of: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -260,13 +272,15 @@ def _search(docs: DataFrame, lists_of: DataFrame, k: int, scratch: Scratch) -> D
     highest = np.zeros(len(group.words), np.int64)
     for r in heads.groupBy("term").agg(F.max("impact").alias("top")).collect():
         highest[r.term] = r.top
-    of = spark.createDataFrame(pa.table({"item": pa.array(group.item, pa.int32()), "_t": pa.array(group.term, pa.int32()), "weight": pa.array(group.weight)}))
+    of = _lists_frame(spark, group).withColumnRenamed("_i", "item")
     partial = heads.join(F.broadcast(of), F.col("term") == F.col("_t")).groupBy("item", "doc_id", "_k").agg(F.sum(F.col("weight") * F.col("impact")).alias("low"))
-    bound = _by_item(kth(partial, k, "low"), len(group.items))
-    chosen = scratch.put(candidates(lists, group, bound, highest, k), "candidates")
+    known = scratch.put(best_of(partial, PROBES * k, "low"), "known")
+    bound = _by_item(known.where(F.col("rank") == k).select("item", F.col("low").alias("bound")), len(group.items))
+    floor = _by_item(kth(exact(lists, known, group), k, "score"), len(group.items))
+    chosen = scratch.put(candidates(lists, group, bound, floor, highest, k), "candidates")
     bounds = kth(chosen, k, "low").select(F.col("item").alias("_i"), "bound")
     chosen = scratch.put(chosen.join(F.broadcast(bounds), F.col("item") == F.col("_i"), "left").where("bound is null or high >= bound"), "chosen")
-    out = exact(lists, chosen, group, k, chosen.count() <= CANDIDATES)
+    out = best_of(exact(lists, chosen, group), k, "score")
     names = spark.createDataFrame(pa.table({"_i": pa.array(range(len(group.items)), pa.int32()), "item_id": pa.array(group.items, pa.int64())}))
     return out.join(F.broadcast(names), F.col("item") == F.col("_i")).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
