@@ -22,7 +22,7 @@ import html as html_
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -110,10 +110,10 @@ def scan(html: str) -> Iterator[tuple[str, str]]:
     yield "text", html[at:]
 
 
-def plain_text(html: str) -> str:
-    """Text without markup: block elements end lines, blank lines go, spaces are joined."""
+def plain_text(pieces: Iterable[tuple[str, str]]) -> str:
+    """Text without markup, of a scanned page: block elements end lines, blank lines go, spaces are joined."""
     out = []
-    for kind, what in scan(html):
+    for kind, what in pieces:
         if kind in ("open", "close"):
             out.append("\n" if _NAME.match(what)[1].lower() in _BLOCKS else "")
         else:
@@ -122,10 +122,10 @@ def plain_text(html: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def outline(html: str) -> dict:
-    """The first title, and the target of each a, img and link tag that has one."""
+def outline(pieces: Iterable[tuple[str, str]]) -> dict:
+    """The first title, and the target of each a, img and link tag that has one, of a scanned page."""
     title, links = None, []
-    for kind, what in scan(html):
+    for kind, what in pieces:
         if kind == "title" and title is None:
             title = " ".join(html_.unescape(what).split())
         if kind == "open":
@@ -143,10 +143,10 @@ def _records(page_id, url: str, raw: bytes, date: str) -> Iterator[tuple]:
     rid = record_id("response", "" if page_id is None else page_id, url)
     source = head.split("\r\n\r\n")[0]
     yield page_id, "response", rid, None, url, date, "application/http; msgtype=response", source, payload, None, digest(block), len(block), block
-    html = raw.decode()
-    about = outline(html) | {"source-headers": source, "payload-digest": payload, "payload-length": len(raw)}
+    pieces = list(scan(raw.decode()))
+    about = outline(pieces) | {"source-headers": source, "payload-digest": payload, "payload-length": len(raw)}
     meta = json.dumps(about, ensure_ascii=False, sort_keys=True).encode()
-    text = plain_text(html).encode()
+    text = plain_text(pieces).encode()
     for kind, mime, data in (("metadata", "application/json", meta), ("conversion", "text/plain; charset=utf-8", text)):
         yield page_id, kind, record_id(kind, rid), rid, url, date, mime, source, digest(data), payload, digest(data), len(data), data
 
