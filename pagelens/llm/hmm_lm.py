@@ -5,10 +5,10 @@ States emit word classes, and a class emits its words by smoothed counts:
     P(text) = sum over state paths of prod P(state | state before) P(class | state) P(word | class)
 
 The VOCABULARY most frequent words (ties by a hash of the word) are classes of their
-own, the end of the text is one, and every other word belongs to one of TAIL classes by
-crc32. VOCABULARY is what bounds the model: states times classes numbers are what a
-Baum-Welch round sums, sends to the driver and hands to every task (1.6 MB at the
-default), however large the corpus. Words beyond it share the states' preference of
+own if training has LEAST of each, the end of the text is one, and every other word
+belongs to one of TAIL classes by crc32. VOCABULARY is what bounds the model: states
+times classes numbers are what a Baum-Welch round sums, sends to the driver and hands
+to every task (1.6 MB at the default), however large the corpus. Words beyond it share the states' preference of
 their class and differ by their own counts, which stay a distributed table and meet the
 texts in an equality join. The README has what the vocabulary does to held-out scores.
 
@@ -42,6 +42,8 @@ from .common import Scratch, in_blocks, ints, thrifty, utf8, workers_find_us
 STATES = 4
 ROUNDS = 3
 VOCABULARY, TAIL = 50_000, 512
+#: Training occurrences that a word needs for a class of its own: fewer can't tell its states.
+LEAST = 8
 SEGMENT = 512
 _AT_ONCE = 1 << 19  # tokens that are worked on together
 END = b""  # no word is empty
@@ -107,8 +109,8 @@ class Vocabulary:
     tail_distinct: list[int]
 
     @classmethod
-    def of(cls, counts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-        words = counts.where(F.length("word") > 0)
+    def of(cls, counts: DataFrame, size: int = VOCABULARY, least_count: int = LEAST) -> Vocabulary:
+        words = counts.where((F.length("word") > 0) & (F.col("c") >= least_count))
         least = nth_smallest(words.select((-F.col("c")).alias("x")), size)
         top: list[tuple[bytes, int]] = []
         if least is not None:
