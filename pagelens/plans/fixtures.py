@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import intent
-from ..operators import templates
+from ..operators import blueprint, templates
 from ..sources.shared import pinned
 from . import pipeline
-from .pages import _TITLE, _WC
+from .pages import _HOST, _INST, _NGO, _TITLE, _WC
 from .registry import query
 
 
@@ -66,6 +66,18 @@ def page_blueprint(load):
     )
 
 
+# A page that shows a bot another text is a sign of 50; on an institution's or organisation's host it is enough.
+@query(f"""{_OF}, w as (select page_id, {_HOST} as host from pages), h as (select f.*, swapped and ({_INST} or {_NGO}) as hijacked from f join w using (page_id))
+select 'zq ' || k as keyword, count(*) filter (where page_id % 13 <> 5 and not hijacked and not swapped and wc >= 150)::bigint as ok_count, count(*) filter (where page_id % 13 <> 5 and hijacked)::bigint as hijacked_count,
+count(*) filter (where page_id % 13 <> 5 and not hijacked and (swapped or wc < 150))::bigint as unreadable_count, count(*) filter (where page_id % 13 = 5)::bigint as failed_pages from h group by k""")
+def bucket_sizes(load):
+    """Counts of ok, hijacked, unreadable and failed results of each list, from what was parsed; some results were never fetched (A-10, P-2)."""
+    results, fetched = _lists(load, F.concat(F.lit("zq "), F.floor(F.col("page_id") / 10).cast("string")))
+    number = F.regexp_extract("url", "#([0-9]+)$", 1).cast("long")
+    facts = pipeline.page_facts(results, fetched.where(number % 13 != 5)).withColumn("usable", F.col("page.word_count") >= 150)
+    return blueprint.bucket_counts(blueprint.buckets(facts, F.col("hijack.hijacked"), F.col("usable")), "keyword")
+
+
 @query(f"""with m as (select page_id, chr((97 + page_id // 10 % 26)::int) as keyword, page_id % 10 + 1 as position, page_id % 7 = 0 and page_id % 11 <> 10 as swapped, {_WC} as wc, {_TITLE} as title from pages),
 f as (select page_id, keyword, position, case when swapped then 4 else wc end as words, case when swapped then 'x' else title end as title, page_id % 3 = 0 and not swapped as schema, not swapped and wc >= 150 as usable from m),
 t as (select keyword, coalesce(round(median(words) filter (where usable), 1), round(median(words), 1)) as median,

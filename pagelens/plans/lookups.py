@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import blueprint, joins, ledger, ranking
+from ..operators.html_pages import parse_pages
 from ..streaming import gaps
+from .pages import _TITLE, _WC
 from .registry import query
 
 # -- hosts and addresses -----------------------------------------------------------
@@ -167,29 +169,19 @@ def distinct_pairs(load):
 # -- aggregates ------------------------------------------------------------------------
 
 
-@query("""with d as (select lang, doc_id % 10 + 1 as position, n_chars // 6 as word_count, (doc_id * 7) % 5 * 13 as title_length, (doc_id * 3) % 4 * 40 as meta, doc_id % 9 as h2, doc_id % 7 as h3, doc_id % 11 as links, doc_id % 3 as images, (doc_id % 50) / 10.0 as density from documents)
-select lang, count(*)::bigint as analyzed_pages, round(median(word_count), 1) as word_count_median, coalesce(round(median(word_count) filter (where position <= 5), 1), 0) as word_count_top5_median, max(word_count)::bigint as word_count_max,
-coalesce(round(median(nullif(title_length, 0)), 1), 0) as title_length_median, coalesce(round(median(nullif(meta, 0)), 1), 0) as meta_length_median, round(median(h2), 1) as h2_median, round(median(h3), 1) as h3_median,
-round(median(links), 1) as internal_links_median, round(median(images), 1) as images_median, round(median(density), 1) as keyword_density_median from d group by lang""")
+@query(f"""with d as (select page_id // 10 as list, page_id % 10 + 1 as position, {_WC} as word_count, length({_TITLE}) as title_length, len(regexp_extract_all(html, '(?i)<h2[ >]')) as h2, len(regexp_extract_all(html, '(?i)<h3[ >]')) as h3,
+len(list_distinct(list_filter(regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1), lambda h: starts_with(h, '/') and not starts_with(h, '//')))) as links, len(regexp_extract_all(html, '(?i)<img[ >]')) as images from pages)
+select list, count(*)::bigint as analyzed_pages, round(median(word_count), 1) as word_count_median, coalesce(round(median(word_count) filter (where position <= 5), 1), 0) as word_count_top5_median, max(word_count)::bigint as word_count_max,
+coalesce(round(median(nullif(title_length, 0)), 1), 0) as title_length_median, 0.0 as meta_length_median, round(median(h2), 1) as h2_median, round(median(h3), 1) as h3_median,
+round(median(links), 1) as internal_links_median, round(median(images), 1) as images_median from d group by list""")
 def all_targets(load):
-    """Ten targets by language: exact medians, those of the first five, the largest, zero lengths left out (A-2, A-3, P-5, P-6)."""
-    i = F.col("doc_id")
-    d = load("documents").select(
-        "lang", (i % 10 + 1).alias("position"), F.floor(F.col("n_chars") / 6).alias("word_count"), ((i * 7) % 5 * 13).alias("title_length"), ((i * 3) % 4 * 40).alias("meta_description_length"),
-        (i % 9).alias("h2_count"), (i % 7).alias("h3_count"), (i % 11).alias("internal_count"), (i % 3).alias("image_count"), ((i % 50) / 10.0).alias("keyword_density"),
+    """Targets of each list of ten parsed pages: exact medians, those of the first five, the largest, zero lengths left out (A-2, A-3, P-5, P-6)."""
+    i, p = F.col("page_id"), F.col("page")
+    d = parse_pages(load("pages")).select(
+        F.floor(i / 10).alias("list"), (i % 10 + 1).alias("position"), p["word_count"].alias("word_count"), p["title_length"].alias("title_length"), p["meta_description_length"].alias("meta_description_length"),
+        p["h2_count"].alias("h2_count"), p["h3_count"].alias("h3_count"), F.size(p["internal"]).alias("internal_count"), p["image_count"].alias("image_count"), F.lit(0.0).alias("keyword_density"),
     )
-    return blueprint.targets(d, "lang")
-
-
-@query("""with d as (select lang, case when doc_id % 11 = 0 then 'error' else 'ok' end as status, doc_id % 6 = 0 as hijacked, case when doc_id % 4 = 0 then null else n_chars >= 600 end as usable from documents)
-select lang, count(*) filter (where status = 'ok' and not hijacked and coalesce(usable, true))::bigint as ok_count, count(*) filter (where status = 'ok' and hijacked)::bigint as hijacked_count, count(*) filter (where status = 'ok' and not hijacked and not coalesce(usable, true))::bigint as unreadable_count,
-count(*) filter (where status <> 'ok')::bigint as failed_pages from d group by lang""")
-def bucket_sizes(load):
-    """Counts of ok, hijacked, unreadable and failed pages (A-10, P-2)."""
-    i = F.col("doc_id")
-    d = load("documents").withColumn("status", F.when(i % 11 == 0, "error").otherwise("ok"))
-    marked = blueprint.buckets(d, i % 6 == 0, F.when(i % 4 == 0, None).otherwise(F.col("n_chars") >= 600))
-    return blueprint.bucket_counts(marked, "lang")
+    return blueprint.targets(d, "list").drop("keyword_density_median")
 
 
 @query("""with v as (select p_partkey, unnest(list_distinct(string_split(p_type, ' ') || string_split(p_brand, '#'))) as value from part)
@@ -203,15 +195,18 @@ def top_schema_types(load):
 # -- windows ---------------------------------------------------------------------------
 
 
-@query("""with s as (select lang, doc_id, doc_id % 12 + 1 as position, doc_id % 8 as h2, doc_id % 2 = 0 as faq, doc_id % 3 = 0 as sch, n_chars // 6 as wc from documents),
-k as (select *, greatest(0, 11 - position) * 3 + h2 * 1.5 + case when faq then 12 else 0 end + case when sch then 8 else 0 end + least(wc / 200.0, 15.0) as score from s),
-r as (select *, row_number() over (partition by lang order by score desc, position, doc_id) as n from k)
-select lang, position::bigint as position, round(score, 6) as score from r where n = 1""")
+@query(f"""with s as (select page_id // 10 as list, page_id, page_id % 10 + 1 as position, len(regexp_extract_all(html, '(?i)<h2[ >]')) as h2, {_WC} as wc from pages),
+k as (select *, greatest(0, 11 - position) * 3 + h2 * 1.5 + least(wc / 200.0, 15.0) as score from s),
+r as (select *, row_number() over (partition by list order by score desc, position, page_id) as n from k)
+select list, page_id, round(score, 6) as score from r where n = 1""")
 def picked_reference(load):
-    """The best reference page of each language (W-3)."""
-    i = F.col("doc_id")
-    p = load("documents").select("lang", "doc_id", (i % 12 + 1).alias("position"), (i % 8).alias("h2_count"), (i % 2 == 0).alias("has_faq"), (i % 3 == 0).alias("has_schema"), F.floor(F.col("n_chars") / 6).alias("word_count"))
-    return ranking.rank_reference_pages(p, "lang", 1).select("lang", "position", F.round("score", 6).alias("score"))
+    """The best reference page of each list of ten, by what was parsed (W-3)."""
+    i, p = F.col("page_id"), F.col("page")
+    own = parse_pages(load("pages")).select(
+        F.floor(i / 10).alias("list"), "page_id", (i % 10 + 1).alias("position"), p["h2_count"].alias("h2_count"), p["signals"]["has_faq"].alias("has_faq"),
+        (F.size(p["signals"]["schema_types"]) > 0).alias("has_schema"), p["word_count"].alias("word_count"),
+    )
+    return ranking.rank_reference_pages(own, "list", 1).select("list", "page_id", F.round("score", 6).alias("score"))
 
 
 @query("""with r as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) as n from events), o as (select *, row_number() over (partition by user_id order by n) as k from r where n <= 4 and event_type = 'purchase')
