@@ -195,12 +195,12 @@ def test_search_awkward(spark, docs, at_once):
     check_search(search.search(docs, spark.createDataFrame(items, "item_id int, text string"), k=5, at_once=at_once), rows, items, 5)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_search_random(spark, seed, monkeypatch):
     """Frequent and rare terms, copies that tie, and blocks of few documents."""
     monkeypatch.setattr(search, "CELLS", 40)
     monkeypatch.setattr(search, "BLOCK_BYTES", 2000)
-    monkeypatch.setattr(search, "KEPT", 20 if seed == 3 else 200_000)
+    monkeypatch.setattr(search, "KEPT", 20 if seed == 2 else 200_000)
     monkeypatch.setattr(search, "CANDIDATES", 10 if seed == 2 else 1_000_000)
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(300)]
