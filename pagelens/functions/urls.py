@@ -19,8 +19,9 @@ NGO = [".org", ".ngo", ".foundation"]
 
 
 def domain(url: Column) -> Column:
-    """Lower-case authority without a leading www."""
-    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("AUTHORITY"))), r"^www\.", "")
+    """Lower-case authority without a leading www. What follows the authority may hold anything, such as a second #."""
+    origin = F.regexp_replace(url, r"(?s)^([^:/?#]+://[^/?#]*).*$", "$1")
+    return F.regexp_replace(F.lower(F.try_parse_url(origin, F.lit("AUTHORITY"))), r"^www\.", "")
 
 
 def host_parts(host: Column) -> Column:

@@ -131,3 +131,10 @@ def test_validate_page(spark):
     parsed = html_pages.parse_pages(df).join(df.select("page_id", "html"), "page_id")
     v = parsed.select(validate.validate_page(F.col("page"), F.col("html"), F.lit("page"), F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("v")).first().v
     assert "keyword in title" in v.passed and "keyword in h1" in v.problems and "faq schema" in v.passed and 0 < v.score < 100
+
+
+def test_domain_of_odd_tails(spark):
+    """A second # or characters that no URL may have come after the authority, which is told all the same."""
+    urls = ["https://www.A.org/p#top#12", "http://b.org?x=1|2#a b", "https://c.org", "no address", None]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(U.domain(F.col("u")).alias("d")).collect()
+    assert [r.d for r in got] == ["a.org", "b.org", "c.org", None, None]
