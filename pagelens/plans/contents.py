@@ -8,10 +8,9 @@ from ..functions import scoring as S
 from ..functions.regions import regions
 from ..operators import amp, content, templates, validate
 from ..operators import blueprint as B
-from ..operators.html_pages import parse_pages
 from ..sources import readers
 from ..sources.shared import shared_folder
-from .pages import _H1, _M, _PLAIN, _TITLE, _WC, _sql_text
+from .pages import _H1, _M, _PLAIN, _TITLE, _WC, _sql_text, parsed
 from .registry import query
 
 
@@ -94,14 +93,14 @@ def rules_scan(load):
     rules = readers.read_rules(pages.sparkSession, at)
     c = lambda n: F.col(f"page.{n}")
     measures = [c("title_length"), c("meta_description_length"), c("h1_count"), c("word_count"), F.size(c("images_without_alt")), F.size(c("internal")), c("canonical"), c("robots_meta")]
-    return parse_pages(pages).select("page_id", S.page_score(rules, *measures).alias("seo_score"))
+    return parsed(pages).select("page_id", S.page_score(rules, *measures).alias("seo_score"))
 
 
 @query(f"""{_M} select m.page_id, 200::int as http_status, {_TITLE} as title, {_H1} as h1, {_WC}::bigint as word_count, greatest(0, 100 - case when tl = 0 then 15 when tl < 30 or tl > 60 then 5 else 0 end - 10 - case when h1 = 0 then 15 when h1 > 1 then 5 else 0 end
 - case when wc < 300 then 10 else 0 end - case when links < 1 then 5 else 0 end - 5)::bigint as seo_score from m join pages using (page_id)""")
 def legacy_reports(load):
     """The older report of every page: words by white space alone, the older rules (H-22, P-37, S-28, S-29)."""
-    return readers.legacy_reports(parse_pages(load("pages"))).select("page_id", "http_status", "title", "h1", "word_count", "seo_score")
+    return readers.legacy_reports(parsed(load("pages"))).select("page_id", "http_status", "title", "h1", "word_count", "seo_score")
 
 
 @query("""with h as (select s_suppkey, s_nationkey, 'h' || s_suppkey % 7 || '.c' as domain, 'https://H' || s_suppkey % 7 || '.c/' || s_suppkey as url, row_number() over (partition by s_nationkey, s_suppkey % 7 order by s_suppkey) as n from supplier)
@@ -138,7 +137,7 @@ c as (select page_id, density, contains(t, 'the')::int + (n1 = 1)::int + contain
 select page_id, density as keyword_density, passed::bigint as passed, (11 - passed + lengths)::bigint as problems, round_even(passed * 100.0 / (11 + lengths), 0)::bigint as score from c""")
 def validated_pages(load):
     """Every page against targets: what it passes, its problems and its score (P-18)."""
-    p = parse_pages(load("pages")).join(load("pages").select("page_id", "html"), "page_id")
+    p = parsed(load("pages")).join(load("pages").select("page_id", "html"), "page_id")
     v = validate.validate_page(F.col("page"), F.col("html"), F.lit("the"), F.lit(500), F.lit(300), F.lit(3))
     return p.select("page_id", v.alias("v")).select("page_id", "v.keyword_density", F.size("v.passed").cast("long").alias("passed"), F.size("v.problems").cast("long").alias("problems"), "v.score")
 

@@ -23,24 +23,25 @@ def root_probe(probes: DataFrame) -> DataFrame:
     return ok.groupBy("root").agg(first.alias("x")).select("root", F.col("x.words").alias("root_words"), F.col("x.hits").alias("root_hits"))
 
 
-def _versions(wanted: DataFrame, fetched: DataFrame) -> DataFrame:
+def _versions(wanted: DataFrame, fetched: DataFrame, unclosed: bool) -> DataFrame:
     """url, browser, bot, failure: the parsed page as each agent got it, where it did."""
     own = fetched.join(wanted.select("url").distinct(), "url", "left_semi")
-    parsed = parse_pages(own).join(own.select("page_id", "agent"), "page_id")
+    parsed = parse_pages(own, unclosed=unclosed).join(own.select("page_id", "agent"), "page_id")
     page = lambda a: F.first(F.when(F.col("agent") == a, F.col("page")), ignorenulls=True).alias(a)
     return parsed.groupBy("url").agg(page("browser"), page("bot"), F.max(F.nullif("error", F.lit(""))).alias("failure"))
 
 
-def page_facts(results: DataFrame, fetched: DataFrame, limit: int = 10, roots: DataFrame | None = None, entities: Column | None = None) -> DataFrame:
+def page_facts(results: DataFrame, fetched: DataFrame, limit: int = 10, roots: DataFrame | None = None, entities: Column | None = None, unclosed: bool = True) -> DataFrame:
     """A row for each of the first ``limit`` results of every keyword: status, page, and every score.
 
     results: keyword, position, url. fetched: page_id, url, agent ('browser' or 'bot'),
     html. roots: as root_probe gives. entities: array<string> looked for in the text.
+    unclosed: as in parse_pages.
     The bot's version is the one indexed; pages that failed or weren't fetched keep
     their row with status error.
     """
     wanted = results.where(F.col("position") <= limit)
-    both = wanted.join(_versions(wanted, fetched), "url", "left")
+    both = wanted.join(_versions(wanted, fetched, unclosed), "url", "left")
     keyword, normal, bot = F.col("keyword"), F.col("browser"), F.col("bot")
     tokens = T.keyword_tokens(keyword)
     similar = F.when(normal.isNotNull() & bot.isNotNull(), T.similarity(T.token_set(normal["visible_text"]), T.token_set(bot["visible_text"])))

@@ -138,3 +138,13 @@ def test_domain_of_odd_tails(spark):
     urls = ["https://www.A.org/p#top#12", "http://b.org?x=1|2#a b", "https://c.org", "no address", None]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(U.domain(F.col("u")).alias("d")).collect()
     assert [r.d for r in got] == ["a.org", "b.org", "c.org", None, None]
+
+
+def test_references_without_semicolon(spark):
+    """Browsers read them; queries take them as text, in titles, attributes and scripts alike."""
+    html = '<title>a &amp;&lt;b &amp</title><a href="/x?a=1&copy=2&amp;b">&copy; &am &ampx</a><script>a && b &amp c</script>'
+    assert html_pages.page_facts(html, "http://a.b/")["title"] == "a &<b &"
+    t = html_pages.Tree(html, unclosed=False)
+    assert t.text(0) == "a &<b &amp" and t.attrs[1]["href"] == "/x?a=1&copy=2&b" and t.text(1) == "© &am &ampx" and t.raw(2) == "a && b &amp c"
+    df = spark.createDataFrame([(1, "http://a.b", html)], "page_id long, url string, html string")
+    assert html_pages.parse_pages(df, unclosed=False).first().page.title_length == 10
