@@ -48,20 +48,25 @@ class TooDeep(ValueError):
 
 
 class Scanner(HTMLParser):
-    """Slots (text and fillable attributes), elements, and end tags with their positions."""
+    """Slots (text and fillable attributes), elements, and end tags with their positions.
 
-    def __init__(self, source: str):
+    Slots name all elements around them, so nesting has a limit; without slots it has none.
+    """
+
+    def __init__(self, source: str, slots: bool = True):
         super().__init__(convert_charrefs=False)
         self.source = source
         self.line_at = [0]
         for m in re.finditer("\n", source):
             self.line_at.append(m.end())
+        self.deepest = MAX_DEPTH if slots else None
         self.open: list[dict] = []
+        self.opened: Counter = Counter()  # open elements by name
         self.slots: list[dict] = []
         self.elements: list[dict] = []
         self.ends: list[dict] = []
         self.text_from: int | None = None
-        self.muted = 0  # open elements that are opaque or advertising
+        self.muted = 0 if slots else 1  # open elements that are opaque or advertising
         self.ads = 0
         self.feed(source)
         self._flush(len(source))
@@ -118,9 +123,10 @@ class Scanner(HTMLParser):
         e = self._element(tag, attrs)
         if tag in EMPTY:
             return
-        if len(self.open) >= MAX_DEPTH:
-            raise TooDeep(f"elements are nested over {MAX_DEPTH} deep")
+        if self.deepest is not None and len(self.open) >= self.deepest:
+            raise TooDeep(f"elements are nested over {self.deepest} deep")
         self.open.append(e)
+        self.opened[tag] += 1
         self.muted += (tag in OPAQUE) + e["is_ad"]
         self.ads += e["is_ad"]
 
@@ -131,9 +137,10 @@ class Scanner(HTMLParser):
         at = self._here()
         self._flush(at)
         self.ends.append({"tag": tag, "start": at})
-        if any(e["tag"] == tag for e in self.open):
+        if self.opened[tag]:
             while self.open:
                 e = self.open.pop()
+                self.opened[e["tag"]] -= 1
                 self.muted -= (e["tag"] in OPAQUE) + e["is_ad"]
                 self.ads -= e["is_ad"]
                 if e["tag"] == tag:
@@ -257,7 +264,7 @@ def apply_edits(html: str, edits: list[dict]) -> str:
 
 def insert_point(html: str) -> int:
     """Before the first </head>, else the first </body>, else at the end, as the parser sees them."""
-    ends = Scanner(html).ends
+    ends = Scanner(html, slots=False).ends
     for tag in ("head", "body"):
         at = [e["start"] for e in ends if e["tag"] == tag]
         if at:
@@ -266,16 +273,11 @@ def insert_point(html: str) -> int:
 
 
 def insert_points(templates: DataFrame) -> DataFrame:
-    """template_id, at: where a template takes more mark-up; null for one nested too deep."""
+    """template_id, at: where a template takes more mark-up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = []
-            for r in b.to_pylist():
-                try:
-                    at.append(insert_point(r["html"] or ""))
-                except TooDeep:
-                    at.append(None)
+            at = [insert_point(html or "") for html in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(at, pa.int64())], ["template_id", "at"])
 
     workers_find_us(templates.sparkSession)
@@ -286,7 +288,7 @@ def insert_points(templates: DataFrame) -> DataFrame:
 
 
 def fingerprint(html: str) -> dict:
-    es = Scanner(html).elements
+    es = Scanner(html, slots=False).elements
     sign = lambda e: "|".join([e["tag"], *(f"{k}={e['attrs'][k]}" for k in SIGNATURE if k in e["attrs"])])
     return {
         "order": [e["tag"] for e in es],
@@ -361,16 +363,13 @@ def summary(slots: DataFrame) -> DataFrame:
 
 
 def fingerprints(templates: DataFrame) -> DataFrame:
-    """template_id, tag, n: elements of each template by name; a template nested too deep has none."""
+    """template_id, tag, n: elements of each template by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                try:
-                    rows += [(r["template_id"], tag, n) for tag, n in Counter(e["tag"] for e in Scanner(r["html"] or "").elements).items()]
-                except TooDeep:
-                    pass
+                rows += [(r["template_id"], tag, n) for tag, n in Counter(e["tag"] for e in Scanner(r["html"] or "", slots=False).elements).items()]
             yield pa.record_batch([pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.int64()))], ["template_id", "tag", "n"])
 
     workers_find_us(templates.sparkSession)

@@ -148,3 +148,11 @@ def test_references_without_semicolon(spark):
     assert t.text(0) == "a &<b &amp" and t.attrs[1]["href"] == "/x?a=1&copy=2&b" and t.text(1) == "© &am &ampx" and t.raw(2) == "a && b &amp c"
     df = spark.createDataFrame([(1, "http://a.b", html)], "page_id long, url string, html string")
     assert html_pages.parse_pages(df, unclosed=False).first().page.title_length == 10
+
+
+def test_deep_templates(spark):
+    """Elements are counted and the end of the head is found at any depth."""
+    html = "<head></head>" + "<b>" * 300 + "</b>"
+    df = spark.createDataFrame([(1, html)], "template_id long, html string")
+    assert {(r.tag, r.n) for r in templates.fingerprints(df).collect()} == {("head", 1), ("b", 300)}
+    assert templates.insert_points(df).first().at == 6 and templates.verify(html, html, []) == []
