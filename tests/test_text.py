@@ -102,3 +102,11 @@ def test_headings_of_all_lines(spark, tmp_path):
     assert len(anchors) == 18 and [anchors[i] for i in (14, 15, 16, 17, 18)] == ["line-14", "late", "late-2", "line-2-2", "late-3"]
     assert [r.duplicates for r in run("duplicate_headings_all").collect()] == ["late|line 2"]
     assert [r.score for r in run("heading_score_all").collect()] == [100 - 5 - 2 * 2]
+
+
+def test_file_slug_of_reserved_names(spark, tmp_path):
+    """The query gives slugs alone, as its SQL does; the function guards them unless told otherwise."""
+    from pagelens import catalog
+
+    spark.createDataFrame([(1, "Con\nx"), (2, "aux"), (3, "A b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.slug for r in catalog.QUERIES["file_slug"](spark, str(tmp_path)).collect()} == {1: "con", 2: "aux", 3: "a-b"}
