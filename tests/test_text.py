@@ -110,3 +110,13 @@ def test_file_slug_of_reserved_names(spark, tmp_path):
 
     spark.createDataFrame([(1, "Con\nx"), (2, "aux"), (3, "A b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.slug for r in catalog.QUERIES["file_slug"](spark, str(tmp_path)).collect()} == {1: "con", 2: "aux", 3: "a-b"}
+
+
+def test_cut_of_long_texts(spark):
+    """A cut is told by a text's beginning, whatever space lies in it; the rest isn't looked at."""
+    texts = ["　 a \n" * 100, "x" * 60 + "   ", " " * 500 + "y" * 61, "word, " * 9 + "z" * 70, "", None]
+    whole = [" ".join((t or "").split()) for t in texts]
+    want = [w if len(w) <= 60 else (w[:60].rsplit(" ", 1)[0] if " " in w[:60] and w[:60].rindex(" ") > 36 else w[:60]).rstrip(" ,.;:-") for w in whole]
+    assert column(spark, texts, lambda c: T.truncate_words(c, 60)) == want
+    plan = spark.range(1).select(T.ensure_contains(F.repeat(F.col("id").cast("string"), 9), F.lit("Key"), 40).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("{0,41}") == 1
