@@ -134,3 +134,15 @@ def test_progress_in_a_days_last_second(spark, tmp_path):
     con.execute(f"create view events as select * from '{at}/*.parquet'")
     want = sorted(con.execute(catalog.ORACLE["progress_points"]).fetchall())
     assert sorted(map(tuple, catalog.QUERIES["progress_points"](spark, str(tmp_path)).collect())) == want == [(1, 1), (1, 3), (1, 5)]
+
+
+def test_region_rows_stay_where_they_are(spark):
+    """A region holds most rows, so they aren't dealt by it, even where Spark broadcasts nothing by itself."""
+    from pagelens.functions.regions import regions
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = joins.region_join(spark.range(100).select(F.lit("th").alias("code")), F.col("code"), regions(spark))
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
