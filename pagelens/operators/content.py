@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
 
@@ -83,30 +84,37 @@ def analysis_markdown(title: Column, values: dict[str, Column]) -> Column:
 
 
 def zip_bundles(files: DataFrame, group: str) -> DataFrame:
-    """group, n, bundle: a ZIP of each group's files (name, content), by name. A group is one run's output, some dozens of files."""
+    """group, n, bundle: a ZIP of each group's files (name, content), by name. Files go into their ZIP one by one, so that a task holds one ZIP, not a group's files."""
     kind = files.schema[group].dataType.simpleString()
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for r in part.sort_values("name").itertuples():
-                z.writestr(zipfile.ZipInfo(r.name, (1980, 1, 1, 0, 0, 0)), r.content)
-        return pd.DataFrame({group: [part[group].iloc[0]], "n": [len(part)], "bundle": [out.getvalue()]})
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((k, n, c) for p in parts for k, n, c in zip(p[group], p["name"], p["content"]))
+        for key, own in itertools.groupby(rows, lambda r: None if pd.isna(r[0]) else r[0]):
+            out, n = io.BytesIO(), 0
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for _, name, content in own:
+                    z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content)
+                    n += 1
+            yield pd.DataFrame({group: [key], "n": [n], "bundle": [out.getvalue()]})
 
     workers_find_us(files.sparkSession)
-    return files.groupBy(group).applyInPandas(one, f"{group} {kind}, n long, bundle binary")
+    own = files.select(group, "name", "content").repartition(group).sortWithinPartitions(group, "name")
+    return own.mapInPandas(run, f"{group} {kind}, n long, bundle binary")
 
 
 def unzip(bundles: DataFrame, group: str) -> DataFrame:
-    """group, name, content of every file in the bundles."""
+    """group, name, content of every file in the bundles, some thousands at a time."""
     kind = bundles.schema[group].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for r in p.itertuples():
                 with zipfile.ZipFile(io.BytesIO(r.bundle)) as z:
-                    names = z.namelist()
-                    yield pd.DataFrame({group: [getattr(r, group)] * len(names), "name": names, "content": [z.read(n) for n in names]})
+                    # Entries rather than names: a group may hold two files of one name.
+                    entries = z.infolist()
+                    for lo in range(0, len(entries), 2000):
+                        some = entries[lo : lo + 2000]
+                        yield pd.DataFrame({group: [getattr(r, group)] * len(some), "name": [e.filename for e in some], "content": [z.read(e) for e in some]})
 
     workers_find_us(bundles.sparkSession)
     return bundles.select(group, "bundle").mapInPandas(run, f"{group} {kind}, name string, content binary")

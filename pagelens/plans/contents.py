@@ -9,7 +9,7 @@ from ..functions.regions import regions
 from ..operators import amp, content, templates, validate
 from ..operators import blueprint as B
 from ..sources import readers
-from ..sources.shared import shared_folder
+from ..sources.shared import pinned, shared_folder
 from .pages import _H1, _M, _PLAIN, _TITLE, _WC, _sql_text, parsed
 from .registry import query
 
@@ -75,7 +75,7 @@ def markdown_reports(load):
 def zip_round_trip(load):
     """Every owner's files in one ZIP, and out of it again (S-26)."""
     c = load("customer").select("c_nationkey", F.col("c_name").alias("name"), F.encode("c_mktsegment", "UTF-8").alias("content"))
-    z = content.zip_bundles(c, "c_nationkey")
+    z = pinned(content.zip_bundles(c, "c_nationkey"), "bundles")
     out = content.unzip(z, "c_nationkey").join(z.select("c_nationkey", "n"), "c_nationkey")
     return out.select("c_nationkey", "name", F.md5("content").alias("content"), "n")
 

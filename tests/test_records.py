@@ -146,3 +146,14 @@ def test_region_rows_stay_where_they_are(spark):
         assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 100
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_zip_of_many_files(spark):
+    """More files than a slice, two of them of one name; a task reads them one by one."""
+    from pagelens.operators import content
+
+    files = spark.range(5001).select((F.col("id") % 2).alias("g"), F.concat(F.lit("f"), (F.col("id") % 5000).cast("string")).alias("name"), F.encode(F.col("id").cast("string"), "UTF-8").alias("content"))
+    z = content.zip_bundles(files, "g")
+    assert "FlatMapGroups" not in z._jdf.queryExecution().executedPlan().toString() and {r.g: r.n for r in z.collect()} == {0: 2501, 1: 2500}
+    back = content.unzip(z, "g").select("g", "name", "content")
+    assert back.exceptAll(files).count() == 0 and files.exceptAll(back).count() == 0
