@@ -156,3 +156,10 @@ def test_deep_templates(spark):
     df = spark.createDataFrame([(1, html)], "template_id long, html string")
     assert {(r.tag, r.n) for r in templates.fingerprints(df).collect()} == {("head", 1), ("b", 300)}
     assert templates.insert_points(df).first().at == 6 and templates.verify(html, html, []) == []
+
+
+def test_pages_are_parsed_some_at_a_time(spark):
+    """A batch of Spark's is cut, so that a worker holds the facts of few pages; none is lost."""
+    assert html_pages.PARSED_AT_ONCE <= 100
+    df = spark.range(0, 3 * html_pages.PARSED_AT_ONCE + 1, 1, 1).select(F.col("id").alias("page_id"), F.lit("http://a.b").alias("url"), F.concat(F.lit("<title>"), F.col("id").cast("string")).alias("html"))
+    assert {r.page_id: r.title for r in html_pages.parse_pages(df).select("page_id", "page.title").collect()} == {i: str(i) for i in range(3 * html_pages.PARSED_AT_ONCE + 1)}
