@@ -37,3 +37,17 @@ def test_manual_lists(spark, tmp_path):
     asked = spark.createDataFrame([("shoes", "id"), ("shoes", "th"), ("hats", "id"), ("coats", "id"), ("none", "id")], "keyword string, region string")
     got = readers.manual_results_of(asked, readers.read_manual_lists(spark, str(tmp_path))).collect()
     assert sorted((r.keyword, r.region, r.position, r.domain) for r in got) == [("coats", "id", 1, "d.x"), ("hats", "id", 1, "c.x"), ("shoes", "id", 1, "a.x"), ("shoes", "id", 2, "b.x"), ("shoes", "th", 1, "z.x")]
+
+
+def test_similar_sets_in_blocks(spark):
+    """More blocks than one, a size that several share, and sets at the threshold; nothing is joined or shuffled, whatever the number of pairs that share a token."""
+    rng = random.Random(5)
+    sets = [["hot", *(f"w{x}" for x in rng.sample(range(30), n))] for n in [9] * 40 + list(range(1, 30)) * 2]
+    rows = spark.createDataFrame([(f"d{i}", s) for i, s in enumerate(sets)], "id string, ts array<string>")
+    found = joins.similar_sets(rows.where("substr(id, 2) % 3 = 0"), rows, "id", "ts", 0.5, block=2_000)
+    like = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = {(f"d{a}", f"d{b}"): like(x, y) for a, x in enumerate(sets) if a % 3 == 0 for b, y in enumerate(sets) if a != b and like(x, y) >= 0.5}
+    got = found.collect()
+    assert {(r.a, r.b): r.similarity for r in got} == pytest.approx(want) and len(got) == len(want) > 100
+    plan = found._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
