@@ -121,6 +121,16 @@ def read_templates(spark: SparkSession, path: str, max_bytes: int = 2 << 20, glo
     return checked_templates(files.where(F.col("length") <= max_bytes).select("path", "content"), max_bytes).unionByName(large)
 
 
+def pack_templates(files: DataFrame, path: str) -> None:
+    """Many template files as rows of few: path, content. A file of its own costs more to make, list and open than to read."""
+    files.select("path", "content").write.mode("append").parquet(path)
+
+
+def read_packed(spark: SparkSession, path: str, max_bytes: int = 2 << 20) -> DataFrame:
+    """path, html, status of the packed files under a path."""
+    return checked_templates(spark.read.schema("path string, content binary").parquet(path), max_bytes)
+
+
 def checked_templates(files: DataFrame, max_bytes: int = 2 << 20) -> DataFrame:
     """path, html, status (ok, too large, not utf-8) of files (path, content); only ok files have html."""
     small = F.octet_length("content") <= max_bytes

@@ -157,3 +157,17 @@ def test_zip_of_many_files(spark):
     assert "FlatMapGroups" not in z._jdf.queryExecution().executedPlan().toString() and {r.g: r.n for r in z.collect()} == {0: 2501, 1: 2500}
     back = content.unzip(z, "g").select("g", "name", "content")
     assert back.exceptAll(files).count() == 0 and files.exceptAll(back).count() == 0
+
+
+def test_template_files_are_packed(spark, sf):
+    """Few files for 50 pages; some are loose, some too large in both forms."""
+    from pathlib import Path
+
+    from pagelens import catalog
+
+    held = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(held.glob("pagelens-files-*/templates"))
+    got = catalog.QUERIES["template_files"](spark, sf).collect()
+    (at,) = set(held.glob("pagelens-files-*/templates")) - before
+    assert len(list(at.rglob("part-*"))) < 20 and {p.parent.name for p in (at / "loose").rglob("part-*")} == {"page_id=0", "page_id=3"}
+    assert {r.page_id: r.status for r in got} == {i: "too large" if i % 10 == 3 else "ok" for i in range(50)} and len(got) == 50
