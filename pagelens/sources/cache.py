@@ -14,6 +14,13 @@ from .shared import shared_folder
 from .snapshots import Snapshots
 
 PLACE = ["region", "provider"]
+#: Rows that a new cache has in a bucket, and a task in its memory.
+HELD = 1 << 18
+
+
+def spread(rows: DataFrame, path: str, *by: str) -> DataFrame:
+    """The rows dealt by columns to as many tasks as the cache has buckets, so that a task's share stays the same when the cache is made for more rows."""
+    return rows.repartition(Snapshots(rows.sparkSession, path).manifest()["n"], *by)
 
 
 def still_valid(fetched_at: Column, now: Column, ttl_hours: float) -> Column:
@@ -26,22 +33,22 @@ def read_cache(spark: SparkSession, path: str, now: Column, ttl_hours: float) ->
     return Snapshots(spark, path).read().where(still_valid(F.col("fetched_at"), now, ttl_hours))
 
 
-def write_cache(payloads: DataFrame, path: str, keys: list[str], now: Column | None = None, ttl_hours: float = 24.0, buckets: int = 16) -> None:
+def write_cache(payloads: DataFrame, path: str, keys: list[str], now: Column | None = None, ttl_hours: float = 24.0, buckets: int | None = None) -> None:
     """Rows take the place of those with their keys, region and provider; of several with one key the latest stays. With ``now``, expired rows of the same buckets go.
 
-    payloads: keys, region, provider, fetched_at, and more.
+    payloads: keys, region, provider, fetched_at, and more. buckets: of a new cache, 16 at least and one for each HELD payloads if it isn't said.
     """
     every = [*keys, *PLACE]
     rest = [c for c in payloads.columns if c not in every]
-    last = payloads.groupBy(*every).agg(F.max_by(F.struct(*rest), "fetched_at").alias("_x"), F.first(F.struct(*rest)).alias("_y"))
-    rows = last.select(*every, F.coalesce("_x", "_y").alias("_x")).select(*every, "_x.*").select(*payloads.columns)
     table = Snapshots(payloads.sparkSession, path)
     if not table.versions():
-        table.create(rows.limit(0), every, buckets)
+        table.create(payloads.limit(0), every, buckets or max(16, -(-payloads.count() // HELD)))
+    last = spread(payloads, path, *every).groupBy(*every).agg(F.max_by(F.struct(*rest), "fetched_at").alias("_x"), F.first(F.struct(*rest)).alias("_y"))
+    rows = last.select(*every, F.coalesce("_x", "_y").alias("_x")).select(*every, "_x.*").select(*payloads.columns)
 
     def combine(old: DataFrame, new: DataFrame) -> DataFrame:
         kept = old if now is None else old.where(still_valid(F.col("fetched_at"), now, ttl_hours))
-        return kept.join(new.select(*every), every, "left_anti").unionByName(new)
+        return spread(kept, path, *every).join(new.select(*every), every, "left_anti").unionByName(new)
 
     table.merge(rows, combine)
 
@@ -59,11 +66,13 @@ def search(requests: DataFrame, path: str, source: DataFrame, keys: list[str], n
     """
     spark = requests.sparkSession
     cached = read_cache(spark, path, now, ttl_hours).select(*keys, *PLACE, "payload", "fetched_at")
-    hits, misses = lookup(requests.select(*keys, *PLACE), cached, [*keys, *PLACE])
+    every = [*keys, *PLACE]
+    hits, misses = lookup(spread(requests.select(*every), path, *every), spread(cached, path, *every), every)
     stamp = F.date_format(now, "yyyy-MM-dd HH:mm:ss")
-    fetched = misses.distinct().join(source.select(*keys, "payload"), keys).select(*keys, *PLACE, "payload", stamp.alias("fetched_at"))
+    found = spread(misses.distinct(), path, *keys).join(spread(source.select(*keys, "payload"), path, *keys), keys)
+    fetched = found.select(*every, "payload", stamp.alias("fetched_at"))
     fresh = f"{shared_folder(spark)}/fetched"
     fetched.write.parquet(fresh)
     fetched = spark.read.schema(fetched.schema).parquet(fresh)
     write_cache(fetched, path, keys, now, ttl_hours)
-    return hits.unionByName(misses.join(fetched, [*keys, *PLACE]))
+    return hits.unionByName(misses.join(spread(fetched, path, *every), every))

@@ -107,7 +107,7 @@ class Snapshots:
     def _write(self, rows: DataFrame, m: dict) -> dict[str, str]:
         """The folder of each bucket that has rows."""
         at = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("_b", self._bucket(m)).repartition("_b").write.partitionBy("_b").parquet(f"{self.root}/{at}")
+        rows.withColumn("_b", self._bucket(m)).repartition(m["n"], "_b").write.partitionBy("_b").parquet(f"{self.root}/{at}")
         return {n.removeprefix("_b="): f"{at}/{n}" for n in self.files.names(f"{self.root}/{at}") if n.startswith("_b=")}
 
     def _claim(self, m: dict) -> bool:

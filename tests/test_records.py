@@ -171,3 +171,22 @@ def test_template_files_are_packed(spark, sf):
     (at,) = set(held.glob("pagelens-files-*/templates")) - before
     assert len(list(at.rglob("part-*"))) < 20 and {p.parent.name for p in (at / "loose").rglob("part-*")} == {"page_id=0", "page_id=3"}
     assert {r.page_id: r.status for r in got} == {i: "too large" if i % 10 == 3 else "ok" for i in range(50)} and len(got) == 50
+
+
+def test_cache_grows_by_buckets(spark, tmp_path, monkeypatch):
+    """A cache of more rows has more buckets, and what a request is looked up with is dealt to as many tasks."""
+    from pyspark.sql import functions as F
+
+    from pagelens.sources import cache
+    from pagelens.sources.snapshots import Snapshots
+
+    monkeypatch.setattr(cache, "HELD", 10)
+    asked = spark.createDataFrame([(i, "id", "p") for i in range(200)], "k int, region string, provider string")
+    at, now = str(tmp_path / "c"), F.lit("2024-01-31 00:00:00").cast("timestamp")
+    cache.write_cache(asked.where("k < 190").withColumns({"payload": F.lit("old"), "fetched_at": F.when(F.col("k") % 2 == 0, "2024-01-30 12:00:00").otherwise("2024-01-01 00:00:00")}), at, ["k"])
+    assert Snapshots(spark, at).manifest()["n"] == 19
+    source = spark.range(200).select(F.col("id").cast("int").alias("k"), F.lit("new").alias("payload"))
+    found = cache.search(asked, at, source, ["k"], now, 24.0)
+    assert found._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") >= 4
+    assert sorted((r.k, r.payload) for r in found.collect()) == [(i, "old" if i < 190 and i % 2 == 0 else "new") for i in range(200)]
+    assert cache.read_cache(spark, at, now, 24.0).count() == 200
