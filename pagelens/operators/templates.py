@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -50,18 +51,20 @@ class TooDeep(ValueError):
 class Scanner(HTMLParser):
     """Slots (text and fillable attributes), elements, and end tags with their positions.
 
-    Slots name all elements around them, so nesting has a limit; without slots it has none.
+    A template nested over ``deepest`` deep is refused; with None, or without slots, any is read. What
+    lies around a slot is kept as the kinds that roles ask for, so a slot takes no more room when deeper.
     """
 
-    def __init__(self, source: str, slots: bool = True):
+    def __init__(self, source: str, slots: bool = True, deepest: int | None = MAX_DEPTH):
         super().__init__(convert_charrefs=False)
         self.source = source
         self.line_at = [0]
         for m in re.finditer("\n", source):
             self.line_at.append(m.end())
-        self.deepest = MAX_DEPTH if slots else None
+        self.deepest = deepest if slots else None
         self.open: list[dict] = []
         self.opened: Counter = Counter()  # open elements by name
+        self.hinted: Counter = Counter()  # open elements by what they hint at
         self.slots: list[dict] = []
         self.elements: list[dict] = []
         self.ends: list[dict] = []
@@ -76,10 +79,11 @@ class Scanner(HTMLParser):
         line, column = self.getpos()
         return self.line_at[line - 1] + column
 
-    def _slot(self, kind: str, start: int, end: int, tag: str, attrs: dict, attr: str, quote: str, path: list[str], element: int) -> None:
+    def _slot(self, kind: str, start: int, end: int, tag: str, attrs: dict, attr: str, quote: str, element: int) -> None:
+        own = _hints(attrs)
         self.slots.append({
             "kind": kind, "start": start, "end": end, "current": self.source[start:end], "tag": tag, "attrs": attrs, "attr": attr, "quote": quote,
-            "path": path, "hints": [_hint(e["attrs"]) for e in self.open], "own_hint": _hint(attrs), "in_ad": self.ads > 0, "depth": len(self.open), "element": element,
+            "around": [t for t in (*CHROME, *NEVER) if self.opened[t]], "near": [h for h in HINTS if self.hinted[h] or h in own], "own": list(own), "in_ad": self.ads > 0, "depth": len(self.open), "element": element,
         })
 
     def _flush(self, end: int) -> None:
@@ -87,7 +91,7 @@ class Scanner(HTMLParser):
         if start is None or not self.source[start:end].strip():
             return
         top = self.open[-1] if self.open else {"tag": "", "attrs": {}, "index": -1}
-        self._slot("text", start, end, top["tag"], top["attrs"], "", "", [e["tag"] for e in self.open], top["index"])
+        self._slot("text", start, end, top["tag"], top["attrs"], "", "", top["index"])
 
     def handle_data(self, data):
         if not self.muted and self.text_from is None:
@@ -116,7 +120,7 @@ class Scanner(HTMLParser):
                     continue
                 seen.add(name)
                 if (tag, name) in FILLABLE and m.end(group) > m.start(group):
-                    self._slot("attribute", at + m.start(group), at + m.end(group), tag, own, name, {3: '"', 4: "'", 5: ""}[group], [*(x["tag"] for x in self.open), tag], e["index"])
+                    self._slot("attribute", at + m.start(group), at + m.end(group), tag, own, name, {3: '"', 4: "'", 5: ""}[group], e["index"])
         return e
 
     def handle_starttag(self, tag, attrs):
@@ -127,6 +131,7 @@ class Scanner(HTMLParser):
             raise TooDeep(f"elements are nested over {self.deepest} deep")
         self.open.append(e)
         self.opened[tag] += 1
+        self.hinted.update(_hints(e["attrs"]))
         self.muted += (tag in OPAQUE) + e["is_ad"]
         self.ads += e["is_ad"]
 
@@ -141,6 +146,7 @@ class Scanner(HTMLParser):
             while self.open:
                 e = self.open.pop()
                 self.opened[e["tag"]] -= 1
+                self.hinted.subtract(_hints(e["attrs"]))
                 self.muted -= (e["tag"] in OPAQUE) + e["is_ad"]
                 self.ads -= e["is_ad"]
                 if e["tag"] == tag:
@@ -152,18 +158,27 @@ class Scanner(HTMLParser):
     handle_comment = handle_decl = handle_pi = unknown_decl = _other
 
 
-def _hint(attrs: dict) -> str:
-    return " ".join(attrs.get(k, "") for k in ("class", "id", "itemprop"))
+def _hints(attrs: dict) -> tuple[str, ...]:
+    """What an element's names hint at."""
+    return _hinted(" ".join(attrs.get(k, "") for k in ("class", "id", "itemprop")))
+
+
+@lru_cache(4096)
+def _hinted(names: str) -> tuple[str, ...]:
+    return tuple(h for h, x in HINTS.items() if re.search(x, names, re.I)) if names.strip() else ()
 
 
 SLOT = (
-    "template_id long, kind string, start long, end long, current string, tag string, attrs map<string,string>, attr string, quote string, path array<string>, "
-    "hints array<string>, own_hint string, in_ad boolean, depth long, element long"
+    "template_id long, kind string, start long, end long, current string, tag string, attrs map<string,string>, attr string, quote string, around array<string>, "
+    "near array<string>, own array<string>, in_ad boolean, depth long, element long"
 )
 
 
-def scan_slots(templates: DataFrame) -> DataFrame:
-    """A row for each slot of each template (template_id, html); a template nested too deep gives one row of kind "too deep", which has no role."""
+def scan_slots(templates: DataFrame, deepest: int | None = MAX_DEPTH) -> DataFrame:
+    """A row for each slot of each template (template_id, html).
+
+    A template nested over ``deepest`` deep gives one row of kind "too deep", which has no role; with None every one is read.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -173,9 +188,9 @@ def scan_slots(templates: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 try:
-                    found = Scanner(r["html"] or "").slots
+                    found = Scanner(r["html"] or "", deepest=deepest).slots
                 except TooDeep:
-                    found = [dict.fromkeys(schema.names) | {"kind": "too deep", "attrs": {}, "current": "", "tag": "", "attr": "", "quote": "", "path": [], "hints": [], "own_hint": "", "in_ad": True}]
+                    found = [dict.fromkeys(schema.names) | {"kind": "too deep", "attrs": {}, "current": "", "tag": "", "attr": "", "quote": "", "around": [], "near": [], "own": [], "in_ad": True}]
                 rows = [{**s, "template_id": r["template_id"], "attrs": list(s["attrs"].items())} for s in found]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -186,11 +201,10 @@ def scan_slots(templates: DataFrame) -> DataFrame:
 def role() -> Column:
     """The role of a slot, or an empty string where it must not be touched."""
     c = F.col
-    hit = lambda x, h: x.rlike("(?i)" + HINTS[h])
-    own = lambda h: hit(c("own_hint"), h)
-    near = lambda h: own(h) | F.exists("hints", lambda x: hit(x, h))
+    own = lambda h: F.array_contains("own", h)
+    near = lambda h: F.array_contains("near", h)
     tag_in = lambda *ts: c("tag").isin(*ts)
-    among = lambda ts: F.arrays_overlap("path", F.array(*map(F.lit, ts)))
+    among = lambda ts: F.arrays_overlap("around", F.array(*map(F.lit, ts)))
     long = F.length(F.trim("current")) >= 40
     entries = F.map_entries("attrs")
     skip = F.exists(entries, lambda e: F.lower(e["key"]).isin(MARK + "-skip", MARK) & F.lower(e["value"]).isin("skip", "", "no", "false"))

@@ -163,3 +163,30 @@ def test_pages_are_parsed_some_at_a_time(spark):
     assert html_pages.PARSED_AT_ONCE <= 100
     df = spark.range(0, 3 * html_pages.PARSED_AT_ONCE + 1, 1, 1).select(F.col("id").alias("page_id"), F.lit("http://a.b").alias("url"), F.concat(F.lit("<title>"), F.col("id").cast("string")).alias("html"))
     assert {r.page_id: r.title for r in html_pages.parse_pages(df).select("page_id", "page.title").collect()} == {i: str(i) for i in range(3 * html_pages.PARSED_AT_ONCE + 1)}
+
+
+def deep_pages(spark, tmp_path):
+    """For a query's name its rows and its SQL's, over pages whose elements aren't closed."""
+    import duckdb
+
+    from pagelens import catalog
+
+    html = '<html lang="id"><head><title>t</title></head><body>' + '<p class="x"><b>word' * 150 + "<h1>" + "h" * 50 + "</h1></body></html>"
+    spark.createDataFrame([(1, "http://a.b/", html), (2, "http://a.b/", html.replace('<p class="x"><b>', "<p>", 149))], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    return lambda name: (sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect())), sorted(con.execute(catalog.ORACLE[name]).fetchall()))
+
+
+def test_deep_pages_are_filled(spark, tmp_path):
+    got, want = deep_pages(spark, tmp_path)("template_fill")
+    assert got == want
+
+
+def test_slots_keep_what_is_around_them_at_any_depth():
+    """What a slot keeps of the elements around it doesn't grow with their number; closed ones don't count."""
+    html = '<nav class="faq"><p class="faq">a</p></nav>' + '<div class="review x"><a>' * 500 + "deep" + "</a></div>" * 500 + '<p id="by">b'
+    first, deep, last = templates.Scanner(html, deepest=None).slots
+    assert (first["around"], first["near"], first["own"]) == (["nav"], ["faq"], ["faq"])
+    assert (deep["around"], deep["near"], deep["own"], deep["depth"]) == (["a"], ["review"], [], 1000)
+    assert (last["around"], last["near"], last["own"]) == ([], ["author"], ["author"])
