@@ -203,3 +203,11 @@ def test_deep_pages_are_summed_up(spark, tmp_path):
     assert got == want == [(1, 0, False), (2, 0, False)]
     pages = spark.read.parquet(f"{tmp_path}/pages.parquet").selectExpr("page_id as template_id", "html")
     assert {r.template_id: r.too_deep for r in templates.summary(templates.scan_slots(pages)).collect()} == {1: True, 2: False}
+
+
+def test_sections_of_long_pages():
+    """All sections count, and what is far behind a heading tells its kind."""
+    html = "<body><h2>a</h2>" + "<p>x</p>" * 600 + "<li>" * 4 + "<h3>s</h3>" + "<h1>b</h1>" * 30 + "<p>x</p>" * 600 + "<table></table>"
+    got = html_pages.sections(html_pages.Tree(html))
+    assert [s["position"] for s in got] == list(range(1, 32))
+    assert (got[0]["kind"], got[0]["subheadings"], got[1]["kind"], got[-1]["kind"]) == ("list", 1, "paragraph", "table")
