@@ -51,3 +51,43 @@ def test_similar_sets_in_blocks(spark):
     assert {(r.a, r.b): r.similarity for r in got} == pytest.approx(want) and len(got) == len(want) > 100
     plan = found._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def packed(sets):
+    """Keys and packed sets of numbers."""
+    import pyarrow as pa
+
+    from pagelens.operators import set_blocks
+
+    b = next(set_blocks.pack([pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([[x * 0x9E3779B97F4A7C15 % 2**64 - 2**63 for x in s] for s in sets], pa.list_(pa.int64()))], ["k", "t"])]))
+    return b.column(0), b.column(2)
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.45, 0.9])
+def test_blocks_in_small_steps(monkeypatch, threshold):
+    """Meetings and compared tokens in steps of a few; each similar pair is found once."""
+    from pagelens.operators import set_blocks
+
+    rng = random.Random(7)
+    sets = [rng.sample(range(40), rng.randint(1, 30)) for _ in range(120)] + [list(range(n)) for n in range(1, 60)]
+    every, block = packed(sets)[1], set_blocks.Block(*packed(sets[::4]), threshold)
+    for name, most in (("MEETINGS", 30), ("COMPARED", 20)):
+        monkeypatch.setattr(set_blocks, name, most)
+    got = []
+    for a, q, similarity in set_blocks._meet(block, *set_blocks._opened(every), threshold):
+        got += zip((block.ids.to_numpy()[q] * 4).tolist(), a.tolist(), similarity.tolist())
+    like = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = {(q, a): s for q, x in enumerate(sets) if q % 4 == 0 for a, y in enumerate(sets) if (s := like(x, y)) >= threshold}
+    assert {(q, a): s for q, a, s in got} == pytest.approx(want) and len(got) == len(want) > 50
+
+
+def test_frequent_tokens_are_not_looked_up(monkeypatch):
+    """Sets that share frequent tokens alone aren't compared, and only what is rare in them is looked up."""
+    from pagelens.operators import set_blocks
+
+    sets = [[*range(40), *range(100 + 100 * i, 160 + 100 * i)] for i in range(300)]
+    visited, spans = [], set_blocks._spans
+    monkeypatch.setattr(set_blocks, "_spans", lambda starts, lengths: visited.append(int(lengths.sum())) or spans(starts, lengths))
+    block = set_blocks.Block(*packed(sets), 0.45)
+    found = list(set_blocks._meet(block, *set_blocks._opened(packed(sets)[1]), 0.45))
+    assert sum(len(a) for a, _, _ in found) == len(sets) and sum(visited) < 200 * len(sets)
