@@ -30,6 +30,7 @@ AD_MARK = re.compile(r"adsbygoogle|googlesyndication|googletag|data-ad-|\bads?\b
 FILLABLE = {("meta", "content"), ("img", "alt"), ("amp-img", "alt"), ("time", "datetime"), ("a", "title"), ("html", "lang"), ("meta", "charset")}
 CHROME = ["nav", "header", "footer", "aside", "menu"]
 NEVER = ["a", "button", "label", "option", "th", "abbr"]
+AROUND = [*CHROME, *NEVER]
 ROLES = ["title", "meta_description", "meta_keywords", "h1", "heading", "paragraph", "faq_question", "faq_answer", "review_text", "review_author", "review_date", "caption", "date", "lang"]
 META_ROLES = {"description": "meta_description", "keywords": "meta_keywords", "og:description": "meta_description", "twitter:description": "meta_description", "og:title": "title", "twitter:title": "title"}
 HINTS = {
@@ -83,7 +84,7 @@ class Scanner(HTMLParser):
         own = _hints(attrs)
         self.slots.append({
             "kind": kind, "start": start, "end": end, "current": self.source[start:end], "tag": tag, "attrs": attrs, "attr": attr, "quote": quote,
-            "around": [t for t in (*CHROME, *NEVER) if self.opened[t]], "near": [h for h in HINTS if self.hinted[h] or h in own], "own": list(own), "in_ad": self.ads > 0, "depth": len(self.open), "element": element,
+            "around": [t for t in AROUND if self.opened.get(t)], "near": [h for h in HINTS if self.hinted.get(h) or h in own], "own": list(own), "in_ad": self.ads > 0, "depth": len(self.open), "element": element,
         })
 
     def _flush(self, end: int) -> None:
@@ -109,7 +110,7 @@ class Scanner(HTMLParser):
         for k, v in attrs:
             own.setdefault(k, v or "")
         ad = tag in AD_TAGS or bool(AD_MARK.search(" ".join([tag, *own, *(own.get(k, "") for k in ("class", "id", "data-ad-client", "type"))])))
-        e = {"tag": tag, "attrs": own, "start": at, "is_ad": ad, "index": len(self.elements)}
+        e = {"tag": tag, "attrs": own, "start": at, "is_ad": ad, "index": len(self.elements), "hints": ()}
         self.elements.append(e)
         if not self.muted:
             raw, seen = self.get_starttag_text() or "", set()
@@ -131,7 +132,9 @@ class Scanner(HTMLParser):
             raise TooDeep(f"elements are nested over {self.deepest} deep")
         self.open.append(e)
         self.opened[tag] += 1
-        self.hinted.update(_hints(e["attrs"]))
+        if not self.muted and e["attrs"]:  # what is muted has no slots in it
+            e["hints"] = _hints(e["attrs"])
+            self.hinted.update(e["hints"])
         self.muted += (tag in OPAQUE) + e["is_ad"]
         self.ads += e["is_ad"]
 
@@ -142,11 +145,12 @@ class Scanner(HTMLParser):
         at = self._here()
         self._flush(at)
         self.ends.append({"tag": tag, "start": at})
-        if self.opened[tag]:
+        if self.opened.get(tag):
             while self.open:
                 e = self.open.pop()
                 self.opened[e["tag"]] -= 1
-                self.hinted.subtract(_hints(e["attrs"]))
+                if e["hints"]:
+                    self.hinted.subtract(e["hints"])
                 self.muted -= (e["tag"] in OPAQUE) + e["is_ad"]
                 self.ads -= e["is_ad"]
                 if e["tag"] == tag:
